@@ -1,69 +1,58 @@
-"""Points, boxes and polygon geometry on array columns."""
+"""Points, boxes and polygon geometry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+def point(x: str, y: str) -> str:
+    return f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))"
 
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def let(value: str, name: str, body: str) -> str:
+    """Bind ``value`` to ``name`` once for use inside higher-order functions, where Catalyst does
+    not share common subexpressions."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def at(values: Column, index: int) -> Column:
-    """Element ``index`` or NULL when the array is too short."""
-    return F.get(values, F.lit(index))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for use inside higher-order functions, where Catalyst does not
-    share common subexpressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def points_from_pairs(pairs: Column) -> Column:
+def points_from_pairs(pairs: str) -> str:
     """``[[x, y], ...]`` as an array of points."""
-    return F.transform(pairs, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return f"transform({pairs}, pair -> {point('get(pair, 0)', 'get(pair, 1)')})"
 
 
-def to_pixel(p: Column, width: Column, height: Column) -> Column:
-    return point(p["x"] * width, p["y"] * height)
+def to_pixel(p: str, width: str = "image_width", height: str = "image_height") -> str:
+    return point(f"{p}.x * {width}", f"{p}.y * {height}")
 
 
-def midpoint(p: Column, q: Column) -> Column:
-    return point((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2)
+def midpoint(p: str, q: str) -> str:
+    return point(f"({p}.x + {q}.x) / 2", f"({p}.y + {q}.y) / 2")
 
 
-def vertex_mean(points: Column) -> Column:
+def vertex_mean(points: str) -> str:
     """Mean of the vertices (not the area centroid); NULL for an empty array."""
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    total = F.aggregate(points, zero, lambda acc, p: point(acc["x"] + p["x"], acc["y"] + p["y"]))
-    n = F.size(points).cast("double")
-    return F.when(F.size(points) > 0, let(total, lambda t: point(t["x"] / n, t["y"] / n)))
+    total = (
+        f"aggregate({points}, {point('0', '0')}, (acc, p) -> {point('acc.x + p.x', 'acc.y + p.y')},"
+        f" acc -> {point(f'acc.x / size({points})', f'acc.y / size({points})')})"
+    )
+    return f"CASE WHEN size({points}) > 0 THEN {total} END"
 
 
-def bounds(points: Column) -> Column:
+def bounds(points: str) -> str:
     """Axis-aligned bounds of a point array."""
-    xs, ys = points["x"], points["y"]
-    return F.struct(
-        F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"),
-        F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"),
+    return (
+        f"named_struct('x_min', array_min({points}.x), 'y_min', array_min({points}.y),"
+        f" 'x_max', array_max({points}.x), 'y_max', array_max({points}.y))"
     )
 
 
-def bounds_to_norm_box(b: Column, width: Column, height: Column) -> Column:
+def bounds_to_norm_box(b: str, width: str, height: str) -> str:
     """Bounds in pixels -> centre and size as fractions of the image."""
-    return F.struct(
-        (((b["x_min"] + b["x_max"]) / 2) / width).alias("cx"),
-        (((b["y_min"] + b["y_max"]) / 2) / height).alias("cy"),
-        ((b["x_max"] - b["x_min"]) / width).alias("w"),
-        ((b["y_max"] - b["y_min"]) / height).alias("h"),
+    return (
+        f"named_struct('cx', (({b}.x_min + {b}.x_max) / 2) / {width},"
+        f" 'cy', (({b}.y_min + {b}.y_max) / 2) / {height},"
+        f" 'w', ({b}.x_max - {b}.x_min) / {width}, 'h', ({b}.y_max - {b}.y_min) / {height})"
     )
 
 
-def four_corners(points: Column) -> Column:
+def four_corners(points: str) -> str:
     """Four cross-shaped corners of a polygon, ordered by angle about the vertex mean.
 
     The first corner is the vertex farthest from the mean. Each further corner is the farthest unused
@@ -72,100 +61,80 @@ def four_corners(points: Column) -> Column:
     ``min(d, 2*pi - d)`` with d up to 3*pi, so it can be negative and then counts as near; that
     is part of the definition.
     """
-    quarter, eighth = F.pi() / 2, F.pi() / 4
-
-    def ranked(c: Column) -> Column:
-        def rank_fields(p: Column, i: Column) -> Column:
-            dx, dy = p["x"] - c["x"], p["y"] - c["y"]
-            return F.struct(
-                (-F.sqrt(dx * dx + dy * dy)).alias("nd"), i.alias("i"),
-                F.atan2(dy, dx).alias("a"), p["x"].alias("x"), p["y"].alias("y"),
-            )
-
-        return F.sort_array(F.transform(points, rank_fields))
+    by_distance = (
+        f"sort_array(transform({points}, (p, i) -> named_struct("
+        "'nd', -sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 'i', i,"
+        " 'a', atan2(p.y - c.y, p.x - c.x), 'x', p.x, 'y', p.y)))"
+    )
+    near = (
+        "get(filter(ranked, q -> NOT array_contains(acc.i, q.i) AND q.nd < 0 AND"
+        " least(abs(q.a - target), 2 * pi() - abs(q.a - target)) <= pi() / 4), 0)"
+    )
+    farthest = "get(filter(ranked, q -> NOT array_contains(acc.i, q.i)), 0)"
+    step = f"concat(acc, array(coalesce({let('element_at(acc, -1).a + pi() / 2', 'target', near)}, {farthest})))"
+    picked = f"aggregate(sequence(1, 3), slice(ranked, 1, 1), (acc, turn) -> {step})"
+    ranked = let(by_distance, "ranked", picked)
+    corners = let(vertex_mean(points), "c", ranked)
+    by_angle = (
+        f"sort_array(transform({corners}, (q, k) ->"
+        " named_struct('a', q.a, 'k', k, 'x', q.x, 'y', q.y)))"
+    )
+    return (
+        f"CASE WHEN size({points}) >= 4 THEN"
+        f" transform({by_angle}, q -> {point('q.x', 'q.y')}) END"
+    )
 
-    def pick(order: Column) -> Column:
-        def step(acc: Column, _k: Column) -> Column:
-            def free(q: Column) -> Column:
-                return ~F.array_contains(acc["i"], q["i"])
 
-            def near(target: Column) -> Column:
-                def keep(q: Column) -> Column:
-                    d = F.abs(q["a"] - target)
-                    return free(q) & (q["nd"] < 0) & (F.least(d, 2 * F.pi() - d) <= eighth)
+def mean_of(pts: list[str]) -> str:
+    n = len(pts)
+    xs, ys = [" + ".join(f"{p}.{c}" for p in pts) for c in ("x", "y")]
+    return point(f"({xs}) / {n}", f"({ys}) / {n}")
 
-                return F.filter(order, keep)
 
-            target = F.element_at(acc, -1)["a"] + quarter
-            chosen = F.coalesce(
-                F.get(let(target, near), F.lit(0)), F.get(F.filter(order, free), F.lit(0))
-            )
-            return F.concat(acc, F.array(chosen))
+def plates(p0: str, p1: str, p2: str, p3: str, center: str) -> str:
+    """Endplates from four points ordered top to bottom: within a plate the smaller x is posterior,
+    on equal x the second point of the pair."""
+    def anterior(a: str, b: str) -> str:
+        return f"CASE WHEN {a}.x < {b}.x THEN {b} ELSE {a} END"
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.slice(order, 1, 1), step)
+    def posterior(a: str, b: str) -> str:
+        return f"CASE WHEN {a}.x < {b}.x THEN {a} ELSE {b} END"
 
-    picked = let(let(vertex_mean(points), ranked), pick)
-    by_angle = F.sort_array(F.transform(
-        picked,
-        lambda q, k: F.struct(q["a"].alias("a"), k.alias("k"), q["x"].alias("x"), q["y"].alias("y")),
-    ))
-    corners = F.transform(by_angle, lambda q: point(q["x"], q["y"]))
-    return F.when(F.size(points) >= 4, corners)
+    return (
+        f"named_struct('upper_anterior', {anterior(p0, p1)}, 'upper_posterior', {posterior(p0, p1)},"
+        f" 'lower_anterior', {anterior(p2, p3)}, 'lower_posterior', {posterior(p2, p3)},"
+        f" 'center', {center})"
+    )
 
 
-def endplates(keypoints: Column) -> Column:
+def endplates(keypoints: str) -> str:
     """Upper and lower endplates of a four-point vertebra, as one expression.
 
-    The two points with smaller y form the upper plate (equal y: input order). Within a plate the
-    smaller x is posterior; on equal x the second point of the pair is posterior. For whole tables
-    use :func:`spinelens.operators.measurements.with_endplates`, which stays in generated code.
+    The two points with smaller y form the upper plate (equal y: input order). For whole tables use
+    :func:`spinelens.operators.measurements.with_endplates`, which stays in generated code.
     """
-    def by_height(kp: Column) -> Column:
-        return F.sort_array(F.transform(
-            kp, lambda p, i: F.struct(p["y"].alias("y"), i.alias("i"), p["x"].alias("x"))))
-
-    def split(o: Column) -> Column:
-        ranked = [point(at(o, i)["x"], at(o, i)["y"]) for i in range(4)]
-        return plates(*ranked, mean_of([at(keypoints, i) for i in range(4)]))
-
-    return F.when(F.size(keypoints) == 4, let(by_height(keypoints), split))
-
-
-def mean_of(pts: list[Column]) -> Column:
-    def mean(c: str) -> Column:
-        total = pts[0][c]
-        for p in pts[1:]:
-            total = total + p[c]
-        return total / len(pts)
-
-    return point(mean("x"), mean("y"))
-
-
-def plates(p0: Column, p1: Column, p2: Column, p3: Column, center: Column) -> Column:
-    """Endplates from four points ordered top to bottom."""
-    def anterior(a: Column, b: Column) -> Column:
-        return F.when(a["x"] < b["x"], b).otherwise(a)
-
-    def posterior(a: Column, b: Column) -> Column:
-        return F.when(a["x"] < b["x"], a).otherwise(b)
-
-    return F.struct(
-        anterior(p0, p1).alias("upper_anterior"), posterior(p0, p1).alias("upper_posterior"),
-        anterior(p2, p3).alias("lower_anterior"), posterior(p2, p3).alias("lower_posterior"),
-        center.alias("center"),
+    ordered = (
+        f"transform(sort_array(transform({keypoints}, (p, i) ->"
+        f" named_struct('y', p.y, 'i', i, 'x', p.x))), o -> {point('o.x', 'o.y')})"
     )
+    ranked = [f"get(byheight, {i})" for i in range(4)]
+    center = mean_of([f"get({keypoints}, {i})" for i in range(4)])
+    split = let(ordered, "byheight", plates(*ranked, center))
+    return f"CASE WHEN size({keypoints}) = 4 THEN {split} END"
 
 
-def estimate_s1(l5: Column) -> Column:
+def estimate_s1(l5: str) -> str:
     """S1 endplate midpoint, 1.2 L5 heights below the lower L5 endplate."""
-    lower = midpoint(l5["lower_anterior"], l5["lower_posterior"])
-    upper_y = (l5["upper_anterior"]["y"] + l5["upper_posterior"]["y"]) / 2
-    height = F.abs(lower["y"] - upper_y)
-    return F.when(l5.isNotNull(), point(lower["x"], lower["y"] + height * 1.2))
+    mid_y = f"(({l5}.lower_anterior.y + {l5}.lower_posterior.y) / 2)"
+    upper_y = f"(({l5}.upper_anterior.y + {l5}.upper_posterior.y) / 2)"
+    s1 = point(f"({l5}.lower_anterior.x + {l5}.lower_posterior.x) / 2",
+               f"{mid_y} + abs({mid_y} - {upper_y}) * 1.2e0")
+    return f"CASE WHEN {l5} IS NOT NULL THEN {s1} END"
 
 
-def quad_edges(points: Column) -> Column:
+def quad_edges(points: str) -> str:
     """Segments from each point to the next one, closing the outline."""
-    return F.transform(points, lambda p, i: F.struct(
-        i.alias("edge"), p.alias("start"), F.get(points, (i + 1) % F.size(points)).alias("stop")
-    ))
+    return (
+        f"transform({points}, (p, i) -> named_struct('edge', i, 'start', p,"
+        f" 'stop', get({points}, (i + 1) % size({points}))))"
+    )

@@ -1,9 +1,7 @@
 """Detections -> ordered measurement points per image.
 
-Long form: one row per detection, reduced to one row per image by a single aggregation whose
-buffers are bounded by the nine labels that take part in a measurement, so a hot image is
-pre-aggregated in every map task. Nested form: one row per image document, array functions only,
-no shuffle.
+Long form: one row per detection, reduced first to one row per (image, label) and then to one row
+per image. Nested form: one row per image document, array functions only, no shuffle.
 """
 
 from __future__ import annotations
@@ -40,95 +38,106 @@ def first_box(boxes: DataFrame) -> DataFrame:
     )
 
 
-def spine_by_image(vertebrae: DataFrame, cfh: DataFrame | None = None) -> DataFrame:
-    """One row per image with the endplates of every measured label and the femoral-head centre.
-
-    ``vertebrae``: image_id, det_idx, label, keypoints, image_width, image_height.
-    ``cfh``: image_id, det_idx, center, image_width, image_height; the first one per image counts.
-    ``bad_label`` names the first detection without exactly four keypoints, else NULL.
-    """
-    measured = F.col("label").isin(vocab.MEASURED_LABELS)
-    rows = vertebrae.select(
-        "image_id", "det_idx", "image_width", "image_height",
-        F.when(measured, F.col("label")).alias("label"),
-        F.when(measured, F.col("keypoints")).alias("keypoints"),
-        F.when(~F.coalesce(F.size("keypoints") == 4, F.lit(False)),
-               F.coalesce("label", F.lit(""))).alias("bad"),
-        F.lit(None).cast("struct<x:double,y:double>").alias("center"),
-    )
-    rows = with_endplates(rows).drop("keypoints")
-    if cfh is not None:
-        rows = rows.unionByName(cfh.select(
-            "image_id", "det_idx", "image_width", "image_height", "center"
-        ), allowMissingColumns=True)
-
-    def when_label(name: str) -> Column:
-        hit = F.col("label") == name
-        return F.max_by(F.when(hit, F.col("plates")), F.when(hit, F.col("det_idx"))).alias(name)
-
-    def first_of(value: str) -> Column:
-        return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("det_idx")))
-
-    return rows.groupBy("image_id").agg(
-        F.max("image_width").alias("image_width"),
-        F.max("image_height").alias("image_height"),
-        first_of("bad").alias("bad_label"),
-        first_of("center").alias("cfh_center"),
-        *[when_label(name) for name in vocab.MEASURED_LABELS],
-    )
-
-
 def with_endplates(df: DataFrame, keypoints: str = "keypoints", out: str = "plates") -> DataFrame:
     """Adds the endplates of a keypoint column, NULL unless it holds four points.
 
-    Three narrow projections instead of one expression: the eight coordinates, the height rank of
-    each point by pairwise comparison (equal y: input order), and the plates picked by rank. All
-    of it is primitive arithmetic in generated code, without a sort per row.
+    Narrow projections instead of one expression: the eight coordinates, the height rank of each
+    point by pairwise comparison (equal y: input order), and the plates picked by rank. All of it
+    is primitive arithmetic in generated code, without a sort per row.
     """
     n = range(4)
-    flat = df.select("*", *[
-        P.at(F.col(keypoints), i)[c].alias(f"__{c}{i}") for i in n for c in ("x", "y")])
+    flat = df.selectExpr("*", *[
+        f"get({keypoints}, {i}).{c} AS __{c}{i}" for i in n for c in ("x", "y")])
+
+    def above(j: int, i: int) -> str:
+        return f"CAST(__y{j} {'<=' if j < i else '<'} __y{i} AS INT)"
 
-    def above(j: int, i: int) -> Column:
-        yi, yj = F.col(f"__y{i}"), F.col(f"__y{j}")
-        return ((yj <= yi) if j < i else (yj < yi)).cast("int")
+    ranked = flat.selectExpr("*", *[
+        " + ".join(above(j, i) for j in n if j != i) + f" AS __r{i}" for i in n])
 
-    ranked = flat.select("*", *[
-        sum((above(j, i) for j in n if j != i), F.lit(0)).alias(f"__r{i}") for i in n])
+    def at_rank(r: int, c: str) -> str:
+        cases = " ".join(f"WHEN __r{i} = {r} THEN __{c}{i}" for i in n)
+        return f"CASE {cases} END AS __{c}_at{r}"
 
-    def at_rank(r: int, c: str) -> Column:
-        picked = F.when(F.col("__r0") == r, F.col(f"__{c}0"))
-        for i in (1, 2, 3):
-            picked = picked.when(F.col(f"__r{i}") == r, F.col(f"__{c}{i}"))
-        return picked
+    ordered = ranked.selectExpr("*", *[at_rank(r, c) for r in n for c in ("x", "y")])
+    picked = ordered.selectExpr(*df.columns, *[f"__{c}{i}" for i in n for c in ("x", "y")], *[
+        f"{P.point(f'__x_at{r}', f'__y_at{r}')} AS __p{r}" for r in n])
+    center = P.point("(__x0 + __x1 + __x2 + __x3) / 4", "(__y0 + __y1 + __y2 + __y3) / 4")
+    plates = P.plates("__p0", "__p1", "__p2", "__p3", center)
+    return picked.selectExpr(
+        *df.columns, f"CASE WHEN size({keypoints}) = 4 THEN {plates} END AS {out}")
 
-    ordered = ranked.select("*", *[
-        at_rank(r, c).alias(f"__{c}_at{r}") for r in n for c in ("x", "y")])
-    by_rank = [P.point(F.col(f"__x_at{r}"), F.col(f"__y_at{r}")) for r in n]
-    center = P.mean_of([P.point(F.col(f"__x{i}"), F.col(f"__y{i}")) for i in n])
-    return ordered.select(*df.columns, F.when(
-        F.size(keypoints) == 4, P.plates(*by_rank, center)).alias(out))
+
+def spine_by_image(vertebrae: DataFrame, cfh: DataFrame | None = None) -> DataFrame:
+    """One row per image with the endplates of every measured label and the femoral-head centre.
+
+    ``vertebrae``: image_id, det_idx, label, keypoints, image_width, image_height.
+    ``cfh``: image_id, det_idx, center, image_width, image_height; the first one per image counts.
+    ``bad_label`` names the first detection without exactly four keypoints, else NULL.
+
+    The last detection of a label is chosen per (image, label) on primitive columns, so the hash
+    aggregate reduces a hot image in every map task. What reaches the image-level aggregate is one
+    row per distinct label.
+    """
+    coords = [f"{c}{i}" for i in range(4) for c in ("x", "y")]
+    rows = vertebrae.selectExpr(
+        "image_id", "label", "det_idx", "image_width", "image_height",
+        *[f"get(keypoints, {i}).{c} AS {c}{i}" for i in range(4) for c in ("x", "y")],
+        "CASE WHEN coalesce(size(keypoints) <> 4, true) THEN det_idx END AS bad_at",
+    )
+    per_label = rows.groupBy("image_id", "label").agg(
+        *[F.expr(f"max_by({c}, det_idx) AS {c}") for c in coords],
+        F.expr("max(image_width) AS image_width"), F.expr("max(image_height) AS image_height"),
+        F.expr("min(bad_at) AS bad_at"),
+    )
+    points = ", ".join(P.point(f"x{i}", f"y{i}") for i in range(4))
+    measured = ", ".join(f"'{name}'" for name in vocab.MEASURED_LABELS)
+    with_plates = with_endplates(per_label.selectExpr(
+        "image_id", "label", "image_width", "image_height", "bad_at",
+        f"CASE WHEN label IN ({measured}) THEN array({points}) END AS keypoints",
+    )).drop("keypoints")
+    images = with_plates.groupBy("image_id").agg(
+        F.expr("max(image_width) AS image_width"), F.expr("max(image_height) AS image_height"),
+        F.expr("min(CASE WHEN bad_at IS NOT NULL THEN"
+               " named_struct('at', bad_at, 'label', coalesce(label, '')) END).label AS bad_label"),
+        F.expr("map_from_entries(collect_list(CASE WHEN plates IS NOT NULL THEN"
+               " named_struct('label', label, 'plates', plates) END)) AS plates"),
+    )
+    if cfh is None:
+        joined = images.withColumn("cfh_center", F.expr("CAST(NULL AS struct<x:double,y:double>)"))
+    else:
+        # Both sides are aggregates on image_id, so this join adds no shuffle.
+        heads = cfh.groupBy("image_id").agg(
+            F.expr("min_by(center.x, det_idx) AS head_x"),
+            F.expr("min_by(center.y, det_idx) AS head_y"),
+            F.expr("max(image_width) AS head_width"), F.expr("max(image_height) AS head_height"),
+        )
+        joined = images.join(heads, "image_id", "full_outer").selectExpr(
+            "image_id", "coalesce(image_width, head_width) AS image_width",
+            "coalesce(image_height, head_height) AS image_height", "bad_label", "plates",
+            f"CASE WHEN head_x IS NOT NULL THEN {P.point('head_x', 'head_y')} END AS cfh_center",
+        )
+    return joined.selectExpr(
+        "image_id", "image_width", "image_height", "bad_label", "cfh_center",
+        *[f"try_element_at(plates, '{name}') AS {name}" for name in vocab.MEASURED_LABELS],
+    )
 
 
 def spine_from_documents(documents: DataFrame) -> DataFrame:
     """Row-local form of :func:`spine_by_image` for nested detection documents."""
-    def last_with(name: str) -> Column:
-        return F.try_element_at(
-            F.filter("__plates", lambda v: v["label"] == name), F.lit(-1)
-        )["plates"].alias(name)
-
-    bad = F.get(F.filter("vertebrae", lambda v: ~F.coalesce(
-        F.size(v["keypoints"]) == 4, F.lit(False))), F.lit(0))
-    measured = F.filter("vertebrae", lambda v: v["label"].isin(vocab.MEASURED_LABELS))
     passed = [c for c in documents.columns if c not in ("vertebrae", "cfh")]
-    return documents.select(
+    measured = ", ".join(f"'{name}'" for name in vocab.MEASURED_LABELS)
+    bad = "get(filter(vertebrae, v -> coalesce(size(v.keypoints) <> 4, true)), 0)"
+    return documents.selectExpr(
         *passed,
-        F.when(bad.isNotNull(), F.coalesce(bad["label"], F.lit(""))).alias("bad_label"),
-        F.col("cfh.center").alias("cfh_center"),
-        F.transform(measured, lambda v: F.struct(
-            v["label"].alias("label"), P.endplates(v["keypoints"]).alias("plates"),
-        )).alias("__plates"),
-    ).select(*passed, "bad_label", "cfh_center", *map(last_with, vocab.MEASURED_LABELS))
+        f"CASE WHEN {bad} IS NOT NULL THEN coalesce({bad}.label, '') END AS bad_label",
+        "cfh.center AS cfh_center",
+        f"transform(filter(vertebrae, v -> v.label IN ({measured})), v -> named_struct("
+        f"'label', v.label, 'plates', {P.endplates('v.keypoints')})) AS __found",
+    ).selectExpr(*passed, "bad_label", "cfh_center", *[
+        f"try_element_at(filter(__found, v -> v.label = '{name}'), -1).plates AS {name}"
+        for name in vocab.MEASURED_LABELS
+    ])
 
 
 def rejects(spine: DataFrame) -> DataFrame:
@@ -146,22 +155,18 @@ def require_four_keypoints(spine: DataFrame) -> DataFrame:
         F.col("bad_label").isNotNull(), F.raise_error(reason).cast("string")))
 
 
-def measurement_points() -> dict[str, Column]:
+def measurement_points() -> dict[str, str]:
     """Points of every measurement type in pixels, NULL where a required part is absent."""
-    def px(p: Column) -> Column:
-        return P.to_pixel(p, F.col("image_width"), F.col("image_height"))
-
-    def plate(label: str, side: str) -> list[Column]:
-        return [px(F.col(label)[f"{side}_anterior"]), px(F.col(label)[f"{side}_posterior"])]
+    def plate(label: str, side: str) -> list[str]:
+        return [P.to_pixel(f"{label}.{side}_anterior"), P.to_pixel(f"{label}.{side}_posterior")]
 
-    def given(parts: list[str], pts: list[Column]) -> Column:
-        present = F.col(parts[0]).isNotNull()
-        for name in parts[1:]:
-            present = present & F.col(name).isNotNull()
-        return F.when(present, F.array(*pts))
+    def given(parts: list[str], pts: list[str]) -> str:
+        present = " AND ".join(f"{name} IS NOT NULL" for name in parts)
+        return f"CASE WHEN {present} THEN array({', '.join(pts)}) END"
 
-    head = px(F.col("cfh_center"))
+    head = P.to_pixel("cfh_center")
     pelvis = given(["L5", "cfh_center"], [head, *plate("L5", "lower")])
+    s1 = P.to_pixel(f"({P.estimate_s1('L5')})")
     return {
         "T1 Slope": given(["T1"], plate("T1", "upper")),
         "C2-C7 CL": given(["C2", "C7"], plate("C2", "lower") + plate("C7", "lower")),
@@ -170,8 +175,7 @@ def measurement_points() -> dict[str, Column]:
         "LL L1-S1": given(["L1", "L5"], plate("L1", "upper") + plate("L5", "lower")),
         "LL L1-L4": given(["L1", "L4"], plate("L1", "upper") + plate("L4", "lower")),
         "LL L4-S1": given(["L4", "L5"], plate("L4", "upper") + plate("L5", "lower")),
-        "SVA": given(["C7", "L5"], [
-            px(F.col("C7")["upper_posterior"]), px(P.estimate_s1(F.col("L5")))]),
+        "SVA": given(["C7", "L5"], [P.to_pixel("C7.upper_posterior"), s1]),
         "TPA": given(["T1", "L5", "cfh_center"], [
             *plate("T1", "upper"), *plate("T1", "lower"), head, *plate("L5", "lower")]),
         "PI": pelvis,
@@ -182,32 +186,30 @@ def measurement_points() -> dict[str, Column]:
 
 def measurements_nested(spine: DataFrame) -> DataFrame:
     """Keypoints documents: one row per accepted image with its measurements in spec order."""
-    by_type = measurement_points()
-    entries = [
-        F.when(pts.isNotNull(), F.struct(F.lit(name).alias("type"), pts.alias("points")))
-        for name, pts in by_type.items()
-    ]
-    standard = F.array(*[P.point(F.lit(x), F.lit(y)) for x, y in vocab.DEFAULT_STANDARD_POINTS])
-    return spine.filter("bad_label is null").select(
-        F.coalesce(F.col("image_id").cast("string"), F.lit(vocab.DEFAULT_IMAGE_ID)).alias("imageId"),
-        F.col("image_width").alias("imageWidth"),
-        F.col("image_height").alias("imageHeight"),
-        F.array_compact(F.array(*entries)).alias("measurements"),
-        F.lit(vocab.DEFAULT_STANDARD_DISTANCE).alias("standardDistance"),
-        standard.alias("standardDistancePoints"),
+    entries = ", ".join(
+        f"named_struct('type', '{name}', 'points', {pts})"
+        for name, pts in measurement_points().items()
+    )
+    standard = ", ".join(P.point(str(x), str(y)) for x, y in vocab.DEFAULT_STANDARD_POINTS)
+    return spine.filter("bad_label IS NULL").selectExpr(
+        f"coalesce(CAST(image_id AS STRING), '{vocab.DEFAULT_IMAGE_ID}') AS imageId",
+        "image_width AS imageWidth", "image_height AS imageHeight",
+        f"filter(array({entries}), m -> m.points IS NOT NULL) AS measurements",
+        f"{vocab.DEFAULT_STANDARD_DISTANCE}D AS standardDistance",
+        f"array({standard}) AS standardDistancePoints",
     )
 
 
 def measurements_long(spine: DataFrame) -> DataFrame:
     """One row per (image, measurement), ``ord`` being the spec order."""
-    entries = [
-        F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("type"), pts.alias("points"))
-        for i, (name, pts) in enumerate(measurement_points().items())
-    ]
+    entries = ", ".join(
+        f"named_struct('ord', {i}, 'type', '{name}', 'points', {pts})"
+        for i, (name, pts) in enumerate(measurement_points().items(), start=1)
+    )
     return (
-        spine.filter("bad_label is null")
-        .select("image_id", F.explode(F.array(*entries)).alias("m"))
-        .filter("m.points is not null")
+        spine.filter("bad_label IS NULL")
+        .selectExpr("image_id", f"explode(array({entries})) AS m")
+        .filter("m.points IS NOT NULL")
         .select("image_id", "m.ord", "m.type", "m.points")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinelens import vocab
@@ -10,38 +10,38 @@ from spinelens.functions import angles as A
 from spinelens.functions import points as P
 from spinelens.operators.measurements import measurement_points
 
+# One point-array column per measurement type, in the order of MEASUREMENT_TYPES.
+POINT_COLUMNS = [f"p{i}" for i in range(len(vocab.MEASUREMENT_TYPES))]
 
-def _point_columns() -> list[str]:
-    return [f"p{i}" for i in range(len(vocab.MEASUREMENT_TYPES))]
 
+def _metric_values() -> dict[str, str]:
+    """Metric formulas over :data:`POINT_COLUMNS`."""
+    by_type = dict(zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS))
 
-def _metric_values() -> dict[str, Column]:
-    """Metric formulas over the point-array columns of :func:`_point_columns`."""
-    by_type = dict(zip(vocab.MEASUREMENT_TYPES, map(F.col, _point_columns())))
-
-    def guarded(kind: str, needed: int, value) -> Column:
+    def guarded(kind: str, needed: int, value) -> str:
         pts = by_type[kind]
-        return F.when(F.size(pts) >= needed, value([P.at(pts, i) for i in range(needed)]))
+        formula = value([f"get({pts}, {i})" for i in range(needed)])
+        return f"CASE WHEN size({pts}) >= {needed} THEN {formula} END"
 
-    def slope(p: list[Column]) -> Column:
+    def slope(p: list[str]) -> str:
         return A.acute_to_horizontal(p[0], p[1])
 
-    def slope_difference(p: list[Column]) -> Column:
-        return F.abs(A.acute_to_horizontal(p[0], p[1]) - A.acute_to_horizontal(p[2], p[3]))
+    def slope_difference(p: list[str]) -> str:
+        return f"abs({A.acute_to_horizontal(p[0], p[1])} - {A.acute_to_horizontal(p[2], p[3])})"
+
+    def mid(p: str, q: str, c: str) -> str:
+        return f"(({p}.{c} + {q}.{c}) / 2)"
 
-    def pelvic_angle(p: list[Column]) -> Column:
-        t1 = P.point((p[0]["x"] + p[1]["x"] + p[2]["x"] + p[3]["x"]) / 4,
-                     (p[0]["y"] + p[1]["y"] + p[2]["y"] + p[3]["y"]) / 4)
-        return A.three_point(t1, p[4], P.midpoint(p[5], p[6]))
+    def pelvic_angle(p: list[str]) -> str:
+        return A.three_point(P.mean_of(p[:4]), p[4], P.midpoint(p[5], p[6]))
 
-    def incidence(p: list[Column]) -> Column:
-        s1 = P.midpoint(p[1], p[2])
-        to_s1 = F.degrees(F.atan2(s1["y"] - p[0]["y"], s1["x"] - p[0]["x"]))
-        return F.abs(A.acute_to_horizontal(p[1], p[2]) + 90 - to_s1)
+    def incidence(p: list[str]) -> str:
+        dx, dy = [f"{mid(p[1], p[2], c)} - {p[0]}.{c}" for c in ("x", "y")]
+        return f"abs({A.acute_to_horizontal(p[1], p[2])} + 90 - degrees(atan2({dy}, {dx})))"
 
-    def tilt(p: list[Column]) -> Column:
-        s1 = P.midpoint(p[1], p[2])
-        return F.abs(90 - F.degrees(F.atan2(s1["x"] - p[0]["x"], s1["y"] - p[0]["y"])))
+    def tilt(p: list[str]) -> str:
+        dx, dy = [f"{mid(p[1], p[2], c)} - {p[0]}.{c}" for c in ("x", "y")]
+        return f"abs(90 - degrees(atan2({dx}, {dy})))"
 
     formulas = {
         "T1_Slope": ("T1 Slope", 2, slope),
@@ -51,7 +51,7 @@ def _metric_values() -> dict[str, Column]:
         "Lumbar_Lordosis": ("LL L1-S1", 4, slope_difference),
         "Lumbar_Lordosis_L1_L4": ("LL L1-L4", 4, slope_difference),
         "Lumbar_Lordosis_L4_S1": ("LL L4-S1", 4, slope_difference),
-        "SVA": ("SVA", 2, lambda p: F.abs(p[0]["x"] - p[1]["x"])),
+        "SVA": ("SVA", 2, lambda p: f"abs({p[0]}.x - {p[1]}.x)"),
         "TPA": ("TPA", 7, pelvic_angle),
         "PI": ("PI", 3, incidence),
         "PT": ("PT", 3, tilt),
@@ -61,16 +61,15 @@ def _metric_values() -> dict[str, Column]:
 
 
 def _wide(with_points: DataFrame, passed: list[str]) -> DataFrame:
-    return with_points.select(
-        *passed, *[value.alias(name) for name, value in _metric_values().items()]
-    )
+    return with_points.selectExpr(
+        *passed, *[f"{value} AS {name}" for name, value in _metric_values().items()])
 
 
 def metrics_from_spine(spine: DataFrame) -> DataFrame:
     """Wide metrics straight from per-image endplates (measurements are built in the same row)."""
     pts = measurement_points()
-    columns = [pts[t].alias(c) for t, c in zip(vocab.MEASUREMENT_TYPES, _point_columns())]
-    return _wide(spine.filter("bad_label is null").select("image_id", *columns), ["image_id"])
+    columns = [f"{pts[t]} AS {c}" for t, c in zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS)]
+    return _wide(spine.filter("bad_label IS NULL").selectExpr("image_id", *columns), ["image_id"])
 
 
 def metrics_from_measurements(measurements: DataFrame) -> DataFrame:
@@ -78,95 +77,83 @@ def metrics_from_measurements(measurements: DataFrame) -> DataFrame:
 
     One aggregation with one buffer per known type, so a hot document is reduced map-side.
     """
-    def last_of(kind: str, column: str) -> Column:
-        hit = F.col("type") == kind
-        return F.max_by(F.when(hit, F.col("points")), F.when(hit, F.col("ord"))).alias(column)
-
-    grouped = measurements.groupBy("image_id").agg(
-        *[last_of(t, c) for t, c in zip(vocab.MEASUREMENT_TYPES, _point_columns())]
-    )
+    grouped = measurements.groupBy("image_id").agg(*[
+        F.expr(f"max_by(points, ord) FILTER (WHERE type = '{t}') AS {c}")
+        for t, c in zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS)
+    ])
     return _wide(grouped, ["image_id"])
 
 
 def metrics_from_documents(documents: DataFrame) -> DataFrame:
     """Wide metrics of nested keypoints documents, row-local; other columns pass through."""
-    def last_of(kind: str) -> Column:
-        same = F.filter("measurements", lambda m: m["type"] == kind)
-        return F.try_element_at(same, F.lit(-1))["points"]
-
     passed = [c for c in documents.columns if c != "measurements"]
-    columns = [last_of(t).alias(c) for t, c in zip(vocab.MEASUREMENT_TYPES, _point_columns())]
-    return _wide(documents.select(*passed, *columns), passed)
+    return _wide(documents.selectExpr(*passed, *[
+        f"try_element_at(filter(measurements, m -> m.type = '{t}'), -1).points AS {c}"
+        for t, c in zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS)
+    ]), passed)
 
 
 def with_sva_mm(documents: DataFrame) -> DataFrame:
     """Adds ``sva_mm``: SVA scaled by the document's standard distance (NULL for equal points)."""
-    a, b = P.at(F.col("standardDistancePoints"), 0), P.at(F.col("standardDistancePoints"), 1)
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    pixels = F.sqrt(dx * dx + dy * dy)
-    return documents.withColumn(
-        "sva_mm", F.try_divide(F.col("SVA") * F.col("standardDistance"), pixels))
+    a, b = "get(standardDistancePoints, 0)", "get(standardDistancePoints, 1)"
+    dx, dy = [f"({b}.{c} - {a}.{c})" for c in ("x", "y")]
+    return documents.withColumn("sva_mm", F.expr(
+        f"try_divide(SVA * standardDistance, sqrt({dx} * {dx} + {dy} * {dy}))"))
 
 
 def to_long(wide: DataFrame, key: str = "image_id", names: list[str] | None = None) -> DataFrame:
     """Sparse long form: no row for a metric that could not be computed."""
     names = names or vocab.METRICS
-    return wide.unpivot([key], names, "metric", "value").filter("value is not null")
+    return wide.unpivot([key], names, "metric", "value").filter("value IS NOT NULL")
 
 
 def to_document(wide: DataFrame, key: str = "image_id", names: list[str] | None = None) -> DataFrame:
     """Metrics documents ``(imageId, metrics MAP)`` with sparse keys."""
-    names = names or vocab.METRICS
-    full = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))
-    return wide.select(
-        F.col(key).alias("imageId"), F.map_filter(full, lambda _k, v: v.isNotNull()).alias("metrics"))
+    entries = ", ".join(f"'{n}', {n}" for n in names or vocab.METRICS)
+    return wide.selectExpr(
+        f"{key} AS imageId", f"map_filter(map({entries}), (k, v) -> v IS NOT NULL) AS metrics")
 
 
 def metric_coverage(wide: DataFrame, key: str = "image_id") -> DataFrame:
     """Every reported metric of every image, ``available`` telling whether it has a value."""
-    return wide.unpivot([key], vocab.REPORTED_METRICS, "metric", "value").select(
-        key, "metric", "value", F.col("value").isNotNull().alias("available"),
-        F.when(F.col("value").isNull(), F.lit("N/A (required vertebra missing)")).alias("note"),
+    return wide.unpivot([key], vocab.REPORTED_METRICS, "metric", "value").selectExpr(
+        key, "metric", "value", "value IS NOT NULL AS available",
+        "CASE WHEN value IS NULL THEN 'N/A (required vertebra missing)' END AS note",
     )
 
 
 def coverage_by_metric(wide: DataFrame) -> DataFrame:
     """Share of images in which each reported metric could be computed."""
     counts = wide.agg(
-        F.count(F.lit(1)).alias("n_images"),
-        *[F.count(F.col(m)).alias(m) for m in vocab.REPORTED_METRICS],
-    )
-    return counts.unpivot(["n_images"], vocab.REPORTED_METRICS, "metric", "n_available").select(
-        "metric", "n_images", "n_available",
-        F.try_divide(F.col("n_available").cast("double"), F.col("n_images")).alias("coverage"),
+        F.expr("count(1) AS n_images"),
+        *[F.expr(f"count({m}) AS {m}") for m in vocab.REPORTED_METRICS],
     )
+    return counts.unpivot(
+        ["n_images"], vocab.REPORTED_METRICS, "metric", "n_available"
+    ).selectExpr("metric", "n_images", "n_available",
+                 "try_divide(CAST(n_available AS DOUBLE), n_images) AS coverage")
 
 
 def metrics_normalised(spine: DataFrame) -> DataFrame:
     """The alternative calculator: metrics on normalised coordinates, so distorted by the aspect
     ratio of the image. Not another version of :func:`metrics_from_spine`."""
-    with_s1 = spine.filter("bad_label is null").withColumn("s1", P.estimate_s1(F.col("L5")))
-    col = F.col
-
-    def plate(label: str, side: str) -> tuple[Column, Column]:
-        return col(label)[f"{side}_posterior"], col(label)[f"{side}_anterior"]
+    def plate(label: str, side: str) -> tuple[str, str]:
+        return f"{label}.{side}_posterior", f"{label}.{side}_anterior"
 
-    def direction(label: str, side: str) -> Column:
+    def direction(label: str, side: str) -> str:
         return A.direction_to_horizontal(*plate(label, side))
 
-    head, s1 = col("cfh_center"), col("s1")
-    dx, dy = F.abs(s1["x"] - head["x"]), F.abs(s1["y"] - head["y"])
     values = {
         "T1_slope": direction("T1", "upper"),
         "cervical_lordosis": direction("C7", "lower"),
         "thoracic_kyphosis_T2_T5": A.between_lines(*plate("T2", "upper"), *plate("T5", "lower")),
         "thoracic_kyphosis_T5_T12": A.between_lines(*plate("T5", "upper"), *plate("T12", "lower")),
-        "lumbar_lordosis": F.when(s1.isNotNull(), direction("L1", "upper")),
-        "T1_pelvic_angle": A.three_point(col("T1")["center"], head, s1),
-        "SVA": F.abs(col("C7")["upper_posterior"]["x"] - s1["x"]),
-        "pelvic_incidence": A.to_vertical(head, s1),
-        "pelvic_tilt": F.degrees(F.atan2(dx, dy)),
+        "lumbar_lordosis": f"CASE WHEN s1 IS NOT NULL THEN {direction('L1', 'upper')} END",
+        "T1_pelvic_angle": A.three_point("T1.center", "cfh_center", "s1"),
+        "SVA": "abs(C7.upper_posterior.x - s1.x)",
+        "pelvic_incidence": A.to_vertical("cfh_center", "s1"),
+        "pelvic_tilt": "degrees(atan2(abs(s1.x - cfh_center.x), abs(s1.y - cfh_center.y)))",
         "sacral_slope": direction("L5", "lower"),
     }
-    return with_s1.select("image_id", *[v.alias(k) for k, v in values.items()])
+    with_s1 = spine.filter("bad_label IS NULL").withColumn("s1", F.expr(P.estimate_s1("L5")))
+    return with_s1.selectExpr("image_id", *[f"{v} AS {k}" for k, v in values.items()])
