@@ -6,7 +6,7 @@ per image. Nested form: one row per image document, array functions only, no shu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinelens import vocab
@@ -248,10 +248,9 @@ def detection_overview(vertebrae: DataFrame, cfh: DataFrame | None = None) -> Da
     )
 
 
-def sorted_labels(label_counts: Column) -> Column:
-    """The sorted label list with duplicates kept."""
-    return F.flatten(F.transform(
-        label_counts, lambda e: F.array_repeat(e["label"], e["n"].cast("int"))))
+def sorted_labels(label_counts: str) -> str:
+    """SQL text of the sorted label list with duplicates kept."""
+    return f"flatten(transform({label_counts}, e -> array_repeat(e.label, CAST(e.n AS INT))))"
 
 
 def measurement_point_counts(measurements: DataFrame) -> DataFrame:
