@@ -27,3 +27,34 @@ def number_within(
     return ranked.join(offsets, parts).withColumn(
         out, F.col("__before") + F.col("__rank")
     ).drop("__bucket", "__rank", "__before")
+
+
+def running_by_score(
+    df: DataFrame, keys: list[str], score: str, values: dict[str, str], descending: bool = True,
+    buckets: int = 4096,
+) -> DataFrame:
+    """Running aggregates (``sum`` or ``max`` calls, by output name) over a score between 0 and 1.
+
+    The running frame of a key is cut into score buckets: a running aggregate inside each bucket, a
+    running aggregate over one row per bucket, and their combination. No task sees more than one
+    bucket of a key. Rows of equal score share the result of the last of them.
+    """
+    order = F.desc if descending else F.asc
+    cut = df.withColumn("__bucket", F.expr(f"CAST(floor({score} * {buckets}) AS INT)"))
+    parts = [*keys, "__bucket"]
+    inside = Window.partitionBy(*parts).orderBy(order(score)).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy(order("__bucket")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    functions = {out: call.split("(")[0] for out, call in values.items()}
+    totals = cut.groupBy(*parts).agg(*[F.expr(f"{call} AS {out}") for out, call in values.items()])
+    before = totals.select(*parts, *[
+        F.expr(f"{functions[out]}({out})").over(earlier).alias(f"__{out}") for out in values])
+    local = cut.select("*", *[
+        F.expr(call).over(inside).alias(out) for out, call in values.items()])
+    joined = local.join(before, parts)
+    combined = {
+        out: F.expr(f"{out} + coalesce(__{out}, 0)" if fn == "sum" else f"greatest({out}, __{out})")
+        for out, fn in functions.items()
+    }
+    return joined.select(*df.columns, *[c.alias(out) for out, c in combined.items()])

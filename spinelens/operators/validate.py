@@ -38,15 +38,16 @@ def listing_head(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
 def class_distribution(lines: DataFrame, kind: str = "merged") -> DataFrame:
     """Objects per class among complete rows, as a share of all lines.
 
-    ``lines``: n_fields, class_id. Incomplete lines are counted under a NULL class, so the total is
-    the sum of the same small aggregate and the lines are read once.
+    ``lines``: n_fields, class_id. Both the objects and the total come from one small aggregate. The
+    filter is on an aggregated value, so it stays above the shuffle and the shuffle is reused.
     """
     n_classes = len(vocab.MERGED_CLASSES) if kind == "merged" else len(vocab.VERTEBRA_CLASSES)
-    per_class = lines.selectExpr(
-        "CASE WHEN n_fields >= 17 THEN class_id END AS class_id"
-    ).groupBy("class_id").agg(F.expr("count(1) AS n_objects"))
-    total = per_class.agg(F.sum("n_objects")).scalar()
-    return per_class.filter("class_id IS NOT NULL").select(
+    per_class = lines.groupBy("class_id").agg(
+        F.expr("count(1) AS n_lines"),
+        F.expr("count_if(n_fields >= 17 AND class_id IS NOT NULL) AS n_objects"),
+    )
+    total = per_class.agg(F.sum("n_lines")).scalar()
+    return per_class.filter("n_objects > 0").select(
         "class_id",
         F.expr(names.class_name("class_id", "Unknown_", n_classes)).alias("label"),
         "n_objects",

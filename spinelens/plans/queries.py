@@ -17,6 +17,7 @@ from spinelens.functions import points as P
 from spinelens.operators import audit as A
 from spinelens.operators import datasets as B
 from spinelens.operators import detections as D
+from spinelens.operators import evaluation as E
 from spinelens.operators import measurements as M
 from spinelens.operators import merge as G
 from spinelens.operators import metrics as X
@@ -574,3 +575,24 @@ def prediction_stats(spark, d):
 def prediction_ratios(spark, d):
     return _scaled_columns(R.prediction_ratios(_stats(spark, d)), [],
                            ["vertebrae_per_image", "keypoints_per_vertebra"], "1e6")
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+@query
+def match_detections(spark, d):
+    pairs = E.match_detections(T.raw_boxes(spark, d), T.truth_boxes(spark, d))
+    return _scaled_columns(pairs, ["image_id", "class_id", "truth_idx", "det_idx"],
+                           ["confidence", "iou"], "1e6")
+
+
+@query
+def evaluation_by_class(spark, d):
+    rows = E.evaluate_by_class(T.raw_boxes(spark, d), T.truth_boxes(spark, d))
+    return _scaled_columns(rows, ["class_id", "n_truth"], ["precision", "recall", "ap50", "ap50_95"], "1e6")
+
+
+@query
+def evaluation(spark, d):
+    rows = E.evaluate_detections(T.raw_boxes(spark, d), T.truth_boxes(spark, d))
+    return _scaled_columns(rows, [], ["precision", "recall", "ap50", "ap50_95"], "1e6")
