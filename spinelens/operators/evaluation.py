@@ -29,26 +29,25 @@ def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5)
     """For every distinct prediction box the true box it points to, where IoU >= ``threshold``.
 
     ``predictions``: image_id, class_id, x1..y2, det_idx, confidence; ``truth``: image_id, class_id,
-    x1..y2, truth_idx. Copies of a box are reduced first: copies of a true box have the same IoU,
-    so all predictions point to the first of them, and of equal predictions only the most confident
-    can be accepted.
+    x1..y2, truth_idx. Copies are reduced first: copies of a true box have the same IoU, so all
+    predictions point to the first of them, and of equal predictions only the first can be accepted.
 
     Candidates come from a grid. IoU >= t bounds the ratio of the heights by t and the distance of
-    the centres by (1 - t) times the larger height. A true box lies in one cell of the grid of its
-    power-of-two height class; a prediction probes the few cells its bound allows.
+    the centres by (1 - t) times the larger height. A prediction lies in one cell of the grid of its
+    power-of-two height class; a true box, the smaller side, probes the few cells its bound allows.
     """
-    pred = predictions.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX).agg(
-        F.expr("min(named_struct('nc', -confidence, 'det_idx', det_idx)) AS first"))
+    pred = predictions.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX, "confidence").agg(
+        F.expr("min(det_idx) AS det_idx"))
     true = truth.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX).agg(
         F.expr("min(truth_idx) AS truth_idx"))
-    true_cells = true.selectExpr(
-        *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX],
+    pred_cells = pred.selectExpr(
+        *_KEYS, "det_idx", "confidence", *[f"{c} AS p_{c}" for c in _BOX],
         "CAST(floor(log2(y2 - y1)) AS INT) AS level",
-    ).withColumn("cell", F.expr("CAST(floor((t_y1 + t_y2) / 2 / pow(2e0, level + 1)) AS BIGINT)"))
+    ).withColumn("cell", F.expr("CAST(floor((p_y1 + p_y2) / 2 / pow(2e0, level + 1)) AS BIGINT)"))
     # Slightly widened bounds keep pairs at the very edge of the threshold.
     t, slack = f"{threshold!r}D", "1.000001e0"
-    pred_cells = pred.selectExpr(
-        *_KEYS, "first", *[f"{c} AS p_{c}" for c in _BOX], "y2 - y1 AS h", "(y1 + y2) / 2 AS yc",
+    true_cells = true.selectExpr(
+        *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], "y2 - y1 AS h", "(y1 + y2) / 2 AS yc",
     ).selectExpr(
         "*", f"explode(sequence(CAST(floor(log2(h * {t} / {slack})) AS INT),"
              f" CAST(floor(log2(h / {t} * {slack})) AS INT))) AS level",
@@ -57,21 +56,20 @@ def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5)
     ).selectExpr(
         "*", f"greatest(h, side) * (1e0 - {t}) * {slack} AS reach",
     ).selectExpr(
-        *_KEYS, "first", *[f"p_{c}" for c in _BOX], "level",
+        *_KEYS, "truth_idx", *[f"t_{c}" for c in _BOX], "level",
         "explode(sequence(CAST(floor((yc - reach) / side) AS BIGINT),"
         " CAST(floor((yc + reach) / side) AS BIGINT))) AS cell",
     )
     pairs = pred_cells.join(true_cells, [*_KEYS, "level", "cell"]).selectExpr(
-        *_KEYS, "first", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX], "truth_idx",
-        f"{_IOU} AS overlap",
+        *_KEYS, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
+        "truth_idx", f"{_IOU} AS overlap",
     ).selectExpr(
-        *_KEYS, "first", "truth_idx",
+        *_KEYS, "det_idx", "confidence", "truth_idx",
         "overlap / ((p_x2 - p_x1) * (p_y2 - p_y1) + (t_x2 - t_x1) * (t_y2 - t_y1) - overlap) AS iou",
     ).filter(f"iou >= {t}")
-    return pairs.groupBy(*_KEYS, "first").agg(
+    return pairs.groupBy(*_KEYS, "det_idx", "confidence").agg(
         F.expr("max(named_struct('iou', iou, 'nt', -truth_idx)) AS best")
-    ).selectExpr(*_KEYS, "first.det_idx AS det_idx", "-first.nc AS confidence",
-                 "-best.nt AS truth_idx", "best.iou AS iou")
+    ).selectExpr(*_KEYS, "det_idx", "confidence", "-best.nt AS truth_idx", "best.iou AS iou")
 
 
 def match_detections(

@@ -48,8 +48,10 @@ def overlay_points(sized: DataFrame) -> DataFrame:
 
 def overlay_edges(sized: DataFrame) -> DataFrame:
     """Outline segments of the label rows that have all four keypoints visible."""
-    return _visible(sized).filter("size(visible) = 4").selectExpr(
-        "stem", "line_no", "class_id", f"inline({P.quad_edges('visible')})"
+    edges = P.quad_edges("visible")
+    return _visible(sized).selectExpr(
+        "stem", "line_no", "class_id",
+        f"inline(CASE WHEN size(visible) = 4 THEN {edges} END)"
     ).selectExpr("stem", "line_no", "class_id", "edge", "start.x AS x1", "start.y AS y1",
                  "stop.x AS x2", "stop.y AS y2")
 
@@ -68,8 +70,9 @@ def prediction_edges(
     )
     return detections.filter(F.col("confidence") >= confidence).selectExpr(
         "image_id", "det_idx", f"{confident} AS visible"
-    ).filter("size(visible) >= 2").selectExpr(
-        "image_id", "det_idx", f"inline({P.quad_edges('visible')})"
+    ).selectExpr(
+        "image_id", "det_idx",
+        f"inline(CASE WHEN size(visible) >= 2 THEN {P.quad_edges('visible')} END)"
     ).selectExpr("image_id", "det_idx", "edge", "start.x AS x1", "start.y AS y1",
                  "stop.x AS x2", "stop.y AS y2")
 

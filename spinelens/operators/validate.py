@@ -38,21 +38,17 @@ def listing_head(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
 def class_distribution(lines: DataFrame, kind: str = "merged") -> DataFrame:
     """Objects per class among complete rows, as a share of all lines.
 
-    ``lines``: n_fields, class_id. Both the objects and the total come from one small aggregate. The
-    filter is on an aggregated value, so it stays above the shuffle and the shuffle is reused.
+    ``lines``: n_fields, class_id. The lines are read once; the total is taken over the class counts.
     """
     n_classes = len(vocab.MERGED_CLASSES) if kind == "merged" else len(vocab.VERTEBRA_CLASSES)
     per_class = lines.groupBy("class_id").agg(
         F.expr("count(1) AS n_lines"),
         F.expr("count_if(n_fields >= 17 AND class_id IS NOT NULL) AS n_objects"),
     )
-    total = per_class.agg(F.sum("n_lines")).scalar()
-    return per_class.filter("n_objects > 0").select(
-        "class_id",
-        F.expr(names.class_name("class_id", "Unknown_", n_classes)).alias("label"),
-        "n_objects",
-        F.try_divide(F.col("n_objects") * F.lit(100.0), total).alias("pct"),
-    )
+    with_total = per_class.withColumn("total", F.expr("sum(n_lines) OVER ()"))
+    return with_total.filter("n_objects > 0").selectExpr(
+        "class_id", f"{names.class_name('class_id', 'Unknown_', n_classes)} AS label", "n_objects",
+        "try_divide(n_objects * 100e0, total) AS pct")
 
 
 def keypoint_totals(lines: DataFrame, label_files: DataFrame, kind: str = "merged") -> DataFrame:

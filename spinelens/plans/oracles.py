@@ -657,7 +657,7 @@ WHERE stem NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 25)"""
 
 
 def _thousandths(i: int) -> str:
-    return f"((l_suppkey * {7 + i} + l_linenumber) % 1000)"
+    return f"((l_suppkey * {7 + i % 2} + l_linenumber) % 1000)"
 
 
 def _text(i: int) -> str:

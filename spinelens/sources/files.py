@@ -126,9 +126,13 @@ def read_label_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_label_lines(lines: DataFrame) -> DataFrame:
-    """Label lines as typed rows; what is not a number becomes NULL."""
+    """Label lines as typed rows; what is not a number becomes NULL.
+
+    The field array comes out of a one-element generator. A later filter on a parsed column then
+    stays above it; pushed below, it would split every line again for each use of a field.
+    """
     passed = lines.columns
-    return lines.selectExpr(*passed, f"{label_text.fields()} AS fields").selectExpr(
+    return lines.selectExpr(*passed, f"explode(array({label_text.fields()})) AS fields").selectExpr(
         *passed, "size(fields) AS n_fields", "try_cast(get(fields, 0) AS INT) AS class_id",
         "try_cast(get(fields, 1) AS DOUBLE) AS cx", "try_cast(get(fields, 2) AS DOUBLE) AS cy",
         "try_cast(get(fields, 3) AS DOUBLE) AS w", "try_cast(get(fields, 4) AS DOUBLE) AS h",

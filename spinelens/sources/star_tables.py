@@ -237,18 +237,18 @@ def corpus_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label text lines: 17 fields, every eleventh part cut to nine, some class ids not numbers."""
-    numbers = ["0." + f"', lpad(CAST((l_suppkey * {7 + i} + l_linenumber) % 1000 AS STRING), 3, '0'), '"
-               for i in range(12)]
-    fields = [f"'{n}'" for n in numbers]
-    text = {i: f"concat({f})" for i, f in enumerate(fields)}
-    box = ", ".join(text[i] for i in range(4))
-    keypoints = ", ".join(f"{text[4 + 2 * i]}, {text[5 + 2 * i]}, '2'" for i in range(4))
+    box = "a, b, a, b"
+    keypoints = ", ".join("a, b, '2'" for _ in range(4))
     class_text = ("CASE WHEN l_partkey % 101 = 0 THEN concat('x', l_partkey % 20)"
-                  " ELSE CAST(l_partkey % 20 AS STRING) END")
+                  " ELSE CAST(l_partkey % 20 AS STRING) END AS class_text")
+    number = "concat('0.', lpad(CAST((l_suppkey * {} + l_linenumber) % 1000 AS STRING), 3, '0'))"
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS stem", "l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS line_no",
-        f"CASE WHEN l_partkey % 11 = 0 THEN concat_ws(' ', {class_text}, {box}, {text[4]}, {text[5]}, '2', '0.5')"
-        f" ELSE concat_ws('  ', {class_text}, {box}, {keypoints}) END AS line",
+        "l_partkey", class_text, f"{number.format(7)} AS a", f"{number.format(8)} AS b",
+    ).selectExpr(
+        "stem", "line_no",
+        f"CASE WHEN l_partkey % 11 = 0 THEN concat_ws(' ', class_text, {box}, a, b, '2', '0.5')"
+        f" ELSE concat_ws('  ', class_text, {box}, {keypoints}) END AS line",
     )
 
 
