@@ -17,7 +17,7 @@ def fields(line: str = "line") -> str:
 
     Tabs and the like become blanks first: splitting at one character needs no regular expression.
     """
-    return f"array_remove(split(translate({line}, '\\t\\r\\n\\f\\u000B', '     '), ' '), '')"
+    return f"array_remove(split(translate({line}, '\\t\\r\\n\\u000C\\u000B', '     '), ' '), '')"
 
 
 def keypoint_fields(parts: str = "fields") -> str:

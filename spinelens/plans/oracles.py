@@ -789,20 +789,20 @@ ORACLES["prediction_ratios"] = (
 
 _EVAL = f"""WITH {_DET},
 pred AS (
-  SELECT image_id, det_idx, CAST(l_partkey % 20 AS INT) AS class_id, confidence, l_linenumber,
+  SELECT row_number() OVER () AS rid, image_id, det_idx, CAST(l_partkey % 20 AS INT) AS class_id, confidence, l_linenumber,
          (cx - hw) * img_w AS x1, (cy - hh) * img_h AS y1, (cx + hw) * img_w AS x2, (cy + hh) * img_h AS y2 FROM det),
 truth AS (
   SELECT image_id, det_idx AS truth_idx, class_id, x1 + 5 * (l_linenumber - 4) AS x1, y1 + 5 * (l_linenumber - 4) AS y1,
          x2 + 5 * (l_linenumber - 4) AS x2, y2 + 5 * (l_linenumber - 4) AS y2 FROM pred WHERE det_idx % 7 <> 0),
 candidates AS (
-  SELECT p.image_id, p.class_id, p.det_idx, p.confidence, t.truth_idx,
+  SELECT p.rid, p.image_id, p.class_id, p.det_idx, p.confidence, t.truth_idx,
          greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS o,
          (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta
   FROM pred p JOIN truth t ON p.image_id = t.image_id AND p.class_id = t.class_id),
 pointing AS (
   SELECT * FROM (
     SELECT *, o / (pa + ta - o) AS iou,
-           row_number() OVER (PARTITION BY image_id, det_idx ORDER BY o / (pa + ta - o) DESC, truth_idx) AS r FROM candidates)
+           row_number() OVER (PARTITION BY rid ORDER BY o / (pa + ta - o) DESC, truth_idx) AS r FROM candidates)
   WHERE r = 1)"""
 ORACLES["match_detections"] = f"""{_EVAL}
 SELECT image_id, class_id, truth_idx, det_idx, {_scaled('confidence')} AS confidence, {_scaled('iou')} AS iou FROM (
@@ -813,13 +813,13 @@ steps(step, lim) AS (VALUES {', '.join(f'({i}, {t}e0)' for i, t in enumerate(
     (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)))}),
 hit AS (
   SELECT * FROM (
-    SELECT image_id, class_id, det_idx, step,
+    SELECT rid, det_idx, step,
            row_number() OVER (PARTITION BY image_id, truth_idx, step ORDER BY confidence DESC, det_idx) AS r
     FROM pointing JOIN steps ON iou >= lim) WHERE r = 1),
 n_truth AS (SELECT class_id, count(*) AS n_truth FROM truth GROUP BY class_id),
 flagged AS (
   SELECT p.class_id, s.step, p.confidence, CASE WHEN h.det_idx IS NULL THEN 0 ELSE 1 END AS tp
-  FROM pred p CROSS JOIN steps s LEFT JOIN hit h ON h.image_id = p.image_id AND h.det_idx = p.det_idx AND h.step = s.step),
+  FROM pred p CROSS JOIN steps s LEFT JOIN hit h ON h.rid = p.rid AND h.step = s.step),
 levels AS (SELECT class_id, step, confidence, count(*) AS n, sum(tp) AS tp FROM flagged GROUP BY ALL),
 curve AS (
   SELECT *, sum(tp) OVER w AS cum_tp, sum(n) OVER w AS cum_n FROM levels
