@@ -1,4 +1,8 @@
-"""Annotation, image and label files below a corpus directory ``<root>/<sample>/<file>``."""
+"""Annotation, image and label files below a corpus directory ``<root>/<sample>/<file>``.
+
+Spark's file sources do not list files of zero bytes. Such files carry neither labels nor an
+image; where they have to be counted, add them from a manifest, as samples are.
+"""
 
 from __future__ import annotations
 
@@ -120,7 +124,8 @@ def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Stems of the label files, empty files included."""
+    """Stems of the label files found in a directory. Spark's file sources leave out files of zero
+    bytes; where empty label files occur, union their stems from a manifest."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return files.selectExpr(f"{names.stem(names.last_part('path'))} AS stem")
 
