@@ -38,7 +38,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Expected labels of a vocabulary file with their line order, blanks dropped."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return (
         text.selectExpr("posexplode(split(value, '\\\\r?\\\\n')) AS (ord, line)")
         .selectExpr("trim(line) AS label", "ord").filter("label <> ''")
@@ -115,7 +115,7 @@ def _plain(path: str) -> str:
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of label text files, numbered in file order. Each file is one small text."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    text = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return text.selectExpr(
         f"{names.stem(names.last_part('_metadata.file_path'))} AS stem",
         "posexplode(split(regexp_replace(value, '\\\\n$', ''), '\\\\n')) AS (pos, line)",
