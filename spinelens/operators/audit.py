@@ -112,6 +112,13 @@ def summary_rates(summary: DataFrame) -> DataFrame:
     )
 
 
+def label_gaps(audit: DataFrame) -> DataFrame:
+    """Row form of the missing lists: one row per sample and expected label it lacks."""
+    kinds = [("polygon", "missing_poly"), ("point", "missing_point")]
+    both = ", ".join(f"transform({c}, l -> named_struct('kind', '{k}', 'label', l))" for k, c in kinds)
+    return audit.selectExpr("sample_id", f"inline(concat({both}))")
+
+
 def missing_by_label(
     audit: DataFrame, poly_labels: list[str], point_labels: list[str]
 ) -> DataFrame:

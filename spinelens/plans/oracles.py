@@ -840,3 +840,24 @@ ORACLES["evaluation_by_class"] = f"{_SCORES} SELECT class_id, n_truth, " + ", ".
     f"{_scaled(c)} AS {c}" for c in _SCORE_COLUMNS) + " FROM classes"
 ORACLES["evaluation"] = f"{_SCORES} SELECT " + ", ".join(
     f"{_scaled(f'avg({c})')} AS {c}" for c in _SCORE_COLUMNS) + " FROM classes"
+
+# --- further listings ---------------------------------------------------------------------------
+
+ORACLES["label_gaps"] = f"""{_AUDIT}
+SELECT b.sample_id, 'polygon' AS kind, v.label FROM base b CROSS JOIN (VALUES ('V1'), ('V2'), ('V3')) AS v(label)
+WHERE NOT EXISTS (SELECT 1 FROM polys p WHERE p.sample_id = b.sample_id AND p.label = v.label)
+UNION ALL SELECT sample_id, 'point', 'P' FROM base WHERE NOT has_p"""
+ORACLES["sorted_incomplete"] = f"""{_AUDIT} SELECT * FROM (
+SELECT sample_id, CAST(n_poly AS INT) AS missing_count,
+       CAST(row_number() OVER (ORDER BY n_poly DESC, sample_id) AS INT) AS rank
+FROM audit WHERE has_annotation AND n_poly > 0) WHERE rank <= 20"""
+ORACLES["pairing_head"] = f"""SELECT * FROM ({ORACLES['pairing_missing']}) WHERE missing = 'label' ORDER BY stem LIMIT 5"""
+ORACLES["descriptor_violations"] = """
+SELECT 'nc: expected 18, found 19' AS violation FROM (SELECT count(*) FROM lineitem)
+UNION ALL SELECT 'kpt_shape: expected [4, 3]' FROM (SELECT count(*) FROM lineitem)"""
+ORACLES["reference_heights"] = f"""WITH {_DET}
+SELECT image_id, {_scaled('avg(greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3))')} AS avg_height FROM (
+  SELECT image_id, floor((cy - hh + t) * img_h) AS y0, floor((cy - hh - t) * img_h) AS y1,
+         floor((cy + hh - t) * img_h) AS y2, floor((cy + hh + t) * img_h) AS y3
+  FROM det WHERE l_partkey % 13 <> 0) GROUP BY image_id"""
+ORACLES["detection_total"] = f"{_RAW} SELECT count(*) AS total_detections FROM raw WHERE confidence >= 0.25e0"

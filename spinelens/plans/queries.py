@@ -260,6 +260,19 @@ def selection_counts(spark, d):
     return _scaled_columns(rows, keys, ["valid_pct", "excluded_pct"], "1e6")
 
 
+@query
+def label_gaps(spark, d):
+    return A.label_gaps(_audit(spark, d))
+
+
+@query
+def sorted_incomplete(spark, d):
+    """The incomplete samples in report order, as numbered head of the listing."""
+    listed = SEL.sorted_selection(SEL.selection_status(_audit(spark, d)), "incomplete").limit(20)
+    return A.with_rank(listed, F.desc("missing_count"), F.col("sample_id")).select(
+        "sample_id", "missing_count", "rank")
+
+
 # --- polygons and label datasets ----------------------------------------------------------------
 
 @query
@@ -482,6 +495,24 @@ def format_examples(spark, d):
     return V.format_examples(_lines(spark, d))
 
 
+@query
+def pairing_head(spark, d):
+    missing = pairing_missing(spark, d).filter("missing = 'label'")
+    return V.listing_head(missing, ["stem"], 5)
+
+
+@query
+def descriptor_violations(spark, d):
+    totals = _merge_stats(spark, d).select("total_images")
+    return V.descriptor_violations(G.dataset_descriptor(totals, vocab.MERGED_CLASSES, None, "merged"))
+
+
+@query
+def reference_heights(spark, d):
+    rows = B.reference_heights(_pixel_shapes(spark, d), ["image_id"])
+    return _scaled_columns(rows, ["image_id"], ["avg_height"], "1e6")
+
+
 # --- overlays, detections, predictions ----------------------------------------------------------
 
 def _sized_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -577,6 +608,11 @@ def prediction_ratios(spark, d):
                            ["vertebrae_per_image", "keypoints_per_vertebra"], "1e6")
 
 
+@query
+def detection_total(spark, d):
+    return R.detection_total(D.confident(T.raw_boxes(spark, d), 0.25))
+
+
 # --- scores -------------------------------------------------------------------------------------
 
 @query
