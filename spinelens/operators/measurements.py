@@ -155,14 +155,13 @@ def require_four_keypoints(spine: DataFrame) -> DataFrame:
         F.col("bad_label").isNotNull(), F.raise_error(reason).cast("string")))
 
 
-def measurement_points() -> dict[str, str]:
-    """Points of every measurement type in pixels, NULL where a required part is absent."""
+def measurement_parts() -> dict[str, tuple[str, list[str]]]:
+    """Per measurement type the condition under which it exists, and its points in pixels."""
     def plate(label: str, side: str) -> list[str]:
         return [P.to_pixel(f"{label}.{side}_anterior"), P.to_pixel(f"{label}.{side}_posterior")]
 
-    def given(parts: list[str], pts: list[str]) -> str:
-        present = " AND ".join(f"{name} IS NOT NULL" for name in parts)
-        return f"CASE WHEN {present} THEN array({', '.join(pts)}) END"
+    def given(parts: list[str], pts: list[str]) -> tuple[str, list[str]]:
+        return " AND ".join(f"{name} IS NOT NULL" for name in parts), pts
 
     head = P.to_pixel("cfh_center")
     pelvis = given(["L5", "cfh_center"], [head, *plate("L5", "lower")])
@@ -184,6 +183,14 @@ def measurement_points() -> dict[str, str]:
     }
 
 
+def measurement_points() -> dict[str, str]:
+    """Points of every measurement type in pixels, NULL where a required part is absent."""
+    return {
+        kind: f"CASE WHEN {present} THEN array({', '.join(pts)}) END"
+        for kind, (present, pts) in measurement_parts().items()
+    }
+
+
 def measurements_nested(spine: DataFrame) -> DataFrame:
     """Keypoints documents: one row per accepted image with its measurements in spec order."""
     entries = ", ".join(

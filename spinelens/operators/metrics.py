@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from spinelens import vocab
 from spinelens.functions import angles as A
 from spinelens.functions import points as P
-from spinelens.operators.measurements import measurement_points
+from spinelens.operators.measurements import measurement_parts
 
 # One point-array column per measurement type, in the order of MEASUREMENT_TYPES.
 POINT_COLUMNS = [f"p{i}" for i in range(len(vocab.MEASUREMENT_TYPES))]
 
 
-def _metric_values() -> dict[str, str]:
-    """Metric formulas over :data:`POINT_COLUMNS`."""
-    by_type = dict(zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS))
+def _stored_points() -> dict[str, tuple[str, list[str]]]:
+    """Condition and points of every type, read from :data:`POINT_COLUMNS`."""
+    needed = [2, 4, 4, 4, 4, 4, 4, 2, 7, 3, 3, 2]  # fixed values: points a metric needs
+    return {
+        kind: (f"size({column}) >= {n}", [f"get({column}, {i})" for i in range(n)])
+        for kind, column, n in zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS, needed)
+    }
+
 
-    def guarded(kind: str, needed: int, value) -> str:
-        pts = by_type[kind]
-        formula = value([f"get({pts}, {i})" for i in range(needed)])
-        return f"CASE WHEN size({pts}) >= {needed} THEN {formula} END"
+def _metric_values(points: dict[str, tuple[str, list[str]]]) -> dict[str, str]:
+    """Metric formulas over the points of each measurement type."""
+    def guarded(kind: str, value) -> str:
+        present, pts = points[kind]
+        return f"CASE WHEN {present} THEN {value(pts)} END"
 
     def slope(p: list[str]) -> str:
         return A.acute_to_horizontal(p[0], p[1])
@@ -44,32 +50,32 @@ def _metric_values() -> dict[str, str]:
         return f"abs(90 - degrees(atan2({dx}, {dy})))"
 
     formulas = {
-        "T1_Slope": ("T1 Slope", 2, slope),
-        "Cervical_Lordosis": ("C2-C7 CL", 4, slope_difference),
-        "Thoracic_Kyphosis_T2_T5": ("TK T2-T5", 4, slope_difference),
-        "Thoracic_Kyphosis_T5_T12": ("TK T5-T12", 4, slope_difference),
-        "Lumbar_Lordosis": ("LL L1-S1", 4, slope_difference),
-        "Lumbar_Lordosis_L1_L4": ("LL L1-L4", 4, slope_difference),
-        "Lumbar_Lordosis_L4_S1": ("LL L4-S1", 4, slope_difference),
-        "SVA": ("SVA", 2, lambda p: f"abs({p[0]}.x - {p[1]}.x)"),
-        "TPA": ("TPA", 7, pelvic_angle),
-        "PI": ("PI", 3, incidence),
-        "PT": ("PT", 3, tilt),
-        "SS": ("SS", 2, slope),
+        "T1_Slope": ("T1 Slope", slope),
+        "Cervical_Lordosis": ("C2-C7 CL", slope_difference),
+        "Thoracic_Kyphosis_T2_T5": ("TK T2-T5", slope_difference),
+        "Thoracic_Kyphosis_T5_T12": ("TK T5-T12", slope_difference),
+        "Lumbar_Lordosis": ("LL L1-S1", slope_difference),
+        "Lumbar_Lordosis_L1_L4": ("LL L1-L4", slope_difference),
+        "Lumbar_Lordosis_L4_S1": ("LL L4-S1", slope_difference),
+        "SVA": ("SVA", lambda p: f"abs({p[0]}.x - {p[1]}.x)"),
+        "TPA": ("TPA", pelvic_angle),
+        "PI": ("PI", incidence),
+        "PT": ("PT", tilt),
+        "SS": ("SS", slope),
     }
     return {name: guarded(*spec) for name, spec in formulas.items()}
 
 
 def _wide(with_points: DataFrame, passed: list[str]) -> DataFrame:
     return with_points.selectExpr(
-        *passed, *[f"{value} AS {name}" for name, value in _metric_values().items()])
+        *passed, *[f"{v} AS {name}" for name, v in _metric_values(_stored_points()).items()])
 
 
 def metrics_from_spine(spine: DataFrame) -> DataFrame:
-    """Wide metrics straight from per-image endplates (measurements are built in the same row)."""
-    pts = measurement_points()
-    columns = [f"{pts[t]} AS {c}" for t, c in zip(vocab.MEASUREMENT_TYPES, POINT_COLUMNS)]
-    return _wide(spine.filter("bad_label IS NULL").selectExpr("image_id", *columns), ["image_id"])
+    """Wide metrics straight from per-image endplates; the measurement points stay expressions."""
+    values = _metric_values(measurement_parts())
+    return spine.filter("bad_label IS NULL").selectExpr(
+        "image_id", *[f"{v} AS {name}" for name, v in values.items()])
 
 
 def metrics_from_measurements(measurements: DataFrame) -> DataFrame:

@@ -48,12 +48,14 @@ def overlay_points(sized: DataFrame) -> DataFrame:
 
 def overlay_edges(sized: DataFrame) -> DataFrame:
     """Outline segments of the label rows that have all four keypoints visible."""
-    edges = P.quad_edges("visible")
-    return _visible(sized).selectExpr(
-        "stem", "line_no", "class_id",
-        f"inline(CASE WHEN size(visible) = 4 THEN {edges} END)"
-    ).selectExpr("stem", "line_no", "class_id", "edge", "start.x AS x1", "start.y AS y1",
-                 "stop.x AS x2", "stop.y AS y2")
+    quads = sized.filter("size(keypoints) = 4 AND " + " AND ".join(
+        f"get(keypoints, {i}).v > 0" for i in range(4)))
+    corners = quads.selectExpr("stem", "line_no", "class_id", *[
+        f"CAST(get(keypoints, {i}).{c} * {extent} AS INT) AS {c}{i}"
+        for i in range(4) for c, extent in (("x", "width"), ("y", "height"))])
+    edges = ", ".join(f"{i}, x{i}, y{i}, x{(i + 1) % 4}, y{(i + 1) % 4}" for i in range(4))
+    return corners.selectExpr(
+        "stem", "line_no", "class_id", f"stack(4, {edges}) AS (edge, x1, y1, x2, y2)")
 
 
 def prediction_edges(
