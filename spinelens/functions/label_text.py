@@ -17,7 +17,10 @@ def fields(line: str = "line") -> str:
 
     Tabs and the like become blanks first: splitting at one character needs no regular expression.
     """
-    return f"array_remove(split(translate({line}, '\\t\\r\\n\\u000C\\u000B', '     '), ' '), '')"
+    text = line
+    for blank in ("\\t", "\\r", "\\n", "\\u000B", "\\u000C"):
+        text = f"replace({text}, '{blank}', ' ')"
+    return f"array_remove(split({text}, ' '), '')"
 
 
 def keypoint_fields(parts: str = "fields") -> str:
