@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from spinelens.plans.oracles import ORACLES
+from spinelens.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,7 @@ def duck(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
