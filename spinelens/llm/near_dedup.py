@@ -15,10 +15,12 @@ from spinelens.llm.components import components
 
 #: MinHash samples: bands x rows. A pair of similarity 0.8 shares no band with a chance below 1e-6.
 BANDS, ROWS = 36, 5
-#: Bits of an odd sketch, a multiple of 64.
-BITS = 512
-#: Standard deviations of the sketch's estimate by which it may fall short of the threshold.
-SLACK = 5.0
+#: One-permutation MinHash samples (a power of two) that an odd sketch folds, and its bits, a multiple of 64.
+SAMPLES, BITS = 1024, 1024
+#: Standard deviations of the sketches' estimate by which it may fall short of the threshold.
+SLACK = 4.0
+#: Members of a bucket that meet in one block: outside its largest component, and all.
+STRAYS, MEMBERS = 128, 512
 #: Hashes of words kept per worker; others are computed again.
 WORDS = 1 << 18
 
@@ -66,23 +68,32 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(_mix(out + _U(width)))
 
 
-def signature(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch of a non-empty set.
-
-    Every MinHash sample, with its number, flips one bit of the sketch.
-    """
+def bands_of(items: np.ndarray) -> np.ndarray:
+    """Band keys of a non-empty set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, _U)
     for start in range(0, len(items), 1024):
         block = items[start: start + 1024, None] ^ _XOR
         block *= _ODD
         np.minimum(least, block.min(axis=0), out=least)
-    numbers = np.arange(BANDS * ROWS, dtype=_U)
-    bits = np.bincount((_mix(least + numbers * _STEP) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
     bands = least.reshape(BANDS, ROWS)
     keys = np.arange(BANDS, dtype=_U)
     for j in range(ROWS):
         keys = _mix(keys * _STEP + bands[:, j])
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64)
+
+
+def sketch_of(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketch and occupied samples of a set (sorted hashes), as 64-bit words.
+
+    The hashes' upper bits are a sample's number, its smallest hash is the sample; every sample flips one
+    bit of the sketch. A small set is nearly its own sample, so the estimate is sharpest there.
+    """
+    place = items >> _U(64 - (SAMPLES.bit_length() - 1))
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    occupied = np.zeros(SAMPLES, np.uint8)
+    occupied[place[first].astype(np.int64)] = 1
+    flips = np.bincount((_mix(items[first]) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64), np.packbits(occupied).view(np.int64)
 
 
 def _ready(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,25 +109,26 @@ def _digest(items: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``id, n, d1, d2, bands, odd`` of ``id, text`` rows: set size, set digest, band keys, sketch."""
+    """``id, n, d1, d2, bands, odd, taken`` of ``id, text`` rows: set size and digest, band keys, sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, bands, odd = [], [], [], [], []
+            n, d1, d2, bands, odd, taken = [], [], [], [], [], []
             for text in batch.column(1):
                 items = shingles(text.as_py() or "", k)
                 one, two = _digest(items)
-                keys, sketch = signature(items) if len(items) else (None, None)
+                sketch, occupied = sketch_of(items) if len(items) else (None, None)
                 n.append(len(items))
                 d1.append(one)
                 d2.append(two)
-                bands.append(keys)
+                bands.append(bands_of(items) if len(items) else None)
                 odd.append(sketch)
+                taken.append(occupied)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["id", "n", "d1", "d2", "bands", "odd"])
+                 *(pa.array(c, pa.list_(pa.int64())) for c in (bands, odd, taken))],
+                names=["id", "n", "d1", "d2", "bands", "odd", "taken"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>, taken array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -131,19 +143,122 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
-def most_flips(percent: int) -> int:
-    """Differing sketch bits beyond which a pair is certainly (by ``SLACK``) below the threshold."""
-    samples, j = BANDS * ROWS, percent / 100
-    low = max(0.0, j - SLACK * math.sqrt(j * (1 - j) / samples))
-    apart = 2 * samples * (1 - low)
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** apart)
-    return math.ceil(mean + SLACK * math.sqrt(BITS) / 2 * math.sqrt(1 - (1 - 2 / BITS) ** (2 * apart)))
+def _bits(left: str, op: str, right: str) -> str:
+    words = (SAMPLES if op == "|" else BITS) // 64
+    return "(" + " + ".join(f"bit_count(get({left}, {i}) {op} get({right}, {i}))" for i in range(words)) + ")"
 
 
 def _plausible(percent: int) -> str:
-    """Sizes allow the threshold, and the sketches' parities do not speak against it."""
-    flips = " + ".join(f"bit_count(get(x.odd, {i}) ^ get(y.odd, {i}))" for i in range(BITS // 64))
-    return (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {flips} <= {most_flips(percent)}")
+    """Set sizes allow the threshold, and the sketches' estimate does not lie ``SLACK`` deviations below it.
+
+    With u occupied samples in either set, d of them told apart by the flipped bits and m + n in all, the
+    estimate is (m + n - d) / 2u. Its variance is that of drawing u of the union's elements without
+    replacement, and that of d, both at the threshold.
+    """
+    j = percent / 100
+    union, total = _bits("x.taken", "|", "y.taken"), "(x.m + y.m)"
+    differ = f"(ln(1D - 2D * least({_bits('x.odd', '^', 'y.odd')}, {BITS // 2 - 1}) / {BITS}D) / {math.log(1 - 2 / BITS)!r}D)"
+    at = f"greatest({total} - {2 * j!r}D * {union}, 1D)"
+    fade = f"exp(-4D * {at} / {BITS}D)"
+    noise = f"(({BITS // 4}D * (1D - {fade}) - {at} * {fade}) / {fade} + 1D)"
+    drawn = f"(1D - least(1D, {1 + j!r}D * {union} / (x.n + y.n)))"
+    deviation = f"sqrt({j * (1 - j)!r}D / {union} * {drawn} + {noise} / (4D * {union} * {union}))"
+    return (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+            f" AND ({total} - {differ}) / (2D * {union}) >= {j!r}D - {SLACK}D * {deviation}")
+
+
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members outside their bucket's largest component, and all members, dealt into blocks of bounded size.
+
+    Both sides have ``key, sb, mb``; every pair of the two meets in exactly one block.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("all")).selectExpr(
+        "key", "x.root AS major", f"CAST(ceil((all - x.c) / {STRAYS}) AS INT) AS ns", f"CAST(ceil(all / {MEMBERS}) AS INT) AS nm")
+    placed = rows.join(major, "key").where("ns > 0")
+    strays = placed.where("root <> major").withColumns({
+        "sb": F.expr("CAST(pmod(xxhash64(node), ns) AS INT)"), "mb": F.explode(F.expr("sequence(0, nm - 1)"))})
+    members = placed.withColumns({
+        "mb": F.expr("CAST(pmod(xxhash64(node), nm) AS INT)"), "sb": F.explode(F.expr("sequence(0, ns - 1)"))})
+    # fresh column identities: both sides come from the same rows
+    names = [*rows.columns, "sb", "mb"]
+    return strays.select(*names).toDF(*names), members.select(*names).toDF(*names)
+
+
+def _words_of(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).view(_U).reshape(len(column), -1)
+
+
+def _estimated(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Which pairs of two blocks are plausible; the numpy form of ``_plausible``."""
+    j = percent / 100
+    out = np.zeros((len(x["n"]), len(y["n"])), bool)
+    for i in range(len(out)):
+        union = np.bitwise_count(x["taken"][i] | y["taken"]).sum(1).astype(float)
+        flips = np.bitwise_count(x["odd"][i] ^ y["odd"]).sum(1)
+        total = (x["m"][i] + y["m"]).astype(float)
+        differ = np.log(1 - 2 * np.minimum(flips, BITS // 2 - 1) / BITS) / math.log(1 - 2 / BITS)
+        at = np.maximum(total - 2 * j * union, 1)
+        fade = np.exp(-4 * at / BITS)
+        noise = (BITS / 4 * (1 - fade) - at * fade) / fade + 1
+        drawn = 1 - np.minimum(1, (1 + j) * union / (x["n"][i] + y["n"]))
+        deviation = np.sqrt(j * (1 - j) / union * drawn + noise / (4 * union * union))
+        out[i] = (100 * np.minimum(x["n"][i], y["n"]) >= percent * np.maximum(x["n"][i], y["n"])) & (
+            (total - differ) / (2 * union) >= j - SLACK * deviation) & (x["root"][i] != y["root"])
+    return out
+
+
+def _sketched(table: pa.Table) -> dict:
+    return {c: table.column(c).to_numpy() for c in ("node", "root", "n", "m")} | {
+        c: _words_of(table, c) for c in ("odd", "taken")}
+
+
+def _across(rows: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components of a bucket, from ``key, node, root, n, m, odd, taken``.
+
+    Members outside the largest component meet all members in blocks. The first pass only says which rows have
+    a plausible partner; the second compares their full sets and gives, per member and other component, one
+    link. Neither emits pairs that are no links.
+    """
+    by = ["key", "sb", "mb"]
+
+    def plausible(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            x, y = _sketched(left), _sketched(right)
+            hit = _estimated(x, y, percent)
+            found = np.unique(np.concatenate([x["node"][hit.any(1)], y["node"][hit.any(0)]]))
+        key = left.column("key")[0].as_py() if left.num_rows else 0
+        return pa.table({"key": pa.array([key] * len(found), pa.int64()), "node": pa.array(found, pa.int64())})
+
+    strays, members = _blocks(rows)
+    likely = settle(strays.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(plausible, "key long, node long").distinct())
+    wanted = settle(likely.select(F.col("node").alias("id")).distinct())
+    sets = settle(_sets(source.join(sized(wanted), "id", "left_semi"), k)).withColumnRenamed("id", "node")
+
+    def linked(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            x, y = _sketched(left), _sketched(right)
+            hit = _estimated(x, y, percent)
+            mine, theirs = ([s.values.to_numpy().view(_U) for s in t.column("items").combine_chunks()] for t in (left, right))
+            for i in np.flatnonzero(hit.any(1)):
+                met = set()
+                for o in np.flatnonzero(hit[i]):
+                    if y["root"][o] in met:
+                        continue
+                    s, t = mine[i], theirs[o]
+                    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+                    both = int((s[at] == t).sum())
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        met.add(y["root"][o])
+                        a.append(max(x["node"][i], y["node"][o]))
+                        b.append(min(x["node"][i], y["node"][o]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    strays, members = _blocks(rows.join(likely, ["key", "node"]).join(sets, "node"))
+    return strays.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -154,10 +269,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     a component's id is its smallest document id, and that document is kept.
 
     Documents with equal sets are one node. A band's bucket proposes no pairs within itself: each member is
-    paired with one member drawn for the bucket, which links dense groups over their many buckets. Only
-    buckets that still hold several components then propose the pairs between their components, all of them,
-    so no candidate of the bands stays untested unless its ends are connected already. Candidates pass set
-    sizes and sketches, then are confirmed on full sets.
+    paired with one member drawn for the bucket, which links dense groups over their many buckets. In buckets
+    that still hold several components, all members outside the largest one then meet all members, block
+    by block, so no candidate of the bands stays untested unless its ends are connected already. Candidates
+    pass set sizes and sketches, then are confirmed on full sets.
 
     Null ids are kept, linked with nothing, with a null component; texts without words have no shingles and
     link with nothing; rows that share an id are one document; ties go to the smaller id; further columns
@@ -168,8 +283,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     linked = signed.where("id IS NOT NULL AND n > 0")
     classes = linked.groupBy("d1", "d2").agg(F.min("id").alias("node"))
     nodes = settle(linked.join(classes, ["d1", "d2"]).where("id = node")
-                   .select("node", "n", "d1", "d2", "bands", "odd").dropDuplicates(["d1", "d2"]))
-    narrow = nodes.select("node", "n", "odd")
+                   .select("node", "n", "d1", "d2", "bands", "odd", "taken", F.expr(f"{_bits('taken', '|', 'taken')} AS m"))
+                   .dropDuplicates(["d1", "d2"]))
+    narrow = nodes.select("node", "n", "m", "odd", "taken")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     # the member drawn for a bucket: the smallest id after an exclusive or with the bucket's random key
     shared = settle(banded.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("low"), F.max(F.expr("node ^ key")).alias("high"))
@@ -178,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     x, y = narrow.alias("x"), narrow.alias("y")
     pairs = (members.where("node <> drawn")
              .select(F.greatest("node", "drawn").alias("a"), F.least("node", "drawn").alias("b")).distinct())
-    flips = " + ".join(f"bit_count(get(x.odd, {i}) ^ get(y.odd, {i}))" for i in range(BITS // 64))
+    flips = _bits("x.odd", "^", "y.odd")
     pairs = settle(pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(_plausible(percent))
                    .select("a", "b", F.expr(flips).alias("flips")).distinct())
 
@@ -204,14 +320,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
               .select("key", "node", F.coalesce("root", "node").alias("root")))
     torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key"))
     rest = settle(placed.join(sized(torn), "key"))
-    sizes = rest.groupBy("key", "root").count()
-    major = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("x")).select("key", F.col("x.root").alias("major"))
-    rest = rest.join(narrow, "node")
-    minor = rest.join(major, "key").where("root <> major").drop("major")
-    cross = (minor.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.root <> y.root AND {_plausible(percent)}"))
-             .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-             .join(pairs, ["a", "b"], "left_anti"))
-    links = settle(links.union(confirmed(cross)))
+    links = settle(links.union(_across(rest.join(narrow, "node"), source, k, percent)))
     roots = components(links)
 
     named = (classes.join(roots, "node", "left")
