@@ -12,7 +12,8 @@ MIN_WORDS = 5
 #: Lines of at least so many words may differ by one word from an earlier line.
 EDIT_WORDS = 8
 
-_WORDS = r"array_remove(split(lower(line), '[\\x20\\x09-\\x0D]+'), '')"
+#: Words of every line of a lower-cased text; split before the lines are spread, so that each is split once.
+_WORDS = r"transform(split(lower(text), '\n'), l -> array_remove(split(l, '[\\x20\\x09-\\x0D]+'), ''))"
 #: Orders lines by document, then place; exact for any 64-bit id and 10 digits of lines, null ids first.
 _PLACE = "CAST(coalesce(CAST(id AS DECIMAL(20, 0)), -9223372036854775809) AS DECIMAL(27, 0)) * 10000000000 + line_no"
 
@@ -27,8 +28,8 @@ def row_key(id_col: str, text_col: str) -> str:
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    return (keyed.selectExpr("id", "xxhash64(id, text) AS row_key", r"posexplode(split(text, '\n')) AS (line_no, line)")
-            .selectExpr("id", "row_key", "line_no", f"{_WORDS} AS words").where(f"size(words) >= {MIN_WORDS}"))
+    return (keyed.selectExpr("id", "xxhash64(id, text) AS row_key", f"posexplode({_WORDS}) AS (line_no, words)")
+            .where(f"size(words) >= {MIN_WORDS}"))
 
 
 def _half(keep: str, n: str) -> str:
