@@ -24,9 +24,10 @@ def fields(line: str = "line") -> str:
 
 
 def keypoint_fields(parts: str = "fields") -> str:
-    """Complete ``x y v`` triples after the fifth field."""
+    """All complete ``x y v`` triples after the fifth field."""
+    last = f"greatest(CAST((size({parts}) - 5) DIV 3 AS INT) - 1, 0)"
     return (
-        f"transform(filter(sequence(0, 3), k -> size({parts}) >= 8 + 3 * k), k -> named_struct("
+        f"transform(filter(sequence(0, {last}), k -> size({parts}) >= 8 + 3 * k), k -> named_struct("
         f"'x', try_cast(get({parts}, 5 + 3 * k) AS DOUBLE),"
         f" 'y', try_cast(get({parts}, 6 + 3 * k) AS DOUBLE),"
         f" 'v', try_cast(get({parts}, 7 + 3 * k) AS INT)))"

@@ -21,12 +21,12 @@ def recode_and_pad(points: DataFrame) -> DataFrame:
     )
 
 
-def merge_label_rows(corners: DataFrame, points: DataFrame, width: int = 65536) -> DataFrame:
+def merge_label_rows(corners: DataFrame, points: DataFrame) -> DataFrame:
     """All vertebra rows of a stem followed by its femoral-head rows, renumbered."""
     columns = ["stem", "line_no", "class_id", "cx", "cy", "w", "h", "keypoints"]
     both = corners.select(*columns, F.lit(0).alias("src")).unionByName(
         recode_and_pad(points).select(*columns, F.lit(1).alias("src")))
-    numbered = number_within(both, ["stem"], "src", "line_no", "merged_no", width)
+    numbered = number_within(both, ["stem"], "src", "line_no", "merged_no")
     return numbered.withColumn("line_no", F.col("merged_no").cast("int")).drop("merged_no", "src")
 
 

@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 
 def number_within(
-    df: DataFrame, keys: list[str], major: str, minor: str, out: str, width: int = 65536
+    df: DataFrame, keys: list[str], major: str, minor: str, out: str, rows: int = 65536
 ) -> DataFrame:
     """1-based position of each row of a group in (major, minor) order.
 
-    The group is cut into buckets of ``width`` consecutive values of the integer ``minor``. Rows are
-    ranked inside a bucket and moved by the size of the buckets before it, so no task sorts
-    more than one bucket of a hot group; what is summed up per group is one row per bucket. The
-    default suits dense numbers such as line numbers; for sparse keys take a larger ``width``.
+    Each group's range of the integer ``minor`` is cut into as many equal buckets as it has times ``rows``
+    rows. Rows are ranked inside a bucket and moved by the size of the buckets before it, so a hot group is
+    sorted by many tasks however dense its numbers are; what is summed up per group is one row per
+    bucket. The sizes are the last ranks, so they share the ranked rows' exchange.
     """
-    bucketed = df.withColumn("__bucket", F.expr(f"{minor} div {width}"))
-    parts = [*keys, major, "__bucket"]
+    group = [*keys, major]
+    spans = df.groupBy(*group).agg(
+        F.min(minor).alias("__low"),
+        F.expr(f"greatest(1, ceil((max({minor}) - min({minor}) + 1) / ceil(count(1) / {rows}D))) AS __width"))
+    bucketed = df.join(spans, group).withColumn(
+        "__bucket", F.expr(f"CAST(({minor} - __low) DIV __width AS BIGINT)")).drop("__low", "__width")
+    parts = [*group, "__bucket"]
+    ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy(*parts).orderBy(minor)))
     before = Window.partitionBy(*keys).orderBy(major, "__bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    sizes = bucketed.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = ranked.groupBy(*parts).agg(F.max("__rank").alias("__n"))
     offsets = sizes.select(*parts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = bucketed.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(*parts).orderBy(minor)))
     return ranked.join(offsets, parts).withColumn(
         out, F.col("__before") + F.col("__rank")
     ).drop("__bucket", "__rank", "__before")

@@ -66,10 +66,11 @@ build_box_dataset = B.build_box_dataset
 
 
 def merge_label_datasets(
-    corner_images: DataFrame, cfh_images: DataFrame, corners: DataFrame, points: DataFrame
+    corner_images: DataFrame, cfh_images: DataFrame, corners: DataFrame, points: DataFrame,
+    corner_files: DataFrame | None = None, cfh_files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Merged labels, images, counters and descriptor."""
-    stats = G.merge_stats(corner_images, cfh_images, corners, points)
+    """Merged labels, images, counters and descriptor. The label-file lists count empty files too."""
+    stats = G.merge_stats(corner_images, cfh_images, corners, points, corner_files, cfh_files)
     totals = stats.selectExpr(
         "total_images", "vertebra_objects + cfh_objects AS total_objects",
         "vertebra_objects", "cfh_objects")

@@ -649,11 +649,9 @@ dataset_info:
   vertebra_objects: ' || vertebra_objects || '
   cfh_objects: ' || cfh_objects AS yaml FROM stats"""
 ORACLES["pairing_missing"] = """
-SELECT stem, 'label' AS missing FROM (SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_quantity < 25)
-WHERE stem NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT c_custkey AS stem, 'label' AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
 UNION ALL
-SELECT stem, 'image' FROM (SELECT DISTINCT o_orderkey AS stem FROM orders WHERE o_orderkey % 3 <> 0)
-WHERE stem NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 25)"""
+SELECT DISTINCT o_custkey, 'image' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"""
 
 
 def _thousandths(i: int) -> str:
@@ -697,6 +695,11 @@ SELECT count(*) AS total_objects,
        (SELECT count(*) FROM orders) AS label_files FROM base)
 SELECT total_objects, vertebra_keypoints + cfh_keypoints AS total_keypoints, vertebra_keypoints, cfh_keypoints,
        label_files, {_scaled('CAST(total_objects AS DOUBLE) / label_files')} AS objects_per_file FROM t"""
+ORACLES["format_violations_vertebra"] = f"""WITH {_LINE_BASE}
+SELECT stem, line_no, n_fields, class_id,
+       CASE WHEN n_fields < 17 THEN 'expected at least 17 fields, found ' || n_fields
+            WHEN class_id IS NULL THEN 'class id is not a number' ELSE 'class id ' || class_id || ' outside 0-17' END AS violation
+FROM base WHERE n_fields < 17 OR class_id IS NULL OR class_id > 17"""
 ORACLES["format_violations"] = f"""WITH {_LINE_BASE}
 SELECT stem, line_no, n_fields, class_id,
        CASE WHEN n_fields = 9 THEN 'expected 17 fields, found 9' WHEN class_id IS NULL THEN 'class id is not a number'
@@ -739,16 +742,19 @@ SELECT stem, line_no, class_id, CAST(i AS INT) AS edge, x AS x1, y AS y1, x2, y2
   FROM (SELECT *, row_number() OVER (PARTITION BY stem, line_no, i ORDER BY rid) AS c FROM quad) q
   JOIN (SELECT *, row_number() OVER (PARTITION BY stem, line_no, i ORDER BY rid) AS c FROM quad) n
     ON n.stem = q.stem AND n.line_no = q.line_no AND n.i = (q.i + 1) % 4 AND n.c = q.c)"""
-ORACLES["prediction_edges"] = f"""WITH {_DET}, numbered AS (SELECT *, row_number() OVER () AS rid FROM det WHERE confidence >= 0.5e0),
-pts AS (
-  SELECT rid, image_id, det_idx, i,
-         CAST(trunc((CASE i WHEN 0 THEN cx - hw WHEN 1 THEN cx + hw WHEN 2 THEN cx + hw ELSE cx - hw END) * img_w) AS INT) AS x,
-         CAST(trunc((CASE i WHEN 0 THEN cy - hh + t WHEN 1 THEN cy - hh - t WHEN 2 THEN cy + hh - t ELSE cy + hh + t END) * img_h) AS INT) AS y
-  FROM numbered, range(4) AS r(i) WHERE ((det_idx + 37 * i) % 100) / 100e0 > 0.5e0),
-vis AS (
-  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY rid) AS n FROM pts)
-SELECT a.image_id, a.det_idx, CAST(a.pos AS INT) AS edge, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
-FROM vis a JOIN vis b ON a.rid = b.rid AND b.pos = (a.pos + 1) % a.n WHERE a.n >= 2"""
+def _corner(i: int) -> str:
+    x = ("cx - hw", "cx + hw", "cx + hw", "cx - hw")[i]
+    y = ("cy - hh + t", "cy - hh - t", "cy + hh - t", "cy + hh + t")[i]
+    return f"{{'i': {i}, 'x': CAST(trunc(({x}) * img_w) AS INT), 'y': CAST(trunc(({y}) * img_h) AS INT)}}"
+
+
+ORACLES["prediction_edges"] = f"""WITH {_DET}, visible AS (
+  SELECT image_id, det_idx, list_filter([{', '.join(_corner(i) for i in range(4))}],
+                                        lambda p: ((det_idx + 37 * p.i) % 100) / 100e0 > 0.5e0) AS v
+  FROM det WHERE confidence >= 0.5e0),
+edges AS (SELECT *, unnest(range(len(v))) AS pos FROM visible WHERE len(v) >= 2)
+SELECT image_id, det_idx, CAST(pos AS INT) AS edge, v[pos + 1].x AS x1, v[pos + 1].y AS y1,
+       v[(pos + 1) % len(v) + 1].x AS x2, v[(pos + 1) % len(v) + 1].y AS y2 FROM edges"""
 
 _RAW = f"""WITH {_DET}, raw AS (
   SELECT image_id, det_idx, CAST(l_partkey % 20 AS INT) AS class_id, confidence, img_w, img_h,
@@ -847,10 +853,8 @@ ORACLES["label_gaps"] = f"""{_AUDIT}
 SELECT b.sample_id, 'polygon' AS kind, v.label FROM base b CROSS JOIN (VALUES ('V1'), ('V2'), ('V3')) AS v(label)
 WHERE NOT EXISTS (SELECT 1 FROM polys p WHERE p.sample_id = b.sample_id AND p.label = v.label)
 UNION ALL SELECT sample_id, 'point', 'P' FROM base WHERE NOT has_p"""
-ORACLES["sorted_incomplete"] = f"""{_AUDIT} SELECT * FROM (
-SELECT sample_id, CAST(n_poly AS INT) AS missing_count,
-       CAST(row_number() OVER (ORDER BY n_poly DESC, sample_id) AS INT) AS rank
-FROM audit WHERE has_annotation AND n_poly > 0) WHERE rank <= 20"""
+ORACLES["sorted_incomplete"] = f"""{_AUDIT}
+SELECT sample_id, CAST(n_poly AS INT) AS missing_count FROM audit WHERE has_annotation AND n_poly > 0"""
 ORACLES["pairing_head"] = f"""SELECT * FROM ({ORACLES['pairing_missing']}) WHERE missing = 'label' ORDER BY stem LIMIT 5"""
 ORACLES["descriptor_violations"] = """
 SELECT 'nc: expected 18, found 19' AS violation FROM (SELECT count(*) FROM lineitem)

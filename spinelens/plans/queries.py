@@ -267,10 +267,9 @@ def label_gaps(spark, d):
 
 @query
 def sorted_incomplete(spark, d):
-    """The incomplete samples in report order, as numbered head of the listing."""
-    listed = SEL.sorted_selection(SEL.selection_status(_audit(spark, d)), "incomplete").limit(20)
-    return A.with_rank(listed, F.desc("missing_count"), F.col("sample_id")).select(
-        "sample_id", "missing_count", "rank")
+    """All incomplete samples in report order."""
+    listed = SEL.sorted_selection(SEL.selection_status(_audit(spark, d)), "incomplete")
+    return listed.select("sample_id", "missing_count")
 
 
 # --- polygons and label datasets ----------------------------------------------------------------
@@ -406,8 +405,7 @@ def stem_collisions(spark, d):
 
 @query
 def merge_labels(spark, d):
-    merged = G.merge_label_rows(
-        T.corner_label_rows(spark, d), T.point_label_rows(spark, d), width=2 ** 32)
+    merged = G.merge_label_rows(T.corner_label_rows(spark, d), T.point_label_rows(spark, d))
     return _flat_labels(merged)
 
 
@@ -442,8 +440,9 @@ def descriptor_yaml(spark, d):
 
 @query
 def pairing_missing(spark, d):
-    images = T.table(spark, d, "lineitem").filter("l_quantity < 25").selectExpr("l_orderkey AS stem")
-    labels = T.table(spark, d, "orders").filter("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS stem")
+    """Customers as images, the customers of orders as label files."""
+    images = T.table(spark, d, "customer").selectExpr("c_custkey AS stem")
+    labels = T.table(spark, d, "orders").selectExpr("o_custkey AS stem")
     return V.pairing_missing(images, labels)
 
 
@@ -486,6 +485,13 @@ def keypoint_totals(spark, d):
     return _scaled_columns(rows, keys, ["objects_per_file"], "1e6")
 
 
+@query
+def format_violations_vertebra(spark, d):
+    """The vertebra kind accepts more than seventeen fields."""
+    return V.format_violations(_lines(spark, d), "vertebra").select(
+        "stem", "line_no", "n_fields", "class_id", "violation")
+
+
 @query
 def format_violations(spark, d):
     return V.format_violations(_lines(spark, d), "merged")

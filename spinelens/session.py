@@ -11,9 +11,6 @@ SETTINGS = {
     # One-to-many joins keep one row per key on the smaller side; the skewed side of such a join is
     # split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Last-wins and label-set aggregates use object buffers; keep them hashed for longer than the
-    # default 128 groups before they fall back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 

@@ -41,16 +41,32 @@ def measurements_of(detections: DataFrame) -> DataFrame:
 
 
 def metrics_of(keypoint_docs: DataFrame) -> DataFrame:
-    """Metrics documents of keypoints documents; batch or stream."""
+    """Metrics documents of valid keypoints documents; batch or stream."""
+    if "problem" in keypoint_docs.columns:
+        keypoint_docs = keypoint_docs.filter("problem IS NULL")
     return X.to_document(X.metrics_from_documents(keypoint_docs), key="imageId")
 
 
 def start_metrics(
     documents: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Append the metrics documents of a checked detection stream to ``out`` as JSON."""
+    """Append the metrics documents of a checked detection stream to ``out`` as JSON.
+
+    Rejected documents are not in it; ``start_rejects`` writes them.
+    """
     writer = (
         metrics_of(measurements_of(documents)).writeStream.format("json")
         .outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_rejects(
+    documents: DataFrame, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append the rejected documents of a checked detection stream, with their problems, to ``out``."""
+    writer = (
+        D.rejected_detections(documents).writeStream.format("json")
+        .outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -95,10 +95,20 @@ def test_vocabulary_keeps_file_order(tables):
     assert A.split_vocabulary(LABELS) == (["C7", "L1", "L2", "T1"], ["CFH"])
 
 
-def test_long_vocabulary_is_refused(spark):
-    too_long = spark.range(30).selectExpr("CAST(id AS STRING) AS label", "id AS ord")
-    with pytest.raises(ValueError):
-        files.vocab_labels(too_long, limit=10)
+def test_long_vocabulary(spark):
+    long = spark.range(1500).selectExpr("concat('L', id) AS label", "id AS ord")
+    assert files.vocab_labels(long) == [f"L{i}" for i in range(1500)]
+
+
+def test_lines_with_more_keypoints(spark):
+    text = "3 0.1 0.2 0.3 0.4 " + " ".join(f"0.{i} 0.{i} 2" for i in range(1, 7))
+    lines = spark.createDataFrame([("s", 1, text), ("s", 2, "4 0.1 0.2 0.3 0.4 0.5"), ("s", 3, "")], "stem string, line_no int, line string")
+    rows = {r.line_no: r for r in files.parse_label_lines(lines).collect()}
+    assert [k.x for k in rows[1].keypoints] == [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
+    assert rows[2].keypoints == [] and rows[3].keypoints == []
+    from spinelens.operators import validate as V
+    wrong = {r.line_no for r in V.format_violations(files.parse_label_lines(lines), "vertebra").collect()}
+    assert wrong == {2, 3}
 
 
 def test_audit(tables):

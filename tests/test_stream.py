@@ -48,6 +48,10 @@ def test_stream_equals_batch_and_rejects_are_kept_apart(spark, tmp_path):
     assert set(want["S0001"]) == set(vocab.METRICS) and "PI" not in want["S0002"]
     text = batch._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+    rejects = S.start_rejects(S.stream_detections(spark, str(tmp_path / "in")), str(tmp_path / "bad"),
+                              str(tmp_path / "bad_checkpoint"), available_now=True)
+    rejects.awaitTermination(120)
+    assert {r.problem for r in spark.read.json(str(tmp_path / "bad")).collect()} == problems
 
 
 def test_last_vertebra_of_a_document_wins(spark, tmp_path):
