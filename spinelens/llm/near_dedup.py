@@ -20,7 +20,7 @@ SAMPLES, BITS = 1024, 1024
 #: Standard deviations of the sketches' estimate by which it may fall short of the threshold.
 SLACK = 4.0
 #: Members of a bucket that meet in one block: outside its largest component, and all.
-STRAYS, MEMBERS = 128, 512
+STRAYS, MEMBERS = 512, 1024
 #: Hashes of words kept per worker; others are computed again.
 WORDS = 1 << 18
 
@@ -214,12 +214,12 @@ def _sketched(table: pa.Table) -> dict:
         c: _words_of(table, c) for c in ("odd", "taken")}
 
 
-def _across(rows: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between different components of a bucket, from ``key, node, root, n, m, odd, taken``.
+def _across(rows: DataFrame, sketches: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components of a bucket, from ``key, node, root`` and sketches by node.
 
     Members outside the largest component meet all members in blocks. The first pass only says which rows have
     a plausible partner; the second compares their full sets and gives, per member and other component, one
-    link. Neither emits pairs that are no links.
+    link. Neither emits pairs that are no links. Sketches and sets join the dealt rows last, so they are moved once.
     """
     by = ["key", "sb", "mb"]
 
@@ -232,8 +232,14 @@ def _across(rows: DataFrame, source: DataFrame, k: int, percent: int) -> DataFra
         key = left.column("key")[0].as_py() if left.num_rows else 0
         return pa.table({"key": pa.array([key] * len(found), pa.int64()), "node": pa.array(found, pa.int64())})
 
-    strays, members = _blocks(rows)
-    likely = settle(strays.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(plausible, "key long, node long").distinct())
+    def met(dealt: DataFrame, payload: DataFrame, compare, schema: str) -> DataFrame:
+        sides = []
+        for side in _blocks(dealt):
+            full = side.join(payload, "node")
+            sides.append(full.toDF(*full.columns).groupBy(*by))
+        return sides[0].cogroup(sides[1]).applyInArrow(compare, schema).distinct()
+
+    likely = settle(met(rows, sketches, plausible, "key long, node long"))
     wanted = settle(likely.select(F.col("node").alias("id")).distinct())
     sets = settle(_sets(source.join(sized(wanted), "id", "left_semi"), k)).withColumnRenamed("id", "node")
 
@@ -257,8 +263,7 @@ def _across(rows: DataFrame, source: DataFrame, k: int, percent: int) -> DataFra
                         b.append(min(x["node"][i], y["node"][o]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    strays, members = _blocks(rows.join(likely, ["key", "node"]).join(sets, "node"))
-    return strays.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(linked, "a long, b long").distinct()
+    return met(rows.join(likely, ["key", "node"]), sketches.join(sets, "node"), linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -320,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
               .select("key", "node", F.coalesce("root", "node").alias("root")))
     torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key"))
     rest = settle(placed.join(sized(torn), "key"))
-    links = settle(links.union(_across(rest.join(narrow, "node"), source, k, percent)))
+    links = settle(links.union(_across(rest, narrow, source, k, percent)))
     roots = components(links)
 
     named = (classes.join(roots, "node", "left")
