@@ -274,10 +274,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     a component's id is its smallest document id, and that document is kept.
 
     Documents with equal sets are one node. A band's bucket proposes no pairs within itself: each member is
-    paired with one member drawn for the bucket, which links dense groups over their many buckets. In buckets
-    that still hold several components, all members outside the largest one then meet all members, block
-    by block, so no candidate of the bands stays untested unless its ends are connected already. Candidates
-    pass set sizes and sketches, then are confirmed on full sets.
+    paired with one member drawn for the bucket, which links dense groups over their many buckets. Buckets
+    that still hold several components are merged by their smallest node; all members outside the largest
+    component then meet all members, block by block, so no candidate of the bands stays untested unless its
+    ends are connected already. Candidates pass set sizes and sketches, then are confirmed on full sets.
 
     Null ids are kept, linked with nothing, with a null component; texts without words have no shingles and
     link with nothing; rows that share an id are one document; ties go to the smaller id; further columns
@@ -323,8 +323,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
 
     placed = (members.select("key", "node").distinct().join(roots, "node", "left")
               .select("key", "node", F.coalesce("root", "node").alias("root")))
-    torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key"))
-    rest = settle(placed.join(sized(torn), "key"))
+    # torn buckets with the same smallest node are one: whoever is in it shares a band with that node
+    torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("node").alias("first"))
+                  .where("r <> q").select("key", "first"))
+    rest = settle(placed.join(sized(torn), "key").select(F.col("first").alias("key"), "node", "root").distinct())
     links = settle(links.union(_across(rest, narrow, source, k, percent)))
     roots = components(links)
 
