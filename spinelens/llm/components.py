@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from spinelens.llm._store import settle
 
+#: Links per partition at least; fewer would make a round's shuffles mostly empty files.
+PARTITION_LINKS = 100_000
+
 
 def _size(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -18,11 +21,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours to the smallest of them, first the larger neighbours, then the
     smaller; the rounds grow with the logarithm of the nodes. Minima are map-side aggregates, so a node with
-    very many neighbours is no bottleneck. Loops and repeated links are ignored; no links give no rows.
+    very many neighbours is no bottleneck. A round runs in as many partitions as its links need. Loops and repeated links are ignored; no links give no rows.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = _size(edges)
     while size[0]:
+        edges = edges.coalesce(-(-size[0] // PARTITION_LINKS))
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
