@@ -21,19 +21,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours to the smallest of them, first the larger neighbours, then the
     smaller; the rounds grow with the logarithm of the nodes. Minima are map-side aggregates, so a node with
-    very many neighbours is no bottleneck. A round runs in as many partitions as its links need. Loops and repeated links are ignored; no links give no rows.
+    very many neighbours is no bottleneck. A round runs in as many partitions as its links need. Loops and
+    repeated links are ignored; no links give no rows.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = _size(edges)
     while size[0]:
         edges = edges.coalesce(-(-size[0] // PARTITION_LINKS))
-        both = edges.union(edges.select("v", "u").toDF("u", "v"))
+        both = edges.selectExpr("inline(array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u)))")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u")
-        edges = settle(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .union(least.select("u", F.col("m").alias("v"))).distinct())
+        hung = edges.join(least, "u").selectExpr("inline(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m)))")
+        edges = settle(hung.where("u <> v").distinct())
         before, size = size, _size(edges)
         if size == before:
             break
