@@ -32,9 +32,10 @@ def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5)
     x1..y2, truth_idx. Copies are reduced first: copies of a true box have the same IoU, so all
     predictions point to the first of them, and of equal predictions only the first can be accepted.
 
-    Candidates come from a grid. IoU >= t bounds the ratio of the heights by t and the distance of
-    the centres by (1 - t) times the larger height. A prediction lies in one cell of the grid of its
-    power-of-two height class; a true box, the smaller side, probes the few cells its bound allows.
+    Candidates come from a grid. On either axis, IoU >= t bounds the ratio of the extents by t and the
+    distance of the centres by (1 - t) times the larger extent. A prediction lies in one cell of the grid
+    of its power-of-two width and height classes; a true box, the smaller side, probes the few cells its
+    bounds allow. Boxes side by side in one image thus do not meet.
     """
     pred = predictions.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX, "confidence").agg(
         F.expr("min(det_idx) AS det_idx"))
@@ -42,25 +43,26 @@ def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5)
         F.expr("min(truth_idx) AS truth_idx"))
     pred_cells = pred.selectExpr(
         *_KEYS, "det_idx", "confidence", *[f"{c} AS p_{c}" for c in _BOX],
-        "CAST(floor(log2(y2 - y1)) AS INT) AS level",
-    ).withColumn("cell", F.expr("CAST(floor((p_y1 + p_y2) / 2 / pow(2e0, level + 1)) AS BIGINT)"))
+        *[f"CAST(floor(log2({a}2 - {a}1)) AS INT) AS level_{a}" for a in "xy"],
+    ).selectExpr(
+        "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow(2e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
     # Slightly widened bounds keep pairs at the very edge of the threshold.
     t, slack = f"{threshold!r}D", "1.000001e0"
-    true_cells = true.selectExpr(
-        *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], "y2 - y1 AS h", "(y1 + y2) / 2 AS yc",
-    ).selectExpr(
-        "*", f"explode(sequence(CAST(floor(log2(h * {t} / {slack})) AS INT),"
-             f" CAST(floor(log2(h / {t} * {slack})) AS INT))) AS level",
-    ).selectExpr(
-        "*", "pow(2e0, level + 1) AS side",
-    ).selectExpr(
-        "*", f"greatest(h, side) * (1e0 - {t}) * {slack} AS reach",
-    ).selectExpr(
-        *_KEYS, "truth_idx", *[f"t_{c}" for c in _BOX], "level",
-        "explode(sequence(CAST(floor((yc - reach) / side) AS BIGINT),"
-        " CAST(floor((yc + reach) / side) AS BIGINT))) AS cell",
-    )
-    pairs = pred_cells.join(true_cells, [*_KEYS, "level", "cell"]).selectExpr(
+    true_cells = true.selectExpr(*_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX])
+    for a in "xy":
+        size, centre = f"(t_{a}2 - t_{a}1)", f"(t_{a}1 + t_{a}2) / 2"
+        true_cells = true_cells.selectExpr(
+            "*", f"explode(sequence(CAST(floor(log2({size} * {t} / {slack})) AS INT),"
+                 f" CAST(floor(log2({size} / {t} * {slack})) AS INT))) AS level_{a}",
+        ).selectExpr(
+            "*", f"pow(2e0, level_{a} + 1) AS side",
+        ).selectExpr(
+            "*", f"greatest({size}, side) * (1e0 - {t}) * {slack} AS reach",
+        ).selectExpr(
+            "*", f"explode(sequence(CAST(floor(({centre} - reach) / side) AS BIGINT),"
+                 f" CAST(floor(({centre} + reach) / side) AS BIGINT))) AS cell_{a}",
+        ).drop("side", "reach")
+    pairs = pred_cells.join(true_cells, [*_KEYS, "level_x", "cell_x", "level_y", "cell_y"]).selectExpr(
         *_KEYS, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
         "truth_idx", f"{_IOU} AS overlap",
     ).selectExpr(

@@ -140,9 +140,13 @@ def coverage_by_metric(wide: DataFrame) -> DataFrame:
                  "try_divide(CAST(n_available AS DOUBLE), n_images) AS coverage")
 
 
-def metrics_normalised(spine: DataFrame) -> DataFrame:
+def metrics_normalised(spine: DataFrame, s1: str | None = None) -> DataFrame:
     """The alternative calculator: metrics on normalised coordinates, so distorted by the aspect
-    ratio of the image. Not another version of :func:`metrics_from_spine`."""
+    ratio of the image. Not another version of :func:`metrics_from_spine`.
+
+    ``s1`` names a point column with the centre of S1; where it is NULL, or without it, S1 is
+    estimated from L5.
+    """
     def plate(label: str, side: str) -> tuple[str, str]:
         return f"{label}.{side}_posterior", f"{label}.{side}_anterior"
 
@@ -161,5 +165,7 @@ def metrics_normalised(spine: DataFrame) -> DataFrame:
         "pelvic_tilt": "degrees(atan2(abs(s1.x - cfh_center.x), abs(s1.y - cfh_center.y)))",
         "sacral_slope": direction("L5", "lower"),
     }
-    with_s1 = spine.filter("bad_label IS NULL").withColumn("s1", F.expr(P.estimate_s1("L5")))
+    estimated = P.estimate_s1("L5")
+    with_s1 = spine.filter("bad_label IS NULL").withColumn(
+        "s1", F.expr(f"coalesce(`{s1}`, {estimated})" if s1 else estimated))
     return with_s1.selectExpr("image_id", *[f"{v} AS {k}" for k, v in values.items()])

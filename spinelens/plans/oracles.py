@@ -195,6 +195,11 @@ _S1 = (
 )
 ORACLES["metrics_normalised"] = f"{_SPINE}, {_S1} SELECT image_id, " + ", ".join(
     f"{_scaled(v, '1e4')} AS {k}" for k, v in _NORMALISED.items()) + " FROM s1"
+ORACLES["metrics_normalised_given_s1"] = (
+    f"{_SPINE}, {_S1}, g AS (SELECT * REPLACE ("
+    "CASE WHEN T12_lax IS NOT NULL AND L5_mx IS NOT NULL THEN L5_mx ELSE s1x END AS s1x,"
+    " CASE WHEN T12_lax IS NOT NULL AND L5_mx IS NOT NULL THEN L5_my ELSE s1y END AS s1y) FROM s1) SELECT image_id, "
+    + ", ".join(f"{_scaled(v, '1e4')} AS {k}" for k, v in _NORMALISED.items()) + " FROM g")
 ORACLES["estimate_s1"] = (
     f"{_SPINE}, {_S1} SELECT image_id, {_scaled('s1x')} AS s1_x, {_scaled('s1y')} AS s1_y"
     " FROM s1 WHERE s1x IS NOT NULL")

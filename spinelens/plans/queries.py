@@ -78,6 +78,14 @@ def metrics_normalised(spark, d):
         X.metrics_normalised(_spine(spark, d)), ["image_id"], vocab.NORMALISED_METRICS, "1e4")
 
 
+@query
+def metrics_normalised_given_s1(spark, d):
+    """S1 given as the centre of L5 for images with a T12, estimated for the others."""
+    spine = _spine(spark, d).withColumn("given", F.expr("CASE WHEN T12 IS NOT NULL THEN L5.center END"))
+    return _scaled_columns(
+        X.metrics_normalised(spine, s1="given"), ["image_id"], vocab.NORMALISED_METRICS, "1e4")
+
+
 @query
 def endplates(spark, d):
     plates = M.with_endplates(T.vertebrae(spark, d))
