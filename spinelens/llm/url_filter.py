@@ -20,8 +20,8 @@ DAMPING, ITERATIONS = 0.85, 10
 DOMAIN_WEIGHT = 1.0
 #: A host is blocked if its share of distrust in both exceeds this.
 THRESHOLD = 0.5
-#: Iterations between checkpoints.
-CUT = 5
+#: Edges per partition of a round at least; fewer would make its shuffles mostly empty files.
+PARTITION_EDGES = 100_000
 
 
 def host_of(url: str) -> str:
@@ -70,7 +70,8 @@ def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
 
     Trust is PageRank personalised to the good seeds along the edges; distrust is PageRank personalised to
     the bad seeds against them. Hosts without a way on give their rank back to the seeds. Both walks take
-    one join and one aggregate per iteration.
+    one join and one aggregate per iteration, in as many partitions as the edges need. Every iteration is
+    checkpointed: its ranks are read twice, once for the two sums that go back to the seeds.
     """
     ways = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     back = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
@@ -85,19 +86,19 @@ def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
             .join(ends, "host", "full")
             .selectExpr("host", f"coalesce(good, 0D) / {good or 1.0}D AS s", f"coalesce(bad, 0D) / {bad or 1.0}D AS r",
                         "coalesce(f, 0D) = 0 AS stuck", "coalesce(b, 0D) = 0 AS start"))
-    ranks = base = settle(base.selectExpr("host", "s", "r", "stuck", "start", "s AS trust", "r AS distrust"))
-    base = base.drop("trust", "distrust")
-    for i in range(iterations):
+    parts = -(-steps.count() // PARTITION_EDGES) or 1
+    steps = settle(steps.coalesce(parts))
+    ranks = settle(base.selectExpr("host", "s", "r", "stuck", "start", "s AS trust", "r AS distrust").coalesce(parts))
+    base = ranks.drop("trust", "distrust")
+    for _ in range(iterations):
         moved = (ranks.join(steps, "host").selectExpr("to AS host", "trust * f AS t", "distrust * b AS d")
                  .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-        lost = ranks.agg(F.coalesce(F.sum(F.expr("CASE WHEN stuck THEN trust END")), F.lit(0.0)).alias("lt"),
-                         F.coalesce(F.sum(F.expr("CASE WHEN start THEN distrust END")), F.lit(0.0)).alias("ld"))
-        ranks = (base.join(moved, "host", "left").crossJoin(F.broadcast(lost))
-                 .selectExpr("host", "s", "r", "stuck", "start",
-                             f"{1 - damping}D * s + {damping}D * (coalesce(t, 0D) + lt * s) AS trust",
-                             f"{1 - damping}D * r + {damping}D * (coalesce(d, 0D) + ld * r) AS distrust"))
-        if (i + 1) % CUT == 0:
-            ranks = settle(ranks)
+        lost = ranks.agg(F.sum(F.expr("CASE WHEN stuck THEN trust END")).alias("t"),
+                         F.sum(F.expr("CASE WHEN start THEN distrust END")).alias("d")).first()
+        ranks = settle(base.join(moved, "host", "left").selectExpr(
+            "host", "s", "r", "stuck", "start",
+            f"{1 - damping}D * s + {damping}D * (coalesce(t, 0D) + {lost['t'] or 0.0!r}D * s) AS trust",
+            f"{1 - damping}D * r + {damping}D * (coalesce(d, 0D) + {lost['d'] or 0.0!r}D * r) AS distrust").coalesce(parts))
     return ranks.select("host", "trust", "distrust")
 
 
