@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -12,14 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spinelens.llm._store import importable, settle
+from spinelens.llm._store import ensure_checkpoint_dir, importable, settle, sized
 
-#: Model size. Words of the exchange vocabulary are clustered one by one; other words belong to the class
-#: of their last two bytes.
+#: Model size. The exchange vocabulary is clustered first, with all other words in the class of their last two bytes;
+#: then every training word is. Words that no training text has keep the class of their last two bytes.
 EXCHANGE_WORDS, CLASSES, ENDINGS = 2048, 64, 16
 #: Words whose counts every worker holds (a few MB); counts of all others are joined.
 HELD_WORDS = 1 << 18
 ROUNDS = 8
+#: Rounds over all training words: the words outside the exchange vocabulary, then one half of all words, then the other.
+WORD_ROUNDS = 3
+#: Keys of a context: the class of the neighbour, and past this number if it comes after the word.
+AFTER = 128
 #: Weight of the class's own share in a transition.
 PRIOR = 20.0
 #: The token after a text's last word; no word has white space.
@@ -161,26 +166,241 @@ def cluster(pairs: DataFrame, n_words: int, n_classes: int = CLASSES, rounds: in
     return best[1], history
 
 
-def _logs(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+def rest_id(word: bytes) -> int:
+    """Negative 63-bit hash of a word that is not held; the same as ``_REST_ID`` in SQL."""
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+
+
+_REST_ID = "xxhash64(word) | shiftleft(1L, 63)"
+_ENDING = f"CAST(crc32(substring(word, greatest(length(word) - 1, 1), 2)) % {ENDINGS} AS INT)"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """A wide table, written once to the shared checkpoint folder as compressed columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _word_pairs(texts: DataFrame, held: list[bytes]) -> DataFrame:
+    """``l, r, n``: how often word r follows word l. Held words are their rank, the end comes after them, all other
+    words are ``rest_id``."""
+    model = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(model.value)}
+        end, get = len(known), known.get
+        lines: list[np.ndarray] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            line = np.concatenate(lines) if lines else np.zeros(0, np.int64)
+            # texts stand between ends; two ends in a row lie between texts
+            names, code = np.unique(line, return_inverse=True)
+            inner = np.ones(max(len(line) - 1, 0), bool)
+            inner[np.cumsum([len(x) for x in lines[:-1]], dtype=np.int64) - 1] = False
+            at, n = np.unique((code[:-1] * len(names) + code[1:])[inner], return_counts=True)
+            width = max(len(names), 1)
+            return pa.RecordBatch.from_arrays([pa.array(names[at // width]), pa.array(names[at % width]), pa.array(n.astype(np.int64))],
+                                              names=["l", "r", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = words(text.as_py() or "")
+                line = np.full(len(found) + 2, end, np.int64)
+                line[1:-1] = [rest_id(w) if c is None else c for w, c in zip(found, map(get, found))]
+                lines.append(line)
+                size += len(line)
+                if size > 1 << 21:
+                    yield rows()
+                    lines, size = [], 0
+        yield rows()
+
+    return texts.mapInArrow(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+
+
+def _word_rows(u: np.ndarray, slot: np.ndarray, v: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (slot[1:] != slot[:-1])])
+    v = np.add.reduceat(v, first)
+    u, slot, own = u[first], slot[first], own[first]
+    mark = slot < 0
+    start, kept = np.flatnonzero(mark), ~mark
+    offsets = pa.array(np.r_[np.cumsum(kept)[start], kept.sum()].astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(u[start]), pa.array(v[start]), pa.array((own[start] >> 8).astype(np.int32)), pa.array((own[start] & 255).astype(np.int32)),
+         pa.ListArray.from_arrays(offsets, pa.array(slot[kept])), pa.ListArray.from_arrays(offsets, pa.array(v[kept]))],
+        names=["word", "n", "ending", "class", "slots", "counts"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word from rows sorted by word; a word may go on in the next batch."""
+    left = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if left is not None:
+            columns = [np.concatenate(c) for c in zip(left, columns)]
+        if not len(columns[0]):
+            continue
+        cut = np.searchsorted(columns[0], columns[0][-1])
+        left = [c[cut:] for c in columns]
+        if cut:
+            yield _word_rows(*[c[:cut] for c in columns])
+    if left is not None:
+        yield _word_rows(*left)
+
+
+def _word_contexts(pairs: DataFrame, assigned: DataFrame, hot: str) -> tuple[DataFrame, pa.Table]:
+    """How often each class stands before and after every word: a row per word, and apart from it ``u, slot, n`` of the
+    words that meet the condition ``hot``, a fixed number, which are summed before they are gathered."""
+    sides = pairs.selectExpr("l AS u", "r AS nbr", f"{AFTER} AS side", "n").unionByName(
+        pairs.selectExpr("r AS u", "l AS nbr", "0 AS side", "n"))
+    classes = assigned.selectExpr("word AS nbr", "class")
+    slots = ["u", "CAST(side + class AS SMALLINT) AS slot", "n AS v", "0 AS own"]
+    near = sides.where("nbr >= 0").join(F.broadcast(classes.where("nbr >= 0")), "nbr").selectExpr(*slots)
+    far = sides.where("nbr < 0").join(sized(classes.where("nbr < 0")), "nbr").selectExpr(*slots)
+    every = near.unionByName(far)
+    marks = assigned.where(f"NOT ({hot.format('word')})").selectExpr(
+        "word AS u", "CAST(-1 AS SMALLINT) AS slot", "n AS v", "ending * 256 + class AS own")
+    rows = (every.where(f"NOT ({hot.format('u')})").unionByName(marks).repartition("u").sortWithinPartitions("u", "slot")
+            .mapInArrow(_grouped, "word long, n long, ending int, class int, slots array<smallint>, counts array<long>"))
+    few = every.where(hot.format("u")).groupBy("u", "slot").agg(F.sum("v").alias("v")).toArrow()
+    return _stored(rows), few
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and count of each context in a batch of word rows."""
+    slots, counts = batch.column("slots"), batch.column("counts")
+    lengths = np.diff(slots.offsets.to_numpy())
+    return (np.repeat(np.arange(batch.num_rows), lengths), slots.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
+
+
+def _word_bigrams(rows: DataFrame, n_classes: int) -> np.ndarray:
+    """Class bigrams by the first word's row; then those of words seen once, under their ending and under their class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, n_classes, n_classes))
+        for batch in batches:
+            row, slot, n = _flat(batch)
+            own, once = batch.column("class").to_numpy()[row], (batch.column("n").to_numpy() == 1)[row]
+            unseen = CLASSES + batch.column("ending").to_numpy()[row]
+            after, c = slot >= AFTER, slot % AFTER
+            np.add.at(total[0], (own[after], c[after]), n[after])
+            for part, name in ((1, unseen), (2, own)):
+                for some, l, r in ((once & after, name, c), (once & ~after, c, name)):
+                    np.add.at(total[part], (l[some], r[some]), n[some])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+    table = rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(3 * n_classes * n_classes)
+    out[table.column("at").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(3, n_classes, n_classes)
+
+
+def _pmi(bigrams: np.ndarray) -> np.ndarray:
+    """Log ratio of the smoothed transitions to the share of the class, so that words seen once do not go after chance pairs."""
+    share = (bigrams.sum(0) + 1) / (bigrams.sum() + len(bigrams))
+    return np.log(10) * _logs(bigrams) - np.log(share)
+
+
+def exchange_words_all(pairs: DataFrame, assigned: DataFrame, n_hot: int, end: int,
+                       rounds: int = WORD_ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """``word, n, ending, class`` of every training word after exchanges over all of them, the class bigrams, and the
+    information before each round. In the bigrams a word seen once counts half as itself and half as a word never
+    seen, under its ending.
+
+    ``assigned`` has the first classes. The contexts of all words by class are summed in Spark from all pairs; each
+    word of a round moves to the class under which its own contexts are likeliest. Only tables of classes and the
+    contexts of the ``n_hot`` most frequent words and the end come to the driver.
+    """
+    n_classes = CLASSES + ENDINGS + 1
+    hot = f"{{0}} >= 0 AND ({{0}} < {n_hot} OR {{0}} = {end})"
+    best, history = None, []
+    for turn in range(rounds + 1):
+        rows, few = _word_contexts(pairs, assigned, hot)
+        main, *once = _word_bigrams(rows, n_classes)
+        firsts = assigned.where(hot.format("word")).toArrow()
+        own = np.zeros(end + 1, np.int64)
+        own[firsts.column("word").to_numpy()] = firsts.column("class").to_numpy()
+        u, slot, n = (few.column(c).to_numpy().astype(np.int64) for c in ("u", "slot", "v"))
+        after = slot >= AFTER
+        np.add.at(main, (own[u[after]], slot[after] - AFTER), n[after])
+        # frequent words seen once, in small corpora
+        single = dict(zip(firsts.column("word").to_pylist(), zip(firsts.column("n").to_pylist(), firsts.column("ending").to_pylist())))
+        for w, s, k in zip(u.tolist(), slot.tolist(), n.tolist()):
+            if w != end and single[w][0] == 1:
+                for part, name in zip(once, (CLASSES + single[w][1], own[w])):
+                    part[(name, s - AFTER) if s >= AFTER else (s, name)] += k
+        history.append(information(main))
+        # in the first round endings are classes too, so that its information does not compare
+        if best is None or len(history) == 2 or history[-1] > best[0]:
+            best = (history[-1], assigned, main + (once[0] - once[1]) / 2)
+        if turn == rounds:
+            break
+        pmi = _pmi(main)
+        weights = np.zeros((2 * AFTER, CLASSES))
+        weights[:n_classes], weights[AFTER: AFTER + n_classes] = pmi[:, :CLASSES], pmi[:CLASSES].T
+
+        def move(batches: Iterator[pa.RecordBatch], turn=turn, weights=weights) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                row, slot, n = _flat(batch)
+                word, old = batch.column("word").to_numpy(), batch.column("class").to_numpy()
+                new = old.copy()
+                for start in range(0, batch.num_rows, 1024):  # bounds the table of weighed contexts
+                    a, b = np.searchsorted(row, [start, start + 1024])
+                    score = np.add.reduceat(weights[slot[a:b]] * n[a:b, None], np.searchsorted(row[a:b], np.unique(row[a:b])))
+                    new[np.unique(row[a:b])] = score.argmax(1)
+                moving = (word % 2 == turn % 2) if turn else np.ones(len(word), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("word"), batch.column("n"), batch.column("ending"), pa.array(np.where(moving, new, old).astype(np.int32))],
+                    names=["word", "n", "ending", "class"])
+
+        score = np.zeros((end + 1, CLASSES))
+        np.add.at(score, u, weights[slot] * n[:, None])
+        word = firsts.column("word").to_numpy()
+        moving = (word != end) & (word % 2 == turn % 2) & (turn > 0)
+        changed = firsts.set_column(firsts.schema.get_field_index("class"), "class", pa.array(
+            np.where(moving, score[word].argmax(1), own[word]).astype(np.int32)))
+        spark = pairs.sparkSession
+        assigned = settle(rows.mapInArrow(move, "word long, n long, ending int, class int").unionByName(
+            spark.createDataFrame(changed, schema="word long, n long, ending int, class int")))
+    return best[1], best[2], history
+
+
+def _logs(bigrams: np.ndarray) -> np.ndarray:
     """log10 of the smoothed transition probabilities between classes."""
-    _, after = _contexts(pairs, classes, n_classes)
-    bigrams = np.zeros((n_classes, n_classes))
-    np.add.at(bigrams, classes, after)
-    share = (bigrams.sum(0) + 1) / (bigrams.sum() + n_classes)
+    share = (bigrams.sum(0) + 1) / (bigrams.sum() + len(bigrams))
     return np.log10((bigrams + PRIOR * share) / (bigrams.sum(1, keepdims=True) + PRIOR))
 
 
+def mixed(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """log10 of the mean of two probabilities given as log10."""
+    top = np.maximum(one, other)
+    return top + np.log10((10 ** (one - top) + 10 ** (other - top)) / 2)
+
+
+_SCORED = ("row long, id long, held_out boolean, k long, known long, base double, score double, key long, at int, ending int, "
+           "before int, after int, rough double, rough_after double, own_after double")
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: str | None = None,
                 exchange_words: int = EXCHANGE_WORDS, held_words: int = HELD_WORDS) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     ``held_out`` is a SQL condition on ``id_col``; rows that meet it are scored and not learned from (default:
-    crc32 of the id modulo 7 is 2). ``score`` is the log10 probability of the text under transitions between
-    classes times emissions of words, ``base_score`` that of single tokens with one added to all counts and one
+    crc32 of the id modulo 7 is 2). ``score`` is the log10 probability of the text, each token's being the
+    mean of two models of transitions between classes times emissions of words: one with every training word in an
+    exchanged class, one with words outside the exchange vocabulary in the class of their ending; ``base_score`` that of single tokens with one added to all counts and one
     unknown word. ``train_tokens`` is the number of training tokens, ends included.
 
-    Counts of all words, pairs and classes come from all training texts. The model in the workers has a size set by
-    the parameters; counts of words outside it are joined, one row per text and word.
+    Counts of all words, pairs and classes come from all training texts, and every training word is exchanged between
+    classes. The model in the workers has a size set by the parameters; counts and classes of words outside it are joined,
+    one row per token. Words that training lacks are foreseen by the words seen once with the same ending.
 
     Null and empty texts are a single end; null ids are learned from; repeated rows are learned from and scored
     each; further columns are left out; an empty table gives no rows.
@@ -200,48 +420,61 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = counts.where(F.col("word") == F.lit(bytearray(END))).select("n").first()
     n_ends = ends["n"] if ends else 0
     vocabulary = held[:exchange_words]
-    n_classes = CLASSES + ENDINGS + 1
-    pairs = settle(_pairs(training, vocabulary))
-    classes, _ = cluster(pairs, len(vocabulary))
-    moves = _logs(pairs, classes, n_classes)
-
-    # emissions: within an exchange class by counts; within a class of endings one is added, also for one unknown word
-    mass = np.zeros(n_classes)
-    np.add.at(mass, classes[: len(vocabulary)], held_counts[: len(vocabulary)])
-    endings = (counts.where(F.col("word") != F.lit(bytearray(END)))
-               .groupBy(F.expr(f"CAST(crc32(substring(word, greatest(length(word) - 1, 1), 2)) % {ENDINGS} AS INT)").alias("e"))
-               .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect())
-    tail_n, tail_v = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in endings:
-        tail_n[r["e"]], tail_v[r["e"]] = r["n"], r["v"]
-    for word, n in zip(vocabulary, held_counts):
-        tail_n[ending(word)] -= n
-        tail_v[ending(word)] -= 1
-    tail_log = np.log10(tail_n + tail_v + 1)
-    unit_class = classes
+    n_classes, end = CLASSES + ENDINGS + 1, len(held)
+    units = settle(_pairs(training, vocabulary))
+    classes, _ = cluster(units, len(vocabulary))
+    _, after = _contexts(units, classes, n_classes)
+    coarse = np.zeros((n_classes, n_classes))
+    np.add.at(coarse, classes, after)
+    coarse = _logs(coarse)
+    first = np.array([ending(w) for w in held], np.int32) if held else np.zeros(0, np.int32)
+    first_class = CLASSES + first
+    first_class[: len(vocabulary)] = classes[: len(vocabulary)]
+    known_rows = spark.createDataFrame(pa.table({
+        "word": pa.array(np.arange(end + 1)), "n": pa.array(np.r_[held_counts, n_ends].astype(np.int64)),
+        "ending": pa.array(np.r_[first, 0].astype(np.int32)), "class": pa.array(np.r_[first_class, n_classes - 1].astype(np.int32))}))
+    names = spark.createDataFrame(pa.table({"word": pa.array([*held, END], pa.binary())}))
+    others = (counts.join(F.broadcast(names), "word", "left_anti").selectExpr(f"{_REST_ID} AS word", "n", f"{_ENDING} AS ending")
+              .withColumn("class", F.expr(f"{CLASSES} + ending")))
+    pairs = _stored(_word_pairs(training, held))
+    first_assigned = settle(known_rows.unionByName(others))
+    assigned, bigrams, _ = exchange_words_all(pairs, first_assigned, len(vocabulary), end)
+    moves = _logs(bigrams)
+
+    # emissions: by counts within the class; of a word never seen, as one more word beside those seen once with its ending
+    mass, once = np.zeros(n_classes), np.zeros(ENDINGS)
+    for r in assigned.where(f"word <> {end}").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        mass[r["class"]] = r["n"]
+    for r in assigned.where(f"word <> {end} AND n = 1").groupBy("ending").count().collect():
+        once[r["ending"]] = r["count"]
+    # in the coarse model, by counts within an exchange class; within a class of endings one is added, also for a word never seen
+    core = len(vocabulary)
+    coarse_mass, tail = np.zeros(n_classes), np.ones(ENDINGS)
+    np.add.at(coarse_mass, first_class[:core], held_counts[:core])
+    for r in first_assigned.where(f"word < 0 OR word >= {core} AND word <> {end}").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tail[r["ending"]] += r["n"] + r["v"]
+    tail_log = np.log10(tail)
+    coarse_emit = np.r_[np.log10(held_counts[:core]) - np.log10(coarse_mass[first_class[:core]]),
+                        np.log10(held_counts[core:] + 1) - tail_log[first[core:]]]
+    mass_log, unseen_log = np.log10(np.maximum(mass, 1)), np.log10(once + 1)
+    table = assigned.where(f"word >= 0 AND word < {end}").select("word", "class").toArrow()
+    held_class = np.zeros(end, np.int64)
+    held_class[table.column("word").to_numpy()] = table.column("class").to_numpy()
     base_log = np.log10(n_all + v_all + 1) if v_all else 0.0
-    emit = np.empty(len(held))
-    emit[: len(vocabulary)] = np.log10(held_counts[: len(vocabulary)]) - np.log10(mass[classes[: len(vocabulary)]])
-    emit[len(vocabulary):] = [np.log10(n + 1) - tail_log[ending(w)] for w, n in zip(held[len(vocabulary):], held_counts[len(vocabulary):])]
+    emit = np.log10(held_counts) - mass_log[held_class]
     plus = np.log10(held_counts + 1)
     end_plus = np.log10(n_ends + 1)
-    model = spark.sparkContext.broadcast((held, emit, plus))
+    model = spark.sparkContext.broadcast((held, emit, plus, held_class, coarse_emit, first_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, emits, pluses = model.value
-        size, units = len(names), _Units(vocabulary)
-        # a held word is its rank; others lie behind, by ending
-        known = {w: i for i, w in enumerate(names)}
-        get = known.get
-        classes_of = np.concatenate([unit_class[: len(vocabulary)],
-                                     [unit_class[units[w]] for w in names[len(vocabulary):]]]).astype(np.int64)
-        ending_class = unit_class[units.base: units.end]
-        end_class = unit_class[units.end]
+        names, emits, pluses, classes_of, coarse_emits, coarse_of = model.value
+        size, end_class = len(names), n_classes - 1
+        get = {w: i for i, w in enumerate(names)}.get
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                columns: list[list] = [[] for _ in range(8)]
+                columns: list[list] = [[] for _ in range(15)]
 
                 def put(*values) -> None:
                     for column, value in zip(columns, values):
@@ -255,30 +488,61 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     line = np.full(len(found) + 2, end_class, np.int64)
                     line[1:-1] = classes_of[ids] if size else 0
                     here = np.ones(len(found), bool)
-                    score = base = 0.0
+                    here[rest] = False
+                    line[np.array(rest, np.int64) + 1] = -1
+                    ids = ids[here]
+                    # per token and the end: log10 probabilities of both models, for a word not held without its own share
+                    plain = np.full(len(found) + 2, end_class, np.int64)
+                    shares, own = np.zeros(len(found) + 1), np.zeros(len(found) + 1)
+                    where = np.flatnonzero(here)
+                    plain[where + 1] = coarse_of[ids] if size else 0
+                    shares[where], own[where] = coarse_emits[ids], emits[ids]
                     if rest:
-                        here[rest] = False
                         kinds = np.array([ending(found[i]) for i in rest])
-                        line[np.array(rest) + 1] = ending_class[kinds]
-                        score -= tail_log[kinds].sum()
-                    ids = ids[here]
-                    score += moves[line[:-1], line[1:]].sum() + emits[ids].sum()
-                    base += pluses[ids].sum() + end_plus - (len(found) + 1) * base_log
-                    put(row, ident, out, len(found) + 1, len(ids) + int(n_ends > 0), base, score,
-                        END + row.to_bytes(8, "little"))
-                    for word, n in Counter(found[i] for i in rest).items():
-                        put(row, None, None, n, None, None, None, word)
+                        plain[np.array(rest) + 1] = CLASSES + kinds
+                        shares[rest] = -tail_log[kinds]
+                    rough = coarse[plain[:-1], plain[1:]] + shares
+                    both = (line[:-1] >= 0) & (line[1:] >= 0)
+                    score = mixed(moves[line[:-1][both], line[1:][both]] + own[both], rough[both]).sum()
+                    base = pluses[ids].sum() + end_plus - (len(found) + 1) * base_log
+                    # a text's own row carries a key that no word has, so that it passes the join without gathering anywhere
+                    put(row, ident, out, len(found) + 1, len(ids) + int(n_ends > 0), base, score, row, *[None] * 7)
+                    for i in rest:
+                        put(row, None, None, None, None, None, None, rest_id(found[i]), i, ending(found[i]), int(line[i]), int(line[i + 2]),
+                            float(rough[i]), float(rough[i + 1]), float(own[i + 1]))
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
+                         pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 names=["row", "id", "held_out", "k", "known", "base", "score", "word"])
-
-    # a text's own row carries a name that no word has, so that it passes the join without gathering anywhere
-    scored = source.mapInArrow(run, "row long, id long, held_out boolean, k long, known long, base double, score double, word binary")
-    joined = scored.join(counts.hint("merge"), "word", "left")
-    return (joined.groupBy("row").agg(
-        F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.sum(F.expr("CASE WHEN known IS NOT NULL THEN k END")).alias("n_tokens"),
-        F.sum(F.expr("coalesce(known, CASE WHEN n > 0 THEN k ELSE 0 END)")).alias("n_known"),
-        F.sum(F.expr("coalesce(base, k * log10(coalesce(n, 0) + 1))")).alias("base_score"),
-        F.sum(F.expr("coalesce(score, k * log10(coalesce(n, 0) + 1))")).alias("score"))
-        .select(id_col, "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"))
+                                                 names=[c.split()[0] for c in _SCORED.split(", ")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, score = batch.column("rest"), batch.column("score").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(rest.offsets.to_numpy()))
+            flat = rest.flatten()
+            at, n, cls, before, after = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            order = np.lexsort((at, row))
+            n, cls, before, after = n[order], cls[order], before[order], after[order]
+            rough, rough_after, own_after = (flat.field(i).to_numpy(zero_copy_only=False).astype(float)[order] for i in (5, 6, 7))
+            if len(cls):
+                # a neighbour that is no held word either is the entry beside
+                into = moves[np.where(before >= 0, before, np.r_[0, cls[:-1]]), cls]
+                into += np.where(n > 0, np.log10(np.maximum(n, 1)) - mass_log[cls], -unseen_log[np.clip(cls - CLASSES, 0, ENDINGS - 1)])
+                more = mixed(into, rough + np.log10(n + 1))
+                more += np.where(after >= 0, mixed(moves[cls, np.maximum(after, 0)] + own_after, rough_after), 0)
+                score = score + np.bincount(row[order], more, batch.num_rows)
+            names = [f.name for f in batch.schema][:-2]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
+
+    scored = source.mapInArrow(run, _SCORED)
+    joined = scored.join(assigned.where("word < 0").selectExpr("word AS key", "n", "class").hint("merge"), "key", "left")
+    texts = joined.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("k").alias("n_tokens"),
+        F.sum(F.expr("coalesce(known, CASE WHEN n > 0 THEN 1 ELSE 0 END)")).alias("n_known"),
+        F.sum(F.expr("coalesce(base, log10(coalesce(n, 0) + 1))")).alias("base_score"), F.max("score").alias("score"),
+        F.collect_list(F.expr(f"CASE WHEN at IS NOT NULL THEN struct(at, coalesce(n, 0L) AS n, coalesce(class, {CLASSES} + ending) AS class,"
+                              " before, after, rough, rough_after, own_after) END")).alias("rest"))
+    return (texts.drop("row").select("id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest")
+            .mapInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            .select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -217,6 +217,32 @@ def test_exchange_raises_information(spark, real):
     assert max(history) > 1.5 * history[0]
 
 
+def test_every_training_word_is_exchanged(spark, docs):
+    # the rare words of each kind share no ending; what tells the kinds apart are their neighbours alone
+    rare = {kind: [f"{kind}{i}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] for kind in "xy"}
+    frames = {"x": "the big {} runs away", "y": "we often {} some bread"}
+    texts = [(7 * i + j, frames[kind].format(w)) for i in range(60) for j, kind in enumerate("xy") for w in rare[kind][2 * i: 2 * i + 2]]
+    lines = [[*brown_lm.words(t), b"\n"] for _, t in texts]
+    counts = Counter(w for line in lines for w in line)
+    held = [w for w, _ in counts.most_common() if w != b"\n"][:20]
+    names = {**{w: i for i, w in enumerate(held)}, b"\n": len(held)}
+    number = {w: names.get(w, brown_lm.rest_id(w)) for w in counts}
+    pairs = brown_lm._word_pairs(docs(texts).select("text"), held).checkpoint()
+    want = Counter((number[l], number[r]) for line in lines for l, r in zip([b"\n", *line], line))
+    assert {(r["l"], r["r"]): r["n"] for r in pairs.collect()} == want
+    words = {r["word"]: r["h"] for r in spark.createDataFrame([(w,) for w in counts if w not in names], "word binary").selectExpr(
+        "word", f"{brown_lm._REST_ID} AS h").collect()}
+    assert all(number[bytes(w)] == h for w, h in words.items())
+    first = spark.createDataFrame([(number[w], n, brown_lm.ending(w), 80 if w == b"\n" else number[w] if w in names else 64 + brown_lm.ending(w))
+                                   for w, n in counts.items()], "word long, n long, ending int, class int").checkpoint()
+    got, bigrams, history = brown_lm.exchange_words_all(pairs, first, 8, len(held))
+    classes = {r["word"]: r["class"] for r in got.collect()}
+    assert set(classes) == set(number.values()) and all(c < 64 for w, c in classes.items() if w != len(held))
+    tail = [{classes[number[w.encode()]] for w in rare[kind] if w.encode() not in names} for kind in "xy"]
+    assert not tail[0] & tail[1] and len(tail[0] | tail[1]) < 32
+    assert bigrams.sum() == sum(counts.values()) and bigrams.min() >= 0
+
+
 def test_links_and_ranks(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("b", "d", 2.0)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 3.0)], "host string, good double, bad double")
