@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from spinelens.llm._store import settle, sized
 
-#: Lines with fewer words are left alone: they recur by chance.
-MIN_WORDS = 5
-#: Lines of at least so many words may differ by one word from an earlier line.
-EDIT_WORDS = 8
+#: Where lines are cut from texts, those with fewer words are left alone (they recur by chance), and those of at least
+#: so many words may differ by one word from an earlier line. ``op2_line_dedup`` takes 1 and 2.
+MIN_WORDS, EDIT_WORDS = 5, 8
 
 #: Words of every line of a lower-cased text; split before the lines are spread, so that each is split once.
 _WORDS = r"transform(split(lower(text), '\n'), l -> array_remove(split(l, '[\\x20\\x09-\\x0D]+'), ''))"
@@ -27,9 +26,9 @@ def row_key(id_col: str, text_col: str) -> str:
     return f"xxhash64(CAST(`{id_col}` AS BIGINT), CAST(`{text_col}` AS STRING))"
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
+def _lines(keyed: DataFrame, min_words: int) -> DataFrame:
     return (keyed.selectExpr("id", "xxhash64(id, text) AS row_key", f"posexplode({_WORDS}) AS (line_no, words)")
-            .where(f"size(words) >= {MIN_WORDS}"))
+            .where(f"size(words) >= {min_words}"))
 
 
 def _half(keep: str, n: str) -> str:
@@ -39,11 +38,12 @@ def _half(keep: str, n: str) -> str:
     return f"xxhash64('{keep}', {n}, {part})"
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                    min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """Lines to remove: ``row_key, id_col, line_no, keeper_id, keeper_line_no, edits``.
 
     Lines are split at ``\\n`` and compared as lower-cased words. A line is removed if an earlier line (by
-    document id, then place) has the same words (``edits`` 0), or, from ``EDIT_WORDS`` words on, if one word
+    document id, then place) has the same words (``edits`` 0), or, from ``edit_words`` words on, if one word
     replaced, inserted or deleted makes it an earlier line (1); ``keeper`` is the earliest such line. The
     keeper may itself be removed for a still earlier one.
 
@@ -56,13 +56,13 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     3. Each pair is verified on its words.
 
     Hot lines are reduced map-side. Null ids sort first; null and empty texts have no lines; rows that are
-    equal in id and text are one document and keep or lose the same lines; lines of fewer than ``MIN_WORDS``
+    equal in id and text are one document and keep or lose the same lines; lines of fewer than ``min_words``
     words stay; further columns are left out; an empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    long = f"size(words) >= {EDIT_WORDS}"
-    longer = f"size(words) > {EDIT_WORDS}"
-    lines = settle(_lines(keyed).selectExpr(
+    long = f"size(words) >= {edit_words}"
+    longer = f"size(words) > {edit_words}"
+    lines = settle(_lines(keyed, min_words).selectExpr(
         "id", "row_key", "line_no", "xxhash64(words) AS h1", "xxhash64(1, words) AS h2", "size(words) AS n",
         f"CASE WHEN {long} THEN {_half('front', 'size(words)')} END AS k1",
         f"CASE WHEN {long} THEN {_half('back', 'size(words)')} END AS k2",
@@ -81,7 +81,7 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.expr("CAST(pmod(place, 10000000000) AS INT)").alias("line_no")))
     owners = settle(spots.selectExpr("CAST(nullif(owner, -9223372036854775809) AS BIGINT) AS id").distinct())
     texts = keyed.join(sized(owners), keyed["id"].eqNullSafe(owners["id"]), "left_semi")
-    found = _lines(texts).selectExpr("xxhash64(words) AS h1", "xxhash64(1, words) AS h2", "words")
+    found = _lines(texts, min_words).selectExpr("xxhash64(words) AS h1", "xxhash64(1, words) AS h2", "words")
     worded = settle(found.join(sized(spots), ["h1", "h2"])
                     .select("h1", "h2", "place", "words").dropDuplicates(["h1", "h2"]))
 

@@ -32,7 +32,7 @@ def op1_packing(spark, d):
 @query
 def op2_line_dedup(spark, d):
     """Every line that an earlier line makes superfluous, with that line."""
-    return line_dedup.duplicate_lines(table(spark, d, "documents")).drop("row_key")
+    return line_dedup.duplicate_lines(table(spark, d, "documents"), min_words=1, edit_words=2).drop("row_key")
 
 
 @query

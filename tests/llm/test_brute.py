@@ -127,6 +127,40 @@ def test_lines(spark, docs):
     assert left[3] == "short line\nsome other line of words" and 2 not in left and 4 not in left and left[6] == "a b c d e\na b c d f"
 
 
+def lines_by_hand(rows, min_words, edit_words):
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or len(a) < edit_words:
+            return False
+        p = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+        return a[p + (len(a) == len(b)):] == b[p + 1:]
+
+    lines = sorted((d, i, line.lower().split()) for d, t in rows for i, line in enumerate(t.split("\n")))
+    lines, found = [x for x in lines if len(x[2]) >= min_words], {}
+    for j, (d, i, ws) in enumerate(lines):
+        for e, k, other in lines[:j]:
+            if ws == other or near(ws, other):
+                found[d, i] = (e, k, int(ws != other))
+                break
+    return found
+
+
+def test_short_lines(spark, docs, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(d, "\n".join(" ".join(rng.choice(list("abcdefghi"), rng.integers(0, 7))) for _ in range(8))) for d in range(40)]
+    rows += [(50, "All rights reserved.\nx\nLicensed under the Apache License, Version 2.0."),
+             (51, "all rights reserved.\nX\nLicensed under the Apache License, Version 1.1.")]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"]): (r["keeper_id"], r["keeper_line_no"], r["edits"])
+           for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == lines_by_hand(rows, 1, 2)
+    assert got[51, 0] == (50, 0, 0) and got[51, 1] == (50, 1, 0) and got[51, 2] == (50, 2, 1)
+    kept = {(r["doc_id"], r["line_no"]): (r["keeper_id"], r["keeper_line_no"], r["edits"])
+            for r in line_dedup.duplicate_lines(docs(rows)).collect()}
+    assert kept == lines_by_hand(rows, 5, 8)
+
+
 def components_by_hand(texts, k, percent):
     sets = {}
     for d, t in texts.items():
