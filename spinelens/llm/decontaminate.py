@@ -14,6 +14,8 @@ from spinelens.llm._store import importable, settle, sized
 
 #: Template tokens of a window, and the fewest of a benchmark item that is searched for.
 WIDTH, LEAST = 8, 4
+#: Added to the width of a window of plain words.
+PLAIN = 100
 #: Share of an item's windows that must be found in line.
 SHARE = 0.3
 #: A window needs this share of literal words.
@@ -69,8 +71,8 @@ class _Tokens(dict):
 _tokens = _Tokens()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens of a text and the slot value of each (0: a literal word).
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of a text, the slot value of each (0: a literal word), and the plain words.
 
     Words are lower-cased and stripped of punctuation; numerals become one placeholder, unit words after a
     numeral another, runs of capitalised words that do not start a sentence a third.
@@ -88,14 +90,14 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
     number = middle == _U(_NUMBER)
     unit = (middle == _U(_UNIT)) & np.concatenate([[False], number[:-1]])[: len(number)]
     name = ((kind & _U(_CAP)) > 0) & ~after_end & ~number & ~unit
-    value = packed >> _U(4)
+    value = plain = packed >> _U(4)
     tokens = np.where(number, _NUMBER_T, np.where(unit, _UNIT_T, np.where(name, _NAME_T, value)))
     slots = np.where(number | unit | name, value | _U(1), _U(0))
     if len(tokens):
         start = ~(name & np.concatenate([[False], name[:-1]]))
         slots = np.add.reduceat(slots, np.flatnonzero(start))
         tokens = tokens[start]
-    return tokens, slots
+    return tokens, slots, plain
 
 
 def windows(tokens: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +123,20 @@ def _window_table(texts: DataFrame, widths: tuple[int, ...] | None, bits: np.nda
         for batch in batches:
             rows = [[] for _ in range(7)]
             for key, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens, slots = template(text or "")
-                own = widths if widths is not None else (
-                    (min(WIDTH, len(tokens)),) if len(tokens) >= LEAST else ())
+                tokens, slots, plain = template(text or "")
+                literal = np.zeros(len(plain), _U)
+                own = widths if widths is not None else [
+                    mark + min(WIDTH, len(t)) for mark, t in ((0, tokens), (PLAIN, plain)) if len(t) >= LEAST]
                 for width in own:
-                    at, hashes = windows(tokens, slots, width)
+                    size, values = width % PLAIN, (slots if width < PLAIN else literal).view(np.int64)
+                    at, hashes = windows(*((tokens, slots) if width < PLAIN else (plain, literal)), size)
                     total = len(at)
                     if bits is not None:
                         place = hashes >> _U(64 - FILTER_POWER)
                         hit = (bits[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
                         at, hashes = at[hit], hashes[hit]
-                    values = slots.view(np.int64)
                     for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
-                        for column, value in zip(rows, (key, ident, width, p, total, h, values[p: p + width])):
+                        for column, value in zip(rows, (key, ident, width, p, total, h, values[p: p + size])):
                             column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)],
@@ -155,9 +158,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     joined by hash with the windows of all whole texts that pass a broadcast filter of fixed size. An item is
     found where, at one offset, at least ``share`` of its windows match and every slot value of the item stands
     for one value of the document throughout; inconsistent slots leave only the windows without slots. ``exact``
-    says that no matched slot differs.
+    says that no matched slot differs. Windows of the plain words, lower-cased and stripped, are joined and counted in
+    the same way beside them: they find whole verbatim copies whatever share of an item is numbers and names and
+    wherever a sentence starts; there ``exact`` says that the whole item was found. The reported counts are the larger ones of both.
 
-    Items with fewer than ``LEAST`` template tokens, null texts and empty texts are never found. Null ids come back
+    Items with fewer than ``LEAST`` words, null texts and empty texts are never found. Null ids come back
     null; equal rows are one; repeated items are found each; a document that holds an item twice is reported
     once; an empty table on either side gives no rows; further columns are left out.
     """
@@ -176,9 +181,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     seen = _window_table(texts, widths, bits)
     d, b = seen.alias("d"), sized(known.withColumnRenamed("id", "item")).alias("b")
     lines = settle(d.join(b, F.expr("d.h = b.h AND d.width = b.width")).selectExpr(
-        "d.row_key", "d.id", "b.item", "d.pos - b.pos AS line", "b.pos AS pos", "b.n_windows AS n_windows",
-        "b.slots AS theirs", "d.slots AS ours").dropDuplicates(["row_key", "item", "line", "pos"]))
-    key = ["row_key", "item", "line"]
+        "d.row_key", "d.id", "b.item", f"b.width >= {PLAIN} AS plain_words", "d.pos - b.pos AS line", "b.pos AS pos", "b.n_windows AS n_windows",
+        "b.slots AS theirs", "d.slots AS ours").dropDuplicates(["row_key", "item", "plain_words", "line", "pos"]))
+    key = ["row_key", "item", "plain_words", "line"]
     slots = (lines.select(*key, F.explode(F.arrays_zip("theirs", "ours")).alias("s")).where("s.theirs <> 0")
              .select(*key, "s.theirs", "s.ours").distinct()
              .groupBy(*key).agg((F.count("*") == F.count_distinct("theirs")).alias("consistent"),
@@ -188,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
              .join(slots, key, "left")
              .selectExpr("row_key", "id", "item", "n_windows",
                          "CASE WHEN coalesce(consistent, true) THEN n ELSE plain END AS n_matched",
-                         "coalesce(same, true) OR NOT consistent AS exact")
+                         "CASE WHEN plain_words THEN n = n_windows ELSE coalesce(same, true) OR NOT consistent END AS exact")
              .where(f"n_matched >= greatest(least(2, n_windows), ceil({share}D * n_windows))"))
     return (found.groupBy("row_key", "item")
             .agg(F.max("id").alias("id"), F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"),

@@ -311,6 +311,16 @@ def test_changed_questions(spark, docs):
     assert got[1] is True and got[2] is False and 4 not in got
 
 
+def test_verbatim_items_of_any_kind(spark, docs):
+    items = [(1, "3 km 40 m 7 kg 12 s 9 Anna 5 lb"),  # hardly a literal word
+             (2, "Great Barrier Reef Marine Park Authority"),  # one template token
+             (3, "Anna has four red apples and eats one today")]  # one name: its kind depends on what stands before
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10 * i, f"Heading\n{t} and more") for i, t in items] + [(99, "Great Barrier Island is 3 km long and Anna has four")]
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.leaks(docs(rows), bench).collect()}
+    assert got == {(10, 1, True), (20, 2, True), (30, 3, True)}
+
+
 def test_quality_scores(spark, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.01")
     rows = {r["doc_id"]: r for r in queries.op10_quality_classifier(spark, path).collect()}
