@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinelens.llm import (
-    brown_lm, decontaminate, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts,
-    url_filter,
+    brown_lm, cross_tokenizer, decontaminate, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding,
+    token_counts, url_filter,
 )
 
 QUERIES = {}
@@ -84,3 +84,10 @@ def op10_quality_classifier(spark, d):
 def op7_lm_scoring(spark, d):
     """Class-bigram and unigram log probabilities of every document."""
     return brown_lm.score_texts(table(spark, d, "documents"))
+
+
+@query
+def op11_cross_tokenizer(spark, d):
+    """Groups, links and corpus-wide link counts of every document under two tokenizers."""
+    return cross_tokenizer.align(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
