@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinelens.llm import (
-    brown_lm, cross_tokenizer, decontaminate, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding,
-    token_counts, url_filter,
+    brown_lm, cross_tokenizer, decontaminate, fingerprints, line_dedup, near_dedup, packing, quality_classifier, quality_rules,
+    sharding, token_counts, url_filter,
 )
 
 QUERIES = {}
@@ -91,3 +91,9 @@ def op11_cross_tokenizer(spark, d):
     """Groups, links and corpus-wide link counts of every document under two tokenizers."""
     return cross_tokenizer.align(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_fingerprints(spark, d):
+    """Threshold-scaled fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.fingerprints(table(spark, d, "documents"))
