@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinelens.llm import (
-    brown_lm, cross_tokenizer, decontaminate, fingerprints, line_dedup, near_dedup, packing, quality_classifier, quality_rules,
-    sharding, token_counts, url_filter,
+    brown_lm, cross_tokenizer, decontaminate, fingerprints, hard_negatives, line_dedup, near_dedup, packing, quality_classifier,
+    quality_rules, sharding, token_counts, url_filter,
 )
 
 QUERIES = {}
@@ -97,3 +97,11 @@ def op11_cross_tokenizer(spark, d):
 def op12_fingerprints(spark, d):
     """Threshold-scaled fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints.fingerprints(table(spark, d, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, d):
+    """Negatives just below each positive of every hundredth vector, some of whose labels are shifted."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    vectors = table(spark, d, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, anchor="vec_id % 100 = 0")
