@@ -17,13 +17,13 @@ from spinelens.llm._store import importable, stored
 #: Parts that the ids of B are dealt to. A part's counted pairs are held in one task, its records are not.
 RADIXES = 16
 #: Links and documents after which a task sorts what it has and writes it as one run per part.
-RUN_LINKS = 1 << 22
+RUN_LINKS = 1 << 20
 RUN_DOCS = 1 << 16
 #: Characters taken together by a worker.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 #: Runs merged by one task at a time, and runs of records that one task gives back.
 FAN_IN = 256
-RUNS_PER_TASK = 32
+RUNS_PER_TASK = 64
 
 _WRITTEN = ("run bigint, row int, part int, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint,"
             " groups_sha256 string, totals binary, records binary")
@@ -114,8 +114,7 @@ def _encode_and_spill(docs: DataFrame, a_path: str, b_path: str, id_col: str, te
                 np.add.at(shape, doc, aligner.shape[flat])
                 n_links = np.zeros(hi - lo, np.int64)
                 np.add.at(n_links, doc, counts)
-                names = [hashlib.sha256(";".join(map(aligner.groups.__getitem__, x.tolist())).encode()).hexdigest()
-                         if len(x) else "" for x in found]
+                names = [hashlib.sha256(aligner.joined(x).encode()).hexdigest() if len(x) else "" for x in found]
                 rows = run.n_docs + np.arange(hi - lo)
                 run.add(links, np.repeat(rows[doc], counts))
                 run.n_docs += hi - lo
