@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinelens.operators import audit as audits
 from spinelens.operators import datasets
+from spinelens.sinks import label_files
 
 
 def write_audit(audit: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -32,13 +33,9 @@ def write_pose_labels(labels: DataFrame, path: str, mode: str = "errorifexists")
 def export_label_text(
     labels: DataFrame, path: str, keypoints: bool = True, mode: str = "errorifexists"
 ) -> None:
-    """One directory ``stem=<stem>`` with the label lines of an image, in order.
-
-    Meant for datasets handed to a trainer: it makes as many directories as there are stems.
-    """
+    """One file ``<stem>.txt`` with the label lines of an image, in order, for datasets handed to a trainer."""
     lines = datasets.with_line(labels, keypoints).select("stem", "line_no", "line")
-    ordered = lines.repartition("stem").sortWithinPartitions("stem", "line_no")
-    ordered.select("stem", "line").write.mode(mode).partitionBy("stem").text(path)
+    label_files.write_label_files(lines, path, mode)
 
 
 def write_detections_csv(flat: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,7 +1,7 @@
 """Annotation, image and label files below a corpus directory ``<root>/<sample>/<file>``.
 
-Spark's file sources do not list files of zero bytes. Such files carry neither labels nor an
-image; where they have to be counted, add them from a manifest, as samples are.
+Spark's file sources do not list files of zero bytes, hidden names and empty directories; those come
+from the listing source, so every sample, document, image and label file is counted.
 """
 
 from __future__ import annotations
@@ -11,29 +11,46 @@ from pyspark.sql import functions as F
 
 from spinelens import schemas, vocab
 from spinelens.functions import label_text, names
+from spinelens.sources import listing
+from spinelens.sources.image_sizes import with_image_size
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Sample manifest, one ``sample_id`` per line. A manifest rather than a directory listing:
-    listings of files cannot show a sample without any file, and such samples are counted."""
+    """Sample manifest, one ``sample_id`` per line."""
     return (
         spark.read.text(path).selectExpr("trim(value) AS sample_id").filter("sample_id <> ''")
     )
 
 
+def list_samples(spark: SparkSession, path: str) -> DataFrame:
+    """One ``sample_id`` per directory of the corpus, also for empty ones."""
+    return listing.samples(listing.list_corpus(spark, path))
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per annotation document; an unreadable one keeps its text in ``_corrupt_record``."""
+    """One row per annotation document; an unreadable one keeps its text in ``_corrupt_record``.
+
+    Documents that Spark does not list come from the listing; an empty one is unreadable.
+    """
     docs = (
         spark.read.schema(schemas.ANNOTATION)
         .option("multiLine", True).option("mode", "PERMISSIVE")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
         .json(path)
     )
-    return docs.selectExpr(
+    read = docs.selectExpr(
         f"{names.parent_name('_metadata.file_path')} AS sample_id",
         f"{names.last_part('_metadata.file_path')} AS doc_path",
         "shapes", "imagePath", "_corrupt_record",
     )
+    other = listing.files(listing.list_corpus(spark, path), ["json"]).where(listing.skipped_by_spark())
+    parsed = F.from_json(F.col("text"), schemas.ANNOTATION, {"mode": "PERMISSIVE"})
+    rest = listing.with_content(other).selectExpr(
+        "sample_id", "file_name AS doc_path", "coalesce(CAST(content AS STRING), '') AS text",
+    ).withColumn("doc", parsed)
+    return read.unionByName(rest.selectExpr(
+        "sample_id", "doc_path", "doc.shapes", "doc.imagePath",
+        "CASE WHEN trim(text) = '' THEN text ELSE doc._corrupt_record END AS _corrupt_record"))
 
 
 def read_label_vocab(spark: SparkSession, path: str) -> DataFrame:
@@ -53,61 +70,25 @@ def vocab_labels(vocabulary: DataFrame) -> list[str]:
 def read_image_files(
     spark: SparkSession, path: str, extensions: list[str] | None = None
 ) -> DataFrame:
-    """One row per image file with one of the extensions (case-sensitive). File contents are not
-    read: only the path column is selected."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(extensions or vocab.AUDIT_EXTENSIONS) + "}")
-        .load(path)
-    )
-    return _named(files.select("path"))
+    """One row per image file with one of the extensions (case-sensitive), empty files included. File
+    contents are not read."""
+    return _named(listing.files(
+        listing.list_corpus(spark, path), extensions or vocab.AUDIT_EXTENSIONS))
 
 
 def _named(files: DataFrame) -> DataFrame:
-    rest = [c for c in files.columns if c != "path"]
-    return files.selectExpr(
-        f"{names.parent_name('path')} AS sample_id", f"{names.last_part('path')} AS file_name",
-        "path", *rest,
-    ).selectExpr("sample_id", "file_name", f"{names.stem('file_name')} AS stem",
-                 f"{names.extension('file_name')} AS ext", "path", *rest)
+    rest = [c for c in files.columns if c not in ("sample_id", "file_name", "path", "length")]
+    return files.selectExpr("sample_id", "file_name", f"{names.stem('file_name')} AS stem",
+                            f"{names.extension('file_name')} AS ext", "path", *rest)
 
 
 def read_sized_images(spark: SparkSession, path: str) -> DataFrame:
-    """Build images with their width and height, NULL where the file is unreadable.
+    """Build images with their width and height from the file headers, NULL where a file is unreadable.
 
-    PNG sizes come from the file header. Other formats are decoded by the image source, which
-    drops what it cannot decode; those files come back through the listing.
+    The corpus is listed once; of each image the first kilobytes are read.
     """
-    png = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.png").load(path)
-        .withColumn("head", F.expr("hex(substring(content, 1, 24))"))
-        .selectExpr(
-            "path",
-            "CASE WHEN startswith(head, '89504E470D0A1A0A') AND length(head) = 48 THEN"
-            " CAST(conv(substring(head, 33, 8), 16, 10) AS INT) END AS width",
-            "CASE WHEN startswith(head, '89504E470D0A1A0A') AND length(head) = 48 THEN"
-            " CAST(conv(substring(head, 41, 8), 16, 10) AS INT) END AS height",
-        )
-    )
-    jpeg = "*.{jpg,jpeg}"
-    decoded = (
-        spark.read.format("image").option("recursiveFileLookup", True)
-        .option("dropInvalid", True).option("pathGlobFilter", jpeg).load(path)
-        .selectExpr(f"{_plain('image.origin')} AS plain", "image.width AS width",
-                    "image.height AS height")
-    )
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", jpeg).load(path).selectExpr("path", f"{_plain('path')} AS plain")
-    )
-    other = listed.join(decoded, "plain", "left").select("path", "width", "height")
-    return _named(png.unionByName(other))
-
-
-def _plain(path: str) -> str:
-    """Path without the scheme's slashes, which the two sources write differently."""
-    return f"regexp_replace({path}, '^([a-z0-9]+:)/+', '$1/')"
+    images = listing.files(listing.list_corpus(spark, path), vocab.BUILD_EXTENSIONS)
+    return _named(with_image_size(images.drop("length")))
 
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -121,10 +102,9 @@ def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Stems of the label files found in a directory. Spark's file sources leave out files of zero
-    bytes; where empty label files occur, union their stems from a manifest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return files.selectExpr(f"{names.stem(names.last_part('path'))} AS stem")
+    """Stems of the label files found in a directory, also of empty ones."""
+    found = listing.files(listing.list_corpus(spark, path, flat=True), ["txt"])
+    return found.selectExpr(f"{names.stem('file_name')} AS stem")
 
 
 def parse_label_lines(lines: DataFrame) -> DataFrame:
