@@ -1,8 +1,9 @@
 """Annotation completeness per sample and over the corpus.
 
-Expected labels are parameters (a short vocabulary). Whether a sample has a label is kept as bits
-of BIGINT masks, so every summary is a hash aggregate over two or three numbers per sample; the
-full label lists are only gathered when a caller selects them.
+The expected labels are a vocabulary: a table, or a list for a short one. Its labels are numbered, and
+whether a sample has a label is a bit of one BIGINT per 62 of them, so every summary is a hash aggregate
+over a few numbers per sample, and a plan is equally large for any vocabulary. The full label lists are
+only gathered when a caller selects them.
 """
 
 from __future__ import annotations
@@ -14,9 +15,17 @@ from spinelens import vocab
 
 MASK_BITS = 62
 
+#: Expected labels: a table with ``label`` and ``ord``, or a list in order.
+Labels = DataFrame | list[str]
 
-def split_vocabulary(labels: list[str]) -> tuple[list[str], list[str]]:
+
+def split_vocabulary(labels: Labels) -> tuple[Labels, Labels]:
     """Expected polygon labels and expected point labels of a vocabulary, in file order."""
+    if isinstance(labels, DataFrame):
+        other = ", ".join(_quoted(vocab.NON_POLYGON_LABELS))
+        point = labels.limit(0).unionByName(
+            labels.sparkSession.range(1).selectExpr(f"'{vocab.CFH_LABEL}' AS label", "0 AS ord"), allowMissingColumns=True)
+        return labels.where(f"label NOT IN ({other})"), point.select("label", "ord")
     return [x for x in labels if x not in vocab.NON_POLYGON_LABELS], [vocab.CFH_LABEL]
 
 
@@ -24,50 +33,56 @@ def _quoted(values: list[str]) -> list[str]:
     return ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
 
 
-def _masks(kind: str, labels: list[str]) -> dict[str, str]:
-    """Presence masks: one BIGINT aggregate per 62 expected labels."""
-    masks = {}
-    for start in range(0, len(labels), MASK_BITS):
-        part = _quoted(labels[start:start + MASK_BITS])
-        bits = ", ".join(f"{name}, {1 << i}L" for i, name in enumerate(part))
-        masks[f"{kind}_mask{start // MASK_BITS}"] = (
-            f"bit_or(CASE WHEN shape_type = '{kind}' THEN try_element_at(map({bits}), label) END)")
-    return masks
+def _expected(like: DataFrame, labels: Labels) -> DataFrame:
+    """One row with the distinct expected labels in order, as ``labels``."""
+    if isinstance(labels, DataFrame):
+        ordered = "transform(sort_array(collect_list(struct(ord, label))), x -> x.label)"
+        return labels.agg(F.expr(f"array_distinct({ordered}) AS labels"))
+    distinct = ", ".join(_quoted(list(dict.fromkeys(labels))))
+    return like.sparkSession.range(1).selectExpr(f"CAST(array({distinct}) AS ARRAY<STRING>) AS labels")
+
 
+def _dictionary(like: DataFrame, poly_labels: Labels, point_labels: Labels) -> DataFrame:
+    """``kind, label, number``: expected labels, numbered within their kind from 0."""
+    def numbered(kind: str, labels: Labels) -> DataFrame:
+        return _expected(like, labels).selectExpr(f"'{kind}' AS kind", "posexplode(labels) AS (number, label)")
 
-def _missing(kind: str, labels: list[str]) -> str:
-    tests = [
-        f"CASE WHEN coalesce({kind}_mask{i // MASK_BITS}, 0L) & {1 << (i % MASK_BITS)}L = 0"
-        f" THEN {name} END" for i, name in enumerate(_quoted(labels))
-    ]
-    return f"filter(CAST(array({', '.join(tests)}) AS ARRAY<STRING>), l -> l IS NOT NULL)"
+    return numbered("polygon", poly_labels).unionByName(numbered("point", point_labels))
 
 
 def audit_samples(
     samples: DataFrame, images: DataFrame, docs: DataFrame, shapes: DataFrame,
-    poly_labels: list[str], point_labels: list[str],
+    poly_labels: Labels, point_labels: Labels,
 ) -> DataFrame:
     """One audit record per sample of the manifest, also for samples without any file.
 
     ``images`` and ``docs`` hold one row per file, ``shapes`` one row per labelled shape of any
-    document of the sample. Each is reduced to one row per sample before the joins.
+    document of the sample. Each is reduced to one row per sample before the joins. Expected labels
+    count once each; their tables are joined in, so they may be long.
     """
     image_counts = (
         images.filter(F.col("ext").isin(vocab.AUDIT_EXTENSIONS))
         .groupBy("sample_id").agg(F.expr("count(1) AS image_count"))
     )
     doc_counts = docs.groupBy("sample_id").agg(F.expr("count(1) AS json_count"))
-    masks = {**_masks("polygon", poly_labels), **_masks("point", point_labels)}
-    found = (
-        shapes.filter("label IS NOT NULL AND label <> '' AND shape_type IN ('polygon', 'point')")
-        .groupBy("sample_id").agg(
-            *[F.expr(f"{mask} AS {name}") for name, mask in masks.items()],
-            F.expr("sort_array(collect_set(CASE WHEN shape_type = 'polygon' THEN label END))"
-                   " AS poly_labels"),
-            F.expr("sort_array(collect_set(CASE WHEN shape_type = 'point' THEN label END))"
-                   " AS point_labels"),
-        )
+    labelled = shapes.filter(
+        "label IS NOT NULL AND label <> '' AND shape_type IN ('polygon', 'point')"
+    ).selectExpr("sample_id", "shape_type AS kind", "label")
+    # labels of one word of bits are disjoint from those of another; unexpected ones have none
+    words = (
+        labelled.join(_dictionary(shapes, poly_labels, point_labels), ["kind", "label"], "left")
+        .withColumn("word", F.expr(f"number div {MASK_BITS}"))
+        .groupBy("sample_id", "kind", "word").agg(
+            F.expr(f"bit_or(shiftleft(1L, number % {MASK_BITS})) AS mask"),
+            F.expr("collect_set(label) AS labels"))
     )
+    found = words.groupBy("sample_id").agg(*[
+        F.expr(f"{expression} AS {prefix}_{name}")
+        for prefix, kind in (("poly", "polygon"), ("point", "point"))
+        for name, expression in (
+            ("present", f"sum(CASE WHEN kind = '{kind}' THEN bit_count(mask) END)"),
+            ("labels", f"sort_array(flatten(collect_list(CASE WHEN kind = '{kind}' THEN labels END)))"))
+    ])
     joined = (
         samples.select("sample_id")
         .join(image_counts, "sample_id", "left")
@@ -75,17 +90,22 @@ def audit_samples(
         .join(found, "sample_id", "left")
     )
     empty = "CAST(array() AS ARRAY<STRING>)"
-    return joined.selectExpr(
+    record = joined.selectExpr(
         "sample_id", "coalesce(image_count, 0L) AS image_count",
         "coalesce(json_count, 0L) AS json_count", "coalesce(json_count, 0L) > 0 AS has_annotation",
         f"coalesce(poly_labels, {empty}) AS poly_labels",
         f"coalesce(point_labels, {empty}) AS point_labels",
-        f"{_missing('polygon', poly_labels)} AS missing_poly",
-        f"{_missing('point', point_labels)} AS missing_point",
-    ).selectExpr(
-        "*", "size(missing_poly) = 0 AS poly_complete", "size(missing_point) = 0 AS point_complete",
-        "size(missing_poly) = 0 AND size(missing_point) = 0 AS fully_complete",
+        "coalesce(poly_present, 0L) AS poly_present", "coalesce(point_present, 0L) AS point_present",
     )
+    lists, sizes = {}, {}
+    for kind, labels in (("poly", poly_labels), ("point", point_labels)):
+        expected = _expected(shapes, labels)
+        lists[f"missing_{kind}"] = F.array_except(expected.scalar(), F.col(f"{kind}_labels"))
+        sizes[f"{kind}_complete"] = F.col(f"{kind}_present") == expected.select(F.size("labels").cast("bigint")).scalar()
+    return record.select(
+        "sample_id", "image_count", "json_count", "has_annotation", "poly_labels", "point_labels",
+        *[c.alias(n) for n, c in {**lists, **sizes}.items()],
+    ).selectExpr("*", "poly_complete AND point_complete AS fully_complete")
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
@@ -119,28 +139,28 @@ def label_gaps(audit: DataFrame) -> DataFrame:
     return audit.selectExpr("sample_id", f"inline(concat({both}))")
 
 
-def missing_by_label(
-    audit: DataFrame, poly_labels: list[str], point_labels: list[str]
-) -> DataFrame:
+def missing_by_label(audit: DataFrame, poly_labels: Labels, point_labels: Labels) -> DataFrame:
     """Samples missing each expected label, over all samples, zeros included.
 
-    A single global aggregate with one counter per expected label; the label rows are made from
-    its one result row.
+    The labels that samples have are counted once, together with the samples; what lacks is the rest.
+    The window runs over the vocabulary's rows and one more.
     """
-    expected = [("polygon", "missing_poly", x) for x in poly_labels]
-    expected += [("point", "missing_point", x) for x in point_labels]
-    names = _quoted([label for _, _, label in expected])
-    counts = audit.agg(F.expr("count(1) AS total"), *[
-        F.expr(f"count_if(array_contains({column}, {name})) AS n{i}")
-        for i, ((_, column, _), name) in enumerate(zip(expected, names))
-    ])
-    rows = ", ".join(
-        f"named_struct('kind', '{kind}', 'ord', {i}, 'label', {name}, 'missing_count', n{i})"
-        for i, ((kind, _, _), name) in enumerate(zip(expected, names))
-    )
-    return counts.selectExpr("total", f"inline(array({rows}))").selectExpr(
-        "kind", "ord", "label", "missing_count",
-        "try_divide(missing_count * 100e0, total) AS missing_pct",
+    kinds = ", ".join(
+        f"transform({kind}_labels, l -> named_struct('kind', '{name}', 'label', l))"
+        for kind, name in (("poly", "polygon"), ("point", "point")))
+    counted = audit.selectExpr(
+        f"inline(concat(array(named_struct('kind', 'all', 'label', '')), {kinds}))"
+    ).groupBy("kind", "label").agg(F.expr("count(1) AS n"))
+    points_from = _expected(audit, poly_labels).select(F.size("labels")).scalar()
+    asked = _dictionary(audit, poly_labels, point_labels).select(
+        "kind", "label",
+        F.when(F.col("kind") == "polygon", F.col("number")).otherwise(F.col("number") + points_from).alias("ord"),
+    ).unionByName(audit.sparkSession.range(1).selectExpr("'all' AS kind", "'' AS label", "-1 AS ord"))
+    rows = asked.join(counted, ["kind", "label"], "left").selectExpr(
+        "kind", "ord", "label", "coalesce(n, 0L) AS n", "max(CASE WHEN ord = -1 THEN coalesce(n, 0L) END) OVER () AS total")
+    return rows.where("ord >= 0").selectExpr(
+        "kind", "ord", "label", "total - n AS missing_count",
+        "try_divide((total - n) * 100e0, total) AS missing_pct",
     )
 
 

@@ -19,9 +19,11 @@ from spinelens.operators import validate as V
 
 
 def audit_dataset(
-    samples: DataFrame, images: DataFrame, docs: DataFrame, labels: list[str]
+    samples: DataFrame, images: DataFrame, docs: DataFrame, labels: A.Labels
 ) -> dict[str, DataFrame]:
-    """Audit records, corpus summary and missing counts of nested annotation documents."""
+    """Audit records, corpus summary and missing counts of nested annotation documents.
+
+    ``labels`` is a vocabulary as read (a table), or a list."""
     poly, point = A.split_vocabulary(labels)
     audit = A.audit_samples(samples, images, docs, H.explode_shapes(docs), poly, point)
     return {
@@ -32,7 +34,7 @@ def audit_dataset(
 
 
 def audit_report_tables(
-    audit: DataFrame, poly: list[str], point: list[str], k: int = 50
+    audit: DataFrame, poly: A.Labels, point: A.Labels, k: int = 50
 ) -> dict[str, DataFrame]:
     """Tables of the audit report; pass a saved audit, which is read once per table."""
     summary = A.audit_summary(audit)

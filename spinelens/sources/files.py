@@ -63,7 +63,7 @@ def read_label_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocab_labels(vocabulary: DataFrame) -> list[str]:
-    """All labels of a vocabulary, in order, as the parameter list of the audit operators."""
+    """All labels of a short vocabulary, in order, as a list. The audit operators also take the table itself."""
     return [row["label"] for row in vocabulary.orderBy("ord").collect()]
 
 

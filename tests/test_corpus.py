@@ -329,3 +329,42 @@ def test_csv_and_text_exports(spark, tmp_path):
     joined = D.attach_cfh(spark.createDataFrame([("i",), ("j",)], "image_id string"), spark.createDataFrame(
         [("i", .9, [.5], (.1, .2))], "image_id string, confidence double, bbox array<double>, center struct<x: double, y: double>"))
     assert {r.image_id: r.cfh is None for r in joined.collect()} == {"i": False, "j": True}
+
+
+def test_vocabulary_as_a_table(spark, corpus, tables):
+    """The table of a vocabulary gives what its list gives."""
+    vocabulary = files.read_label_vocab(spark, str(corpus / "label.txt"))
+    audit = C.audit_dataset(tables["samples"], tables["listed"], tables["docs"], vocabulary)
+    for part in ("samples", "summary", "missing"):
+        assert sorted(map(str, audit[part].collect())) == sorted(map(str, tables["audit"][part].collect())), part
+    none = C.audit_dataset(tables["samples"], tables["listed"], tables["docs"], vocabulary.limit(0))
+    assert {r.poly_complete for r in none["samples"].collect()} == {True}
+    assert [(r.kind, r.label) for r in none["missing"].collect()] == [("point", "CFH")]
+
+
+def test_plan_of_a_long_vocabulary(spark):
+    """100,000 labels over many words of bits: the plan of 20, and right results."""
+    samples = spark.range(40).selectExpr("id AS sample_id")
+    images = samples.selectExpr("sample_id", "'png' AS ext")
+    docs = samples.selectExpr("sample_id", "'a.json' AS doc_path")
+    shapes = samples.selectExpr("sample_id", "explode(sequence(0, 99999, IF(sample_id = 0, 1, 997 + CAST(sample_id AS INT)))) AS k").selectExpr(
+        "sample_id", "concat('L', k) AS label", "'polygon' AS shape_type")
+    sizes = {}
+    for n in (20, 100_000):
+        vocabulary = spark.range(n).selectExpr("concat('L', id) AS label", "CAST(id AS INT) AS ord")
+        poly, point = A.split_vocabulary(vocabulary)
+        audit = A.audit_samples(samples, images, docs, shapes, poly, point)
+        text = A.missing_by_label(audit, poly, point)._jdf.queryExecution().executedPlan().toString()
+        sizes[n] = (len(text.splitlines()), len(audit._jdf.queryExecution().executedPlan().toString().splitlines()))
+    assert sizes[20] == sizes[100_000]
+    rows = {r.sample_id: r for r in audit.collect()}
+    assert [i for i, r in rows.items() if r.poly_complete] == [0]
+    assert len(rows[1].missing_poly) == 100_000 - 101 and rows[1].missing_poly[:2] == ["L1", "L2"]
+    missing = by(A.missing_by_label(audit, poly, point), "label")
+    assert (missing["L0"].missing_count, missing["L1"].missing_count, missing["L99999"].ord) == (0, 39, 99_999)
+    assert len(missing) == 100_001 and missing["CFH"].ord == 100_000 and missing["CFH"].missing_pct == 100.0
+
+
+def test_repeated_expected_labels_count_once(spark, tables):
+    audit = A.audit_samples(tables["samples"], tables["listed"], tables["docs"], H.explode_shapes(tables["docs"]), ["C7", "C7", "it's"], ["CFH"])
+    assert {tuple(r.missing_poly) for r in audit.collect()} == {("it's",), ("C7", "it's")}
