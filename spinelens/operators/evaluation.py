@@ -2,22 +2,20 @@
 
 Matching follows the published practice of the detector's training tool: every prediction points to
 the true box of its image and class with the largest IoU, and a true box accepts the most confident
-prediction that points to it. Both steps are aggregates, so nothing is matched row by row. Ties go to
-the smaller index.
+prediction that points to it. Ties go to the smaller index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinelens.operators.numbering import running_by_score
-
 # IoU thresholds of AP50-95.
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 _KEYS = ["image_id", "class_id"]
 _BOX = ["x1", "y1", "x2", "y2"]
+_CELL = ["level_x", "cell_x", "level_y", "cell_y"]
 
 _IOU = (
     "greatest(0e0, least(p_x2, t_x2) - greatest(p_x1, t_x1))"
@@ -25,107 +23,178 @@ _IOU = (
 )
 
 
-def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """For every distinct prediction box the true box it points to, where IoU >= ``threshold``.
+def _distinct(boxes: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Equal boxes once, with their first index and their number ``n``. Boxes without image or class take no part."""
+    return boxes.where("image_id IS NOT NULL AND class_id IS NOT NULL").groupBy(*keys).agg(
+        F.expr(f"min({index}) AS {index}"), F.expr("count(1) AS n"))
 
-    ``predictions``: image_id, class_id, x1..y2, det_idx, confidence; ``truth``: image_id, class_id,
-    x1..y2, truth_idx. Copies are reduced first: copies of a true box have the same IoU, so all
-    predictions point to the first of them, and of equal predictions only the first can be accepted.
 
-    Candidates come from a grid. On either axis, IoU >= t bounds the ratio of the extents by t and the
-    distance of the centres by (1 - t) times the larger extent. A prediction lies in one cell of the grid
-    of its power-of-two width and height classes; a true box, the smaller side, probes the few cells its
-    bounds allow. Boxes side by side in one image thus do not meet.
+def _proper(distinct: DataFrame, *columns: str) -> DataFrame:
+    """Boxes with an inside.
+
+    Sides that mention the number of copies keep every condition on them, also those that Spark infers from a join,
+    above the aggregate that counts. So all uses of the distinct boxes share its exchange and the input is read once.
     """
-    pred = predictions.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX, "confidence").agg(
-        F.expr("min(det_idx) AS det_idx"))
-    true = truth.filter("x2 > x1 AND y2 > y1").groupBy(*_KEYS, *_BOX).agg(
-        F.expr("min(truth_idx) AS truth_idx"))
-    pred_cells = pred.selectExpr(
+    return distinct.selectExpr(*_KEYS, *columns, *[f"CASE WHEN n > 0 THEN {c} END AS {c}" for c in _BOX]).where(
+        "x2 > x1 AND y2 > y1")
+
+
+def _level(size: str) -> str:
+    return f"CAST(floor(log2({size}) / 2) AS INT)"
+
+
+def _prediction_cells(predictions: DataFrame) -> DataFrame:
+    """Each box in the one cell of its classes of width and height."""
+    return _proper(predictions, "det_idx", "confidence").selectExpr(
         *_KEYS, "det_idx", "confidence", *[f"{c} AS p_{c}" for c in _BOX],
-        *[f"CAST(floor(log2({a}2 - {a}1)) AS INT) AS level_{a}" for a in "xy"],
+        *[f"{_level(f'{a}2 - {a}1')} AS level_{a}" for a in "xy"],
     ).selectExpr(
-        "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow(2e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
-    # Slightly widened bounds keep pairs at the very edge of the threshold.
-    t, slack = f"{threshold!r}D", "1.000001e0"
-    true_cells = true.selectExpr(*_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX])
+        "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow(4e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
+
+
+def truth_probes(truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Each true box once per cell that may hold a prediction with IoU >= ``threshold``, about nine times at 0.5.
+
+    ``truth``: image_id, class_id, x1..y2, truth_idx, n. On either axis IoU >= t asks that the extents p and s keep a ratio
+    of at least t and the centres a distance of at most (p + s) / 2 - t * max(p, s); the areas keep the ratio, too.
+    A class of extents reaches from a power of four to the next one, which is the side of its cells: an axis has two
+    classes to probe, and pairs of classes whose areas do not fit are left out. Bounds are slightly widened, which
+    keeps pairs at the very edge of the threshold.
+    """
+    t, wide = f"{threshold!r}D", "1.000001e0"
+    probes = _proper(truth, "truth_idx").selectExpr(
+        *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], *[f"{a}2 - {a}1 AS size_{a}" for a in "xy"])
     for a in "xy":
-        size, centre = f"(t_{a}2 - t_{a}1)", f"(t_{a}1 + t_{a}2) / 2"
-        true_cells = true_cells.selectExpr(
-            "*", f"explode(sequence(CAST(floor(log2({size} * {t} / {slack})) AS INT),"
-                 f" CAST(floor(log2({size} / {t} * {slack})) AS INT))) AS level_{a}",
-        ).selectExpr(
-            "*", f"pow(2e0, level_{a} + 1) AS side",
-        ).selectExpr(
-            "*", f"greatest({size}, side) * (1e0 - {t}) * {slack} AS reach",
+        probes = probes.selectExpr(
+            "*", f"explode(sequence({_level(f'size_{a} * {t} / {wide}')}, {_level(f'size_{a} / {t} * {wide}')})) AS level_{a}")
+    probes = probes.selectExpr("*", *[
+        e for a in "xy" for e in (f"pow(4e0, level_{a}) AS low_{a}", f"pow(4e0, level_{a} + 1) AS side_{a}")])
+    least = " * ".join(f"greatest(low_{a}, size_{a} * {t})" for a in "xy")
+    most = " * ".join(f"least(side_{a}, size_{a} / {t})" for a in "xy")
+    probes = probes.filter(
+        f"{least} * {t} <= size_x * size_y * {wide} AND {most} * {wide} >= size_x * size_y * {t}")
+    for a in "xy":
+        # the extent of the class at which the distance may be largest
+        at = (f"least(greatest(size_{a}, low_{a}), side_{a})" if threshold >= 0.5
+              else f"least(side_{a}, size_{a} / {t})")
+        probes = probes.selectExpr(
+            "*", f"(({at} + size_{a}) / 2 - {t} * greatest({at}, size_{a})) * {wide} + 1e-6 * size_{a} AS reach_{a}",
+            f"(t_{a}1 + t_{a}2) / 2 AS centre_{a}",
         ).selectExpr(
-            "*", f"explode(sequence(CAST(floor(({centre} - reach) / side) AS BIGINT),"
-                 f" CAST(floor(({centre} + reach) / side) AS BIGINT))) AS cell_{a}",
-        ).drop("side", "reach")
-    pairs = pred_cells.join(true_cells, [*_KEYS, "level_x", "cell_x", "level_y", "cell_y"]).selectExpr(
-        *_KEYS, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
+            "*", f"explode(sequence(CAST(floor((centre_{a} - reach_{a}) / side_{a}) AS BIGINT),"
+                 f" CAST(floor((centre_{a} + reach_{a}) / side_{a}) AS BIGINT))) AS cell_{a}")
+    return probes.select(*_KEYS, "truth_idx", *[f"t_{c}" for c in _BOX], *_CELL)
+
+
+def _best_truth(pred: DataFrame, true: DataFrame, threshold: float) -> DataFrame:
+    """``best_truth`` of distinct boxes. A prediction lies in one cell, so its pairs are in one partition of the join."""
+    pairs = _prediction_cells(pred).join(truth_probes(true, threshold), [*_KEYS, *_CELL]).selectExpr(
+        *_KEYS, *_CELL, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
         "truth_idx", f"{_IOU} AS overlap",
     ).selectExpr(
-        *_KEYS, "det_idx", "confidence", "truth_idx",
+        *_KEYS, *_CELL, "det_idx", "confidence", "truth_idx",
         "overlap / ((p_x2 - p_x1) * (p_y2 - p_y1) + (t_x2 - t_x1) * (t_y2 - t_y1) - overlap) AS iou",
-    ).filter(f"iou >= {t}")
-    return pairs.groupBy(*_KEYS, "det_idx", "confidence").agg(
-        F.expr("max(named_struct('iou', iou, 'nt', -truth_idx)) AS best")
-    ).selectExpr(*_KEYS, "det_idx", "confidence", "-best.nt AS truth_idx", "best.iou AS iou")
+    ).filter(f"iou >= {threshold!r}D")
+    first = Window.partitionBy(*_KEYS, *_CELL, "det_idx").orderBy(F.desc("iou"), "truth_idx")
+    return pairs.withColumn("place", F.row_number().over(first)).where("place = 1").select(
+        *_KEYS, "det_idx", "confidence", "truth_idx", "iou")
+
+
+def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """For every distinct prediction box the true box it points to, where IoU >= ``threshold``.
+
+    ``predictions``: image_id, class_id, x1..y2, det_idx, confidence; ``truth``: image_id, class_id,
+    x1..y2, truth_idx. Copies are reduced first: copies of a true box have the same IoU, so all
+    predictions point to the first of them, and of equal predictions only the first can be accepted.
+    Candidates come from a grid (``truth_probes``), so boxes side by side in one image do not meet.
+    """
+    pred = _distinct(predictions, [*_KEYS, *_BOX, "confidence"], "det_idx")
+    return _best_truth(pred, _distinct(truth, [*_KEYS, *_BOX], "truth_idx"), threshold)
 
 
 def match_detections(
     predictions: DataFrame, truth: DataFrame, threshold: float = 0.5
 ) -> DataFrame:
     """Accepted pairs at one IoU threshold."""
-    return best_truth(predictions, truth, threshold).groupBy(*_KEYS, "truth_idx").agg(F.expr(
-        "min(named_struct('nc', -confidence, 'det_idx', det_idx, 'iou', iou)) AS first"
-    )).selectExpr(*_KEYS, "truth_idx", "first.det_idx AS det_idx", "-first.nc AS confidence",
-                  "first.iou AS iou")
+    first = Window.partitionBy(*_KEYS, "truth_idx").orderBy(F.desc("confidence"), "det_idx")
+    pointing = best_truth(predictions, truth, threshold)
+    return pointing.withColumn("place", F.row_number().over(first)).where("place = 1").select(
+        *_KEYS, "truth_idx", "det_idx", "confidence", "iou")
 
 
-def _true_positives(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """(class, threshold index, confidence) with the number of accepted predictions."""
-    steps = ", ".join(f"{t!r}D" for t in THRESHOLDS)
-    passed = best_truth(predictions, truth, THRESHOLDS[0]).selectExpr(
-        *_KEYS, "truth_idx", "confidence", "det_idx",
-        f"explode(filter(transform(array({steps}), (t, i) -> CASE WHEN iou >= t THEN i END),"
-        " i -> i IS NOT NULL)) AS step",
-    )
-    accepted = passed.groupBy(*_KEYS, "truth_idx", "step").agg(F.expr("max(confidence) AS confidence"))
-    return accepted.groupBy("class_id", "step", "confidence").agg(F.expr("count(1) AS tp"))
+def _levels(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per class and confidence: predictions ``n`` and, per IoU threshold, accepted ones ``tp0``..; true boxes of a class
+    at confidence -1.
 
-
-def evaluate_by_class(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    Each input is read once: its distinct boxes with their numbers are matched and counted. A true box keeps, per
+    threshold, the highest confidence that points to it.
+    """
+    steps = range(len(THRESHOLDS))
+    pred = _distinct(predictions, [*_KEYS, *_BOX, "confidence"], "det_idx")
+    true = _distinct(truth, [*_KEYS, *_BOX], "truth_idx")
+    accepted = _best_truth(pred, true, THRESHOLDS[0]).groupBy(*_KEYS, "truth_idx").agg(*[
+        F.expr(f"max(CASE WHEN iou >= {t!r}D THEN confidence END) AS c{i}") for i, t in enumerate(THRESHOLDS)])
+    every = ", ".join(f"c{i}" for i in steps)
+    none = [f"0L AS tp{i}" for i in steps]
+    # the indices are asked for only so that both uses of the distinct boxes have the same columns
+    counted = pred.selectExpr(
+        "class_id", "confidence", "CASE WHEN det_idx IS NULL THEN 0L ELSE n END AS n", *none, "0L AS n_truth")
+    boxes = true.selectExpr(
+        "class_id", "-1e0 AS confidence", "0L AS n", *none, "CASE WHEN truth_idx IS NULL THEN 0L ELSE n END AS n_truth")
+    hits = accepted.selectExpr(
+        "class_id", f"explode(array_distinct(filter(array({every}), c -> c IS NOT NULL))) AS confidence",
+        *[f"c{i}" for i in steps],
+    ).selectExpr("class_id", "confidence", "0L AS n", *[
+        f"CASE WHEN c{i} = confidence THEN 1L ELSE 0L END AS tp{i}" for i in steps], "0L AS n_truth")
+    return counted.unionByName(hits).unionByName(boxes).groupBy("class_id", "confidence").agg(*[
+        F.expr(f"sum({c}) AS {c}") for c in ("n", *[f"tp{i}" for i in steps], "n_truth")])
+
+
+def evaluate_by_class(predictions: DataFrame, truth: DataFrame, buckets: int = 256) -> DataFrame:
     """Per class of the truth: precision and recall at the best F1 (IoU 0.5), AP50, AP50-95.
 
     AP is the area under the interpolated curve: each recall step times the largest precision at this
     or any higher recall. Predictions of equal confidence enter the curve together.
+
+    Each threshold is a ``step`` of its own. Rows are dealt by class, step and bucket of confidence; running sums and
+    running maxima of a bucket are completed by those of the buckets before and behind it.
     """
-    ranked = running_by_score(
-        predictions.groupBy("class_id", "confidence").agg(F.expr("count(1) AS n")),
-        ["class_id"], "confidence", {"cum_n": "sum(n)"},
-    ).select("class_id", "confidence", "cum_n")
-    totals = truth.groupBy("class_id").agg(F.expr("count(1) AS n_truth"))
-    hits = running_by_score(
-        _true_positives(predictions, truth), ["class_id", "step"], "confidence",
-        {"cum_tp": "sum(tp)"})
-    curve = hits.join(ranked, ["class_id", "confidence"]).join(totals, "class_id").selectExpr(
-        "class_id", "step", "confidence", "tp", "n_truth", "cum_tp", "cum_n",
-        "CAST(cum_tp AS DOUBLE) / cum_n AS precision", "CAST(cum_tp AS DOUBLE) / n_truth AS recall",
-        "2e0 * cum_tp / (cum_n + n_truth) AS f1")
-    enveloped = running_by_score(
-        curve, ["class_id", "step"], "confidence", {"envelope": "max(precision)"}, descending=False)
-    scored = enveloped.groupBy("class_id").agg(
-        F.expr("sum(CASE WHEN step = 0 THEN tp * envelope END) AS area50"),
-        F.expr("sum(tp * envelope) AS area"),
-        F.expr("max(CASE WHEN step = 0 THEN"
-               " named_struct('f1', f1, 'confidence', confidence, 'p', precision, 'r', recall) END) AS at"),
-    )
-    return totals.join(scored, "class_id", "left").selectExpr(
+    steps = range(len(THRESHOLDS))
+    key, parts = ["class_id", "step"], ["class_id", "step", "bucket"]
+    rows = _levels(predictions, truth).selectExpr(
+        "class_id", f"CAST(floor(CASE WHEN n >= 0 THEN confidence END * {buckets}) AS INT) AS bucket", "confidence", "n",
+        "n_truth", f"posexplode(array({', '.join(f'tp{i}' for i in steps)})) AS (step, tp)",
+    ).where("bucket IS NOT NULL")  # said here, as one side of a join would infer it alone
+    from_top = Window.partitionBy(*parts).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", F.sum("n").over(from_top).alias("cum_n"), F.sum("tp").over(from_top).alias("cum_tp"))
+    totals = local.groupBy(*parts).agg(
+        F.max("cum_n").alias("all_n"), F.max("cum_tp").alias("all_tp"), F.sum("n_truth").alias("own_truth"))
+    above = Window.partitionBy(*key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *parts, *[F.coalesce(F.sum(f"all_{c}").over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", "tp")],
+        F.sum("own_truth").over(Window.partitionBy(*key)).alias("of_class"))
+    # the own count is asked for only so that both uses of ``local`` have the same columns
+    curve = local.join(before, parts).where("of_class > 0 AND n_truth >= 0").selectExpr(
+        *parts, "confidence", "of_class", "tp",
+        "2e0 * (cum_tp + before_tp) / (cum_n + before_n + of_class) AS f1",
+        "CAST(cum_tp + before_tp AS DOUBLE) / of_class AS recall",
+        "CASE WHEN tp > 0 THEN CAST(cum_tp + before_tp AS DOUBLE) / (cum_n + before_n) END AS precision")
+    from_bottom = Window.partitionBy(*parts).orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)
+    enveloped = curve.withColumn("top", F.max("precision").over(from_bottom))
+    best = ("max(CASE WHEN step = 0 AND tp > 0 THEN"
+            " named_struct('f1', f1, 'confidence', confidence, 'p', precision, 'r', recall) END) AS at")
+    # equal maxima of a bucket are one row from here on
+    tops = enveloped.groupBy(*parts, "top").agg(
+        F.expr("sum(tp) AS tp"), F.expr("max(of_class) AS n_truth"), F.expr(best))
+    behind = tops.groupBy(*parts).agg(F.max("top").alias("top")).select(
+        *parts, F.max("top").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("behind"))
+    return tops.join(behind, parts).groupBy("class_id").agg(
+        F.expr("max(n_truth) AS n_truth"), F.expr("max(at) AS at"),
+        F.expr("coalesce(sum(CASE WHEN step = 0 THEN tp * greatest(top, behind) END), 0e0) AS area50"),
+        F.expr("coalesce(sum(tp * greatest(top, behind)), 0e0) AS area"),
+    ).selectExpr(
         "class_id", "n_truth", "coalesce(at.p, 0e0) AS precision", "coalesce(at.r, 0e0) AS recall",
-        "coalesce(area50, 0e0) / n_truth AS ap50",
-        f"coalesce(area, 0e0) / n_truth / {len(THRESHOLDS)} AS ap50_95")
+        "area50 / n_truth AS ap50", f"area / n_truth / {len(THRESHOLDS)} AS ap50_95")
 
 
 def evaluate_detections(predictions: DataFrame, truth: DataFrame) -> DataFrame:

@@ -144,3 +144,61 @@ def test_sampling_is_repeatable_and_capped(spark, sf_dir):
     a = {r.image_id for r in R.sample_images(images, 20).collect()}
     assert a == {r.image_id for r in R.sample_images(images.repartition(3), 20).collect()} and len(a) == 20
     assert R.sample_images(images, 10 ** 6).count() == images.count()
+
+
+def test_evaluation_reads_each_input_once(spark, sf_dir):
+    df = QUERIES["evaluation_by_class"](spark, sf_dir)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2  # predictions and true boxes, views of one table
+    assert final.count("Exchange hashpartitioning") - final.count("ReusedExchange") <= 11
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75])
+def test_probes_find_every_pair(spark, threshold):
+    """Boxes of all sizes and shapes: every pair above the threshold meets, with few probes per true box."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(1500):
+        w, h = 10 ** rng.uniform(-1, 3), 10 ** rng.uniform(-1, 3)
+        x, y = rng.uniform(-500, 500), rng.uniform(-500, 500)
+        rows.append((i, x, y, x + w, y + h))
+        for k in range(2):
+            a, b = w * rng.uniform(0.5, 2), h * rng.uniform(0.7, 1.4)
+            dx, dy = w * rng.uniform(-0.3, 0.3), h * rng.uniform(-0.3, 0.3)
+            rows.append((i, x + dx, y + dy, x + dx + a, y + dy + b))
+    kinds = "x1 double, y1 double, x2 double, y2 double"
+    p = spark.createDataFrame([(i, 0, *b, k, 0.5) for k, (i, *b) in enumerate(rows)],
+                              f"image_id int, class_id int, {kinds}, det_idx long, confidence double")
+    t = spark.createDataFrame([(i, 0, *b, k) for k, (i, *b) in enumerate(rows)], f"image_id int, class_id int, {kinds}, truth_idx long")
+    grouped = {}
+    for k, (i, *b) in enumerate(rows):
+        grouped.setdefault(i, []).append((k, b))
+
+    def iou(a, b):
+        o = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return o / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - o)
+
+    true = E._distinct(t, ["image_id", "class_id", "x1", "y1", "x2", "y2"], "truth_idx")
+    pred = E._distinct(p, ["image_id", "class_id", "x1", "y1", "x2", "y2", "confidence"], "det_idx")
+    probes = E.truth_probes(true, threshold)
+    met = {(r.det_idx, r.truth_idx) for r in E._prediction_cells(pred).join(
+        probes, ["image_id", "class_id", *E._CELL]).select("det_idx", "truth_idx").collect()}
+    want = {(a, b) for group in grouped.values() for a, x in group for b, y in group if iou(x, y) >= threshold}
+    assert want <= met and len(want) > len(rows)
+    if threshold == 0.5:
+        assert probes.count() <= 12 * len(rows)
+
+
+def test_a_hot_image_does_not_pair_all_boxes(spark):
+    """20,000 boxes side by side in one image: candidates grow with the boxes, not with their square."""
+    boxes = spark.range(20000).selectExpr(
+        "1 AS image_id", "0 AS class_id", "id % 200 * 30e0 AS x1", "id div 200 * 30e0 AS y1",
+        "id % 200 * 30e0 + 28 AS x2", "id div 200 * 30e0 + 28 AS y2", "id AS det_idx", "(id * 7919) % 20011 / 20011e0 AS confidence")
+    true = boxes.withColumnRenamed("det_idx", "truth_idx")
+    keys = ["image_id", "class_id", "x1", "y1", "x2", "y2"]
+    pairs = E._prediction_cells(E._distinct(boxes, [*keys, "confidence"], "det_idx")).join(
+        E.truth_probes(E._distinct(true, keys, "truth_idx")), ["image_id", "class_id", *E._CELL])
+    assert pairs.count() < 40 * 20000
+    row = E.evaluate_by_class(boxes, true).first()
+    assert (row.n_truth, row.recall, row.ap50_95) == (20000, 1.0, pytest.approx(1.0))
