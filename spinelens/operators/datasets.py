@@ -7,7 +7,7 @@ gathers shapes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinelens import vocab
@@ -18,13 +18,15 @@ from spinelens.functions import points as P
 KEYPOINT_TYPE = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, v: INT>>"
 
 
-def first_documents(docs: DataFrame) -> DataFrame:
-    """The first document of each sample in path order."""
-    rest = [c for c in docs.columns if c not in ("sample_id", "doc_path")]
-    kept = ", ".join(rest)
-    return docs.groupBy("sample_id").agg(
-        F.expr("min(doc_path) AS doc_path"), F.expr(f"min_by(struct({kept}), doc_path) AS kept"),
-    ).selectExpr("sample_id", "doc_path", *[f"kept.{c} AS {c}" for c in rest])
+def first_documents(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The first document of each sample in path order; paths are unique inside a sample.
+
+    The choice is made on samples and paths alone. ``rows`` (``docs`` itself, if not given) may be anything computed row by
+    row from the documents: it is moved once, dealt by sample and path, so a sample with very many documents is no
+    hot key, and meets the chosen paths without being sorted.
+    """
+    first = docs.select("sample_id", "doc_path").groupBy("sample_id").agg(F.expr("min(doc_path) AS doc_path"))
+    return (docs if rows is None else rows).join(first.hint("shuffle_hash"), ["sample_id", "doc_path"], "left_semi")
 
 
 def pose_objects(docs: DataFrame) -> DataFrame:
@@ -131,11 +133,14 @@ def _with_unreadable(docs: DataFrame) -> DataFrame:
     return docs.withColumn("unreadable", F.expr("_corrupt_record IS NOT NULL")).drop("_corrupt_record")
 
 
-def _first_selected(selected: DataFrame, docs: DataFrame) -> DataFrame:
-    wanted = docs.select(
-        "sample_id", "doc_path", "shapes", *[c for c in docs.columns if c == "_corrupt_record"]
-    ).join(selected.select("sample_id"), "sample_id", "left_semi")
-    return first_documents(_with_unreadable(wanted))
+def _first_selected(selected: DataFrame, docs: DataFrame, objects) -> DataFrame:
+    """What ``objects`` makes of the first document of each selected sample.
+
+    Geometry is computed row by row before anything is moved, so no shuffle carries shapes.
+    """
+    wanted = docs.select("sample_id", "doc_path").join(selected.select("sample_id"), "sample_id", "left_semi")
+    read = docs.select("sample_id", "doc_path", "shapes", *[c for c in docs.columns if c == "_corrupt_record"])
+    return first_documents(wanted, objects(_with_unreadable(read)))
 
 
 def build_pose_dataset(
@@ -145,7 +150,7 @@ def build_pose_dataset(
 
     The first document of a sample applies to every image of the sample.
     """
-    objects = pose_objects(_first_selected(selected, docs))
+    objects = _first_selected(selected, docs, pose_objects)
     usable = build_images(images, selected)
     written = _written(usable, objects.filter("n_objects > 0"))
     box = P.bounds_to_norm_box("object.bounds", "width", "height")
@@ -177,7 +182,7 @@ def build_point_dataset(
 
     A sample needs exactly one femoral-head point in its first document.
     """
-    objects = point_objects(_first_selected(selected, docs))
+    objects = _first_selected(selected, docs, point_objects)
     usable = build_images(images, selected)
     written = _written(usable, objects.filter("n_points = 1"))
     box = P.bounds_to_norm_box("bounds", "width", "height")
@@ -202,6 +207,14 @@ def build_point_dataset(
     }
 
 
+def failure_head(failures: DataFrame, k: int = 10) -> DataFrame:
+    """The first ``k`` failed samples by id, each with its rank and with how many samples the list leaves out."""
+    total = failures.agg(F.expr("count(1) AS total")).scalar()
+    listed = failures.select("sample_id", "reason").orderBy("sample_id").limit(k)
+    ranked = listed.withColumn("rank", F.row_number().over(Window.orderBy("sample_id")))
+    return ranked.withColumn("not_listed", F.greatest(total - F.lit(k), F.lit(0)))
+
+
 def failure_reasons(failures: DataFrame) -> DataFrame:
     """Failed samples per reason, most frequent first."""
     return failures.groupBy("reason").agg(F.expr("count(1) AS n_samples")).orderBy(
@@ -209,7 +222,7 @@ def failure_reasons(failures: DataFrame) -> DataFrame:
 
 
 def named_images(docs: DataFrame, images: DataFrame) -> DataFrame:
-    """Each document with the one image its ``imagePath`` names.
+    """Each document, or what was computed from it, with the one image its ``imagePath`` names.
 
     Documents without a name are left out; ``found`` is false where the file is absent or has no
     readable size. Image names are unique inside a sample, so no document is multiplied; a sample
@@ -221,8 +234,8 @@ def named_images(docs: DataFrame, images: DataFrame) -> DataFrame:
     ).withColumn("found", F.expr("coalesce(width > 0 AND height > 0, false)"))
 
 
-def box_objects(named: DataFrame, multiplier: float = vocab.BOX_MULTIPLIER) -> DataFrame:
-    """Per document its femoral-head points and the box side in pixels."""
+def box_parts(docs: DataFrame) -> DataFrame:
+    """Per document its femoral-head points and the mean height of its reference shapes, row by row."""
     heads = f"filter(shapes, s -> s.label = '{vocab.CFH_LABEL}' AND size(s.points) > 0)"
     references = (
         f"filter(shapes, s -> coalesce(s.label, '') <> '{vocab.CFH_LABEL}' AND size(s.points) >= 4)"
@@ -232,31 +245,38 @@ def box_objects(named: DataFrame, multiplier: float = vocab.BOX_MULTIPLIER) -> D
         " - array_min(transform(s.points, p -> get(p, 1))))"
     )
     mean = "CASE WHEN size(heights) > 0 THEN aggregate(heights, 0e0, (a, h) -> a + h) / size(heights) END"
+    passed = ["sample_id", "doc_path", "imagePath"]
     return (
-        named.selectExpr("sample_id", "doc_path", "stem", "width", "height", "found",
-                         f"{heads} AS heads", f"{references} AS refs")
-        .selectExpr("sample_id", "doc_path", "stem", "width", "height", "found",
+        docs.selectExpr(*passed, f"{heads} AS heads", f"{references} AS refs")
+        .selectExpr(*passed,
                     f"transform(heads, s -> {P.point('get(get(s.points, 0), 0)', 'get(get(s.points, 0), 1)')}) AS heads",
                     f"{height} AS heights")
-        .selectExpr("*", f"{mean} AS avg_height")
-        .selectExpr("sample_id", "doc_path", "stem", "width", "height", "found",
-                    "coalesce(heads, array()) AS heads",
-                    f"{B.adaptive_side('avg_height', 'width', 'height', multiplier)} AS side")
+        .selectExpr(*passed, "coalesce(heads, array()) AS heads", f"{mean} AS avg_height")
     )
 
 
+def box_objects(named: DataFrame, multiplier: float = vocab.BOX_MULTIPLIER) -> DataFrame:
+    """Per document on its image the femoral-head points and the box side in pixels."""
+    return named.selectExpr(
+        "sample_id", "doc_path", "stem", "width", "height", "found", "heads",
+        f"{B.adaptive_side('avg_height', 'width', 'height', multiplier)} AS side")
+
+
 def build_box_dataset(
     docs: DataFrame, images: DataFrame, multiplier: float = vocab.BOX_MULTIPLIER
 ) -> dict[str, DataFrame]:
-    """Femoral-head box rows of all samples, the copied images and the conversion counters."""
-    objects = box_objects(named_images(docs, images), multiplier)
+    """Femoral-head box rows of all samples, the copied images and the conversion counters.
+
+    The last document of a stem, by sample and path, is chosen on these columns; its points come by a join.
+    """
+    objects = box_objects(named_images(box_parts(docs), images), multiplier)
     kept = objects.filter("found AND size(heads) > 0")
-    last = kept.groupBy("stem").agg(F.expr(
-        "max_by(struct(heads, side, width, height), struct(sample_id, doc_path)) AS kept"))
+    named = kept.select("stem", "sample_id", "doc_path")
+    last = named.groupBy("stem").agg(F.expr("max(struct(sample_id, doc_path)) AS kept")).selectExpr("stem", "kept.*")
     box = B.point_to_norm_box("head.x", "head.y", "side", "width", "height")
     rows = (
-        last.selectExpr("stem", "kept.side", "kept.width", "kept.height",
-                        "posexplode(kept.heads) AS (pos, head)")
+        kept.join(last.hint("shuffle_hash"), ["stem", "sample_id", "doc_path"], "left_semi")
+        .selectExpr("stem", "side", "width", "height", "posexplode(heads) AS (pos, head)")
         .selectExpr("stem", "pos + 1 AS line_no", "0 AS class_id", f"{box} AS box",
                     f"CAST(array() AS {KEYPOINT_TYPE}) AS keypoints")
         .select("stem", "line_no", "class_id", "box.*", "keypoints")

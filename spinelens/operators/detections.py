@@ -52,6 +52,29 @@ def attach_cfh(images: DataFrame, cfh: DataFrame) -> DataFrame:
         cfh.selectExpr("image_id", "struct(confidence, bbox, center) AS cfh"), "image_id", "left")
 
 
+def detection_documents(
+    images: DataFrame, vertebrae: DataFrame, cfh: DataFrame, most: int = 300
+) -> dict[str, DataFrame]:
+    """One detection document per image of ``images`` (image_id, image_width, image_height).
+
+    ``documents``: the normalised vertebra detections in detection order (empty for an image without any), the optional
+    femoral head, and the size. A document holds at most ``most`` detections, as many as the detector returns for an
+    image; the detections of images with more are the rows of ``overflow``, and their documents hold none
+    (``n_vertebrae`` tells). So no image gathers more than a bounded list.
+    """
+    counts = vertebrae.groupBy("image_id").agg(F.expr("count(1) AS n_vertebrae"))
+    sized = vertebrae.drop("image_width", "image_height").join(counts, "image_id")
+    fields = [c for c in sized.columns if c not in ("image_id", "n_vertebrae")]
+    gathered = sized.where(F.col("n_vertebrae") <= most).groupBy("image_id").agg(
+        F.expr(f"sort_array(collect_list(struct(det_idx, {', '.join(c for c in fields if c != 'det_idx')}))) AS vertebrae"))
+    told = images.join(counts, "image_id", "left").join(gathered, "image_id", "left")
+    kind = gathered.schema["vertebrae"].dataType.simpleString()
+    documents = attach_cfh(told, cfh).selectExpr(
+        "image_id", "coalesce(n_vertebrae, 0L) AS n_vertebrae",
+        f"coalesce(vertebrae, CAST(array() AS {kind})) AS vertebrae", "cfh", "image_width", "image_height")
+    return {"documents": documents, "overflow": sized.where(F.col("n_vertebrae") > most).drop("n_vertebrae")}
+
+
 def detections_flat(boxes: DataFrame) -> DataFrame:
     """One output row per box with its pixel centre."""
     return boxes.selectExpr(

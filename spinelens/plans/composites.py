@@ -110,6 +110,14 @@ def normalise_detections(vertebra_boxes: DataFrame, cfh_boxes: DataFrame) -> dic
         "vertebrae": D.normalise_vertebrae(vertebra_boxes), "cfh": D.normalise_cfh(cfh_boxes)}
 
 
+def detection_documents(
+    images: DataFrame, vertebra_boxes: DataFrame, cfh_boxes: DataFrame, most: int = 300
+) -> dict[str, DataFrame]:
+    """Raw boxes of both detectors as one document per image, also for images without any box."""
+    parts = normalise_detections(vertebra_boxes, cfh_boxes)
+    return D.detection_documents(images, parts["vertebrae"], parts["cfh"], most)
+
+
 def prediction_summary(
     images: DataFrame, vertebrae: DataFrame, cfh: DataFrame, n: int
 ) -> dict[str, DataFrame]:

@@ -679,6 +679,10 @@ def _kp(i: int) -> str:
     return f"{_thousandths(4 + 2 * i)} || ':' || {_thousandths(5 + 2 * i)} || ':2'"
 
 
+def _line_keypoint(i: int) -> str:
+    return f"' ' || {_text(4 + 2 * i)} || '000 ' || {_text(5 + 2 * i)} || '000 2'"
+
+
 ORACLES["label_line_fields"] = f"""WITH {_LINE_BASE}
 SELECT stem, line_no, n_fields, class_id,
        {', '.join(f'{_thousandths(i)} AS {c}' for i, c in enumerate(('cx', 'cy', 'w', 'h')))},
@@ -686,8 +690,8 @@ SELECT stem, line_no, n_fields, class_id,
 FROM base"""
 ORACLES["label_line_text"] = f"""WITH {_LINE_BASE}
 SELECT stem, line_no, CAST(class_id AS VARCHAR) || ' ' || {" || '000 ' || ".join(_text(i) for i in range(4))} || '000' ||
-       {" || ".join(f"' ' || {_text(4 + 2 * i)} || '000 ' || {_text(5 + 2 * i)} || '000 2'" for i in range(4))} AS text
-FROM base WHERE n_fields = 17 AND class_id IS NOT NULL"""
+       {_line_keypoint(0)} || CASE WHEN n_fields = 17 THEN {" || ".join(map(_line_keypoint, (1, 2, 3)))} ELSE '' END AS text
+FROM base WHERE class_id IS NOT NULL"""
 ORACLES["class_distribution"] = f"""WITH {_LINE_BASE}
 SELECT class_id, CASE WHEN class_id < 19 THEN {_names(vocab.MERGED_CLASSES)}[class_id + 1]
                       ELSE 'Unknown_' || class_id END AS label, count(*) AS n_objects,
@@ -870,3 +874,51 @@ SELECT image_id, {_scaled('avg(greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3))
          floor((cy + hh - t) * img_h) AS y2, floor((cy + hh + t) * img_h) AS y3
   FROM det WHERE l_partkey % 13 <> 0) GROUP BY image_id"""
 ORACLES["detection_total"] = f"{_RAW} SELECT count(*) AS total_detections FROM raw WHERE confidence >= 0.25e0"
+
+# --- documents, shapes and rejects --------------------------------------------------------------
+
+ORACLES["failure_head"] = f"""WITH {_CORPUS}, {_failed(_POSE_INVALID, _POSE_READY)}
+SELECT sample_id, reason, CAST(row_number() OVER (ORDER BY sample_id) AS INT) AS rank,
+       greatest((SELECT count(*) FROM failures) - 10, 0) AS not_listed
+FROM failures ORDER BY sample_id LIMIT 10"""
+ORACLES["exploded_shapes"] = f"""WITH {_CORPUS},
+parts AS (
+  SELECT sample_id, vec_id, 0 AS turn, 'CFH' AS label, 'point' AS shape_type, 1 AS n_points, xs, ys FROM shapes WHERE has_head
+  UNION ALL
+  SELECT sample_id, vec_id, 1, name, CASE WHEN is_polygon THEN 'polygon' ELSE 'rectangle' END, n, xs, ys FROM shapes)
+SELECT sample_id, 'a.json' AS doc_path,
+       CASE WHEN sample_id % 6 = 0 THEN '' WHEN sample_id % 6 = 3 THEN 'none.png'
+            ELSE 'im' || (sample_id // 2) || '_1.' || CASE WHEN sample_id % 2 = 0 THEN 'png' ELSE 'jpg' END END AS imagePath,
+       CAST(row_number() OVER (PARTITION BY sample_id ORDER BY vec_id, turn) - 1 AS INT) AS shape_idx, label, shape_type,
+       CAST(n_points AS INT) AS n_points, {_scaled('xs[1]')} AS x0, {_scaled('ys[1]')} AS y0
+FROM parts"""
+ORACLES["point_rejects"] = f"""WITH {_CORPUS}, {_winners(_POINT_READY)},
+heads AS (
+  SELECT stem, width, height, xs[1] + CASE WHEN sample_id % 2 = 0 THEN 3000e0 ELSE 0e0 END AS px, ys[1] AS py
+  FROM winners JOIN shapes USING (sample_id) WHERE has_head),
+b AS (
+  SELECT stem, width, height, greatest(0, px - 32e0) AS x0, greatest(0, py - 32e0) AS y0,
+         least(width, px + 32e0) AS x1, least(height, py + 32e0) AS y1 FROM heads),
+r AS (SELECT stem, ((x0 + x1) / 2) / width AS cx, ((y0 + y1) / 2) / height AS cy,
+             (x1 - x0) / width AS w, (y1 - y0) / height AS h FROM b)
+SELECT stem, {_BOX_COLUMNS} FROM r WHERE NOT (w >= 0 AND h >= 0)"""
+ORACLES["document_measurement_counts"] = (
+    f"WITH rows AS ({_DOC_ROWS}) SELECT CASE WHEN vec_id % 10 <> 0 THEN 'd' || vec_id ELSE 'lateral_spine' END AS imageId,"
+    f" {len(_DOC_SIZES)} AS n_measurements, CAST(ord AS INT) AS ord, type, CAST(n AS INT) AS n_points FROM rows")
+ORACLES["detection_documents"] = f"""{_RAW},
+listed AS (
+  SELECT image_id, count(*) AS n_vertebrae, string_agg(
+    det_idx || ':' || {_UNKNOWN} || ':' || {_scaled('confidence')} || ':' || {_scaled('(x1 + x2) / 2 / img_w')}, ' ' ORDER BY det_idx) AS vertebrae
+  FROM raw WHERE confidence >= 0.2e0 GROUP BY image_id),
+head AS (
+  SELECT image_id, {_scaled('confidence')} AS cfh_confidence, {_scaled('(x1 + x2) / 2 / img_w')} AS cfh_x FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY det_idx) AS r FROM raw WHERE class_id = 3 AND confidence >= {vocab.CFH_CONFIDENCE}e0)
+  WHERE r = 1),
+images AS (SELECT DISTINCT o_orderkey // 4 AS image_id FROM orders)
+SELECT image_id, CAST(1500 + 100 * (image_id % 7) AS INT) AS image_width, CAST(3000 + 100 * (image_id % 5) AS INT) AS image_height,
+       coalesce(n_vertebrae, 0) AS n_vertebrae, coalesce(vertebrae, '') AS vertebrae, cfh_confidence, cfh_x
+FROM images LEFT JOIN listed USING (image_id) LEFT JOIN head USING (image_id)"""
+ORACLES["rejected_documents"] = """
+SELECT 'd' || vec_id AS image_id,
+       CASE WHEN vec_id % 100 = 13 THEN 'image size missing' ELSE 'vertebrae missing' END AS problem
+FROM embeddings WHERE vec_id % 100 IN (13, 29)"""

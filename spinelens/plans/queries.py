@@ -24,7 +24,9 @@ from spinelens.operators import metrics as X
 from spinelens.operators import overlay as O
 from spinelens.operators import predictions as R
 from spinelens.operators import selection as SEL
+from spinelens.operators import shapes as H
 from spinelens.operators import validate as V
+from spinelens.plans import composites as C
 from spinelens.sources import documents as DOC
 from spinelens.sources import files
 from spinelens.sources import star_tables as T
@@ -182,6 +184,43 @@ def detection_document_metrics(spark, d):
     return _scaled_columns(wide, ["imageId"], vocab.METRICS, "1e4")
 
 
+@query
+def document_measurement_counts(spark, d):
+    """Measurements of every keypoints document, and the points of each of them."""
+    parsed = T.keypoint_doc_texts(spark, d).select(
+        F.from_json("value", DOC.schemas.KEYPOINTS_DOC).alias("doc")).select("doc.*")
+    counts = M.document_measurement_counts(DOC.with_document_defaults(parsed))
+    return counts.selectExpr("imageId", "n_measurements", "posexplode(point_counts) AS (ord, c)").selectExpr(
+        "imageId", "n_measurements", "ord", "c.type AS type", "c.n_points AS n_points")
+
+
+@query
+def rejected_documents(spark, d):
+    """Detection documents that lack their size or their list, with what they lack."""
+    texts = T.detection_doc_texts(spark, d).selectExpr(
+        "CASE WHEN endswith(get_json_object(value, '$.image_id'), '13') AND length(get_json_object(value, '$.image_id')) > 2"
+        " THEN replace(value, '\"image_width\"', '\"image_wide\"')"
+        " WHEN endswith(get_json_object(value, '$.image_id'), '29') THEN replace(value, '\"vertebrae\"', '\"spine\"')"
+        " ELSE value END AS value")
+    checked = DOC.check_detections(DOC.parse_detections(texts))
+    return DOC.rejected_detections(checked).select("image_id", "problem")
+
+
+@query
+def detection_documents(spark, d):
+    """One document per image of the image list: detections in order, the femoral head, the size."""
+    images = T.table(spark, d, "orders").selectExpr("o_orderkey div 4 AS image_id").distinct().selectExpr(
+        "image_id", "CAST(1500 + 100 * (image_id % 7) AS INT) AS image_width",
+        "CAST(3000 + 100 * (image_id % 5) AS INT) AS image_height")
+    raw = T.raw_boxes(spark, d)
+    documents = C.detection_documents(images, raw, raw.filter("class_id = 3"))["documents"]
+    return documents.selectExpr(
+        "image_id", "image_width", "image_height", "n_vertebrae",
+        f"array_join(transform(vertebrae, v -> concat(v.det_idx, ':', v.label, ':', {scaled('v.confidence')}, ':',"
+        f" {scaled('v.bbox[0]')})), ' ') AS vertebrae",
+        f"{scaled('cfh.confidence')} AS cfh_confidence", f"{scaled('cfh.center.x')} AS cfh_x")
+
+
 # --- audit and selection ------------------------------------------------------------------------
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
@@ -346,6 +385,30 @@ def point_failures(spark, d):
     return _points(spark, d)["failures"]
 
 
+@query
+def failure_head(spark, d):
+    """The first ten failed samples of the pose build, and how many the list leaves out."""
+    return B.failure_head(_pose(spark, d)["failures"], 10)
+
+
+@query
+def point_rejects(spark, d):
+    """Rows that the point build turns away: heads so far outside their image that the box has no inside."""
+    moved = T.corpus_docs(spark, d).withColumn("shapes", F.expr(
+        "transform(shapes, s -> CASE WHEN s.label = 'CFH' AND sample_id % 2 = 0 THEN named_struct('label', s.label,"
+        " 'shape_type', s.shape_type, 'points', transform(s.points, p -> array(p[0] + 3000e0, p[1]))) ELSE s END)"))
+    built = B.build_point_dataset(T.corpus_selected(spark, d), moved, T.corpus_images(spark, d))
+    return built["rejects"].selectExpr("stem", *[f"{scaled(c)} AS {c}" for c in ("cx", "cy", "w", "h")])
+
+
+@query
+def exploded_shapes(spark, d):
+    """One row per shape of every annotation document."""
+    return H.explode_shapes(T.corpus_docs(spark, d)).selectExpr(
+        "sample_id", "doc_path", "imagePath", "shape_idx", "label", "shape_type", "size(points) AS n_points",
+        f"{scaled('points[0].x')} AS x0", f"{scaled('points[0].y')} AS y0")
+
+
 @query
 def point_box_clamped(spark, d):
     """Fixed-size boxes about the femoral-head candidates in pixels."""
@@ -467,8 +530,8 @@ def label_line_fields(spark, d):
 
 @query
 def label_line_text(spark, d):
-    """Typed rows of complete lines written back as label text."""
-    rows = files.parse_label_lines(T.label_lines(spark, d)).filter("n_fields = 17 AND class_id IS NOT NULL")
+    """Typed rows written back as label text, each line with the keypoints it has."""
+    rows = files.parse_label_lines(T.label_lines(spark, d)).filter("class_id IS NOT NULL")
     return rows.selectExpr("stem", "line_no", f"{label_text.format_line()} AS text")
 
 

@@ -202,3 +202,50 @@ def test_a_hot_image_does_not_pair_all_boxes(spark):
     assert pairs.count() < 40 * 20000
     row = E.evaluate_by_class(boxes, true).first()
     assert (row.n_truth, row.recall, row.ap50_95) == (20000, 1.0, pytest.approx(1.0))
+
+
+
+
+def test_builds_move_no_shapes(spark, sf_dir, tmp_path):
+    """Documents are chosen on sample and path; what is shuffled or sorted is computed from shapes, not shapes."""
+    from spinelens.operators import datasets as B
+    T.corpus_docs(spark, sf_dir).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    selected, images = T.corpus_selected(spark, sf_dir), T.corpus_images(spark, sf_dir)
+    built = [B.build_pose_dataset(selected, docs, images), B.build_point_dataset(selected, docs, images), B.build_box_dataset(docs, images)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for parts in built:
+            for name, df in parts.items():
+                executed = df._jdf.queryExecution().executedPlan()
+                for node in executed_nodes(executed):
+                    if node.nodeName() in ("Exchange", "Sort", "SortAggregate") or "Exchange" in node.nodeName():
+                        output = node.child().output().mkString(",") if node.nodeName() != "ReusedExchange" else ""
+                        assert "shapes" not in output, (name, node.nodeName(), output)
+                        if node.nodeName() == "SortAggregate":
+                            assert "objects" not in output and "heads" not in output, (name, output)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def executed_nodes(plan):
+    """All nodes of a physical plan, also behind adaptive execution."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from executed_nodes(children.apply(i))
+
+
+def test_detection_documents_of_a_hot_image_are_bounded(spark):
+    from spinelens.operators import detections as D
+    rows = spark.range(900).selectExpr("IF(id < 800, 1, 2 + id % 50) AS image_id", "CAST(id AS INT) AS det_idx", "'T1' AS label",
+                                       "0.5e0 AS confidence", "array(0.1e0, 0.1e0, 0.1e0, 0.1e0) AS bbox", "10 AS image_width", "10 AS image_height")
+    images = spark.range(60).selectExpr("id AS image_id", "10 AS image_width", "10 AS image_height")
+    cfh = rows.limit(0).selectExpr("image_id", "confidence", "bbox", "named_struct('x', 1e0, 'y', 1e0) AS center")
+    found = D.detection_documents(images, rows, cfh, most=300)
+    docs = {r.image_id: r for r in found["documents"].collect()}
+    assert len(docs) == 60 and (docs[1].n_vertebrae, docs[1].vertebrae) == (800, []) and found["overflow"].count() == 800
+    assert (docs[0].n_vertebrae, docs[0].vertebrae, docs[0].cfh) == (0, [], None)
+    assert [v.det_idx for v in docs[2].vertebrae] == [800, 850] and docs[2].vertebrae[0].label == "T1"
