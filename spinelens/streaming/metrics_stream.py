@@ -6,6 +6,7 @@ and shuffles nothing; the batch operators run unchanged on it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,7 +53,7 @@ def start_metrics(
 ) -> StreamingQuery:
     """Append the metrics documents of a checked detection stream to ``out`` as JSON.
 
-    Rejected documents are not in it; ``start_rejects`` writes them.
+    Rejected documents are not in it; ``start_documents`` writes both in one query.
     """
     writer = (
         metrics_of(measurements_of(documents)).writeStream.format("json")
@@ -61,6 +62,33 @@ def start_metrics(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def rejects_of(detections: DataFrame) -> DataFrame:
+    """``image_id, problem, _corrupt_record`` of all documents that give no metrics; batch or stream."""
+    wrong = M.rejects(M.spine_from_documents(D.valid_detections(detections)))
+    return D.rejected_detections(detections).unionByName(wrong.selectExpr(
+        "image_id", "reason AS problem", "CAST(NULL AS STRING) AS _corrupt_record"))
+
+
+def start_documents(
+    documents: DataFrame, out: str, rejects: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """One query that writes the metrics documents of a checked detection stream to ``out`` and all others to ``rejects``.
+
+    Each batch is parsed once, held while both sinks are written, and let go. A batch has a directory ``batch=<id>``
+    in either sink, which a replayed batch writes anew, so nothing is there twice. Every document is in one of the two.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            metrics_of(measurements_of(held)).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+            rejects_of(held).write.mode("overwrite").json(f"{rejects}/batch={batch_id}")
+        finally:
+            held.unpersist()
+
+    writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def start_rejects(
     documents: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:

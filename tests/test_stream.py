@@ -83,3 +83,33 @@ def test_keypoints_documents(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("docs").first().metrics == {"SVA": 4.0}
+
+
+def test_one_query_writes_both_sinks_and_a_replay_adds_nothing(spark, tmp_path):
+    docs = {f"S{i:04d}": document(f"S{i:04d}", vocab.MEASURED_LABELS) for i in range(5)}
+    docs |= {"T1": document("T1", ["T1"], keypoints=3), "T2": "{broken", "T3": {"image_id": "T3", "image_width": 10, "image_height": 10}}
+    write(tmp_path / "in", docs)
+    out, bad, checkpoint = str(tmp_path / "out"), str(tmp_path / "bad"), tmp_path / "checkpoint"
+
+    def run():
+        stream = S.stream_detections(spark, str(tmp_path / "in"), files_per_trigger=3)
+        query = S.start_documents(stream, out, bad, str(checkpoint), available_now=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+        return query
+
+    query = run()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == len(docs)  # each file once
+    first = sorted(r.imageId for r in spark.read.json(out).collect())
+    assert first == sorted(d for d in docs if d.startswith("S"))
+    rejected = sorted((r.image_id or "", r.problem) for r in spark.read.json(bad).collect())
+    assert [p for _, p in rejected] == ["not a detection document", "keypoint count is not 4: T1", "vertebrae missing"]
+    run()  # nothing new
+    assert sorted(r.imageId for r in spark.read.json(out).collect()) == first
+    last = max((checkpoint / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the job had stopped before it noted the last batch
+    for crc in (checkpoint / "commits").glob(f".{last.name}.crc"):
+        crc.unlink()
+    run()
+    assert sorted(r.imageId for r in spark.read.json(out).collect()) == first
+    assert sorted((r.image_id or "", r.problem) for r in spark.read.json(bad).collect()) == rejected
