@@ -14,6 +14,7 @@ from spinelens import vocab
 from spinelens.functions import boxes as B
 from spinelens.functions import label_text, names
 from spinelens.functions import points as P
+from spinelens.operators.winners import kept_rows
 
 KEYPOINT_TYPE = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, v: INT>>"
 
@@ -79,10 +80,8 @@ def build_images(images: DataFrame, selected: DataFrame) -> DataFrame:
 def last_writer_wins(images: DataFrame) -> DataFrame:
     """One image per stem: the label file of a stem is overwritten by the later sample, and inside
     a sample by the later extension."""
-    rest = [c for c in images.columns if c != "stem"]
-    return images.groupBy("stem").agg(F.expr(
-        f"max_by(struct({', '.join(rest)}), struct(sample_id, {names.extension_rank()})) AS kept"
-    )).selectExpr("stem", *[f"kept.{c} AS {c}" for c in rest])
+    ranked = images.withColumn("__rank", F.expr(names.extension_rank()))
+    return kept_rows(ranked, ["stem"], ["sample_id", "__rank"]).drop("__rank")
 
 
 def stem_collisions(images: DataFrame) -> DataFrame:
@@ -95,9 +94,8 @@ def stem_collisions(images: DataFrame) -> DataFrame:
 
 def image_manifest(images: DataFrame) -> DataFrame:
     """Which source file ends up under which destination name."""
-    return images.groupBy("file_name").agg(
-        F.expr("max(sample_id) AS sample_id"), F.expr("max_by(path, sample_id) AS src_path"),
-    ).selectExpr("src_path", "file_name AS dst_name", "sample_id")
+    last = kept_rows(images.select("file_name", "sample_id", "path"), ["file_name"], ["sample_id"])
+    return last.selectExpr("path AS src_path", "file_name AS dst_name", "sample_id")
 
 
 def _written(images: DataFrame, ready: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spinelens import vocab
 from spinelens.functions import points as P
+from spinelens.operators.winners import kept_rows
 
 
 def last_label_wins(vertebrae: DataFrame, order_by: str = "det_idx") -> DataFrame:
@@ -19,23 +20,12 @@ def last_label_wins(vertebrae: DataFrame, order_by: str = "det_idx") -> DataFram
     With the default order a later detection overwrites an earlier one; ``order_by="confidence"``
     keeps the most confident one instead.
     """
-    keys = ["image_id", "label"]
-    rest = [c for c in vertebrae.columns if c not in keys]
-    return (
-        vertebrae.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("kept"))
-        .select(*keys, *[F.col("kept")[c].alias(c) for c in rest])
-    )
+    return kept_rows(vertebrae, ["image_id", "label"], [order_by])
 
 
 def first_box(boxes: DataFrame) -> DataFrame:
     """The first box of each image in detector order (detectors emit boxes by confidence)."""
-    rest = [c for c in boxes.columns if c != "image_id"]
-    return (
-        boxes.groupBy("image_id")
-        .agg(F.min_by(F.struct(*rest), F.col("det_idx")).alias("kept"))
-        .select("image_id", *[F.col("kept")[c].alias(c) for c in rest])
-    )
+    return kept_rows(boxes, ["image_id"], ["det_idx"], last=False)
 
 
 def with_endplates(df: DataFrame, keypoints: str = "keypoints", out: str = "plates") -> DataFrame:
@@ -223,9 +213,7 @@ def measurements_long(spine: DataFrame) -> DataFrame:
 
 def last_measurement_wins(measurements: DataFrame) -> DataFrame:
     """One row per (image, type): the last one in document order."""
-    return measurements.groupBy("image_id", "type").agg(
-        F.max_by("points", "ord").alias("points"), F.max("ord").alias("ord")
-    )
+    return kept_rows(measurements.select("image_id", "type", "points", "ord"), ["image_id", "type"], ["ord"])
 
 
 def detection_overview(vertebrae: DataFrame, cfh: DataFrame | None = None) -> DataFrame:

@@ -38,15 +38,15 @@ def listing_head(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
 def class_distribution(lines: DataFrame, kind: str = "merged") -> DataFrame:
     """Objects per class among complete rows, as a share of all lines.
 
-    ``lines``: n_fields, class_id. The lines are read once; the total is taken over the class counts.
+    ``lines``: n_fields, class_id. The total is a sum over the class counts, not a window over all class ids of a text.
     """
     n_classes = len(vocab.MERGED_CLASSES) if kind == "merged" else len(vocab.VERTEBRA_CLASSES)
     per_class = lines.groupBy("class_id").agg(
         F.expr("count(1) AS n_lines"),
         F.expr("count_if(n_fields >= 17 AND class_id IS NOT NULL) AS n_objects"),
     )
-    with_total = per_class.withColumn("total", F.expr("sum(n_lines) OVER ()"))
-    return with_total.filter("n_objects > 0").selectExpr(
+    total = per_class.agg(F.expr("sum(n_lines) AS total")).scalar()
+    return per_class.filter("n_objects > 0").withColumn("total", total).selectExpr(
         "class_id", f"{names.class_name('class_id', 'Unknown_', n_classes)} AS label", "n_objects",
         "try_divide(n_objects * 100e0, total) AS pct")
 

@@ -249,3 +249,24 @@ def test_detection_documents_of_a_hot_image_are_bounded(spark):
     assert len(docs) == 60 and (docs[1].n_vertebrae, docs[1].vertebrae) == (800, []) and found["overflow"].count() == 800
     assert (docs[0].n_vertebrae, docs[0].vertebrae, docs[0].cfh) == (0, [], None)
     assert [v.det_idx for v in docs[2].vertebrae] == [800, 850] and docs[2].vertebrae[0].label == "T1"
+
+
+@pytest.mark.parametrize("name", ["last_label_wins", "first_cfh_box", "last_measurement_wins"])
+def test_kept_rows_are_not_sorted(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    assert "SortAggregate" not in plan(df)
+
+
+def test_kept_rows_of_a_hot_key(spark):
+    from spinelens.operators.winners import kept_rows
+    rows = spark.range(30000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 500)) AS k", "id AS n", "id % 7 AS m", "array(id) AS payload")
+    want = {r.k: r.n for r in rows.groupBy("k").agg(F.max("n").alias("n")).collect()}
+    for columns in (["k", "n", "m"], ["k", "n", "payload"]):
+        got = kept_rows(rows.select(*columns), ["k"], ["n"]).collect()
+        assert {r.k: r.n for r in got} == want and len(got) == len(want)
+        assert all(r[2] in (r.n % 7, [r.n]) for r in got)
+    first = {r.k: r.n for r in kept_rows(rows, ["k"], ["m", "n"], last=False).collect()}
+    assert first["hot"] == 0 and len(first) == len(want)
+    nulls = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (None, 3, "c")], "k int, n int, p string")
+    assert [tuple(r) for r in kept_rows(nulls, ["k"], ["n"]).collect()] == [(1, 2, "b")]
+    assert kept_rows(nulls.limit(0), ["k"], ["n"]).collect() == []
