@@ -15,7 +15,10 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DAMPING, ITERATIONS = 0.85, 10
+DAMPING = 0.85
+#: The walks end when both ranks together change by less than this in a round. Each round shrinks the change by the
+#: damping at least, so at 0.85 it takes at most 76 rounds, and hosts further than that from any seed are not reached.
+TOLERANCE = 1e-5
 #: Weight of the edges between a host and its parent domain, beside one per link.
 DOMAIN_WEIGHT = 1.0
 #: A host is blocked if its share of distrust in both exceeds this.
@@ -64,14 +67,15 @@ def host_edges(pages: DataFrame, *, domain_weight: float = DOMAIN_WEIGHT) -> Dat
     return links.union(kin).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
-                iterations: int = ITERATIONS) -> DataFrame:
+def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE,
+                iterations: int | None = None) -> DataFrame:
     """``host, trust, distrust`` from ``src, dst, weight`` edges and ``host, good, bad`` seed weights.
 
     Trust is PageRank personalised to the good seeds along the edges; distrust is PageRank personalised to
     the bad seeds against them. Hosts without a way on give their rank back to the seeds. Both walks take
-    one join and one aggregate per iteration, in as many partitions as the edges need. Every iteration is
-    checkpointed: its ranks are read twice, once for the two sums that go back to the seeds.
+    one join and one aggregate per iteration, in as many partitions as the edges need, until the summed change
+    of both falls below ``tolerance`` (or for exactly ``iterations``, if given). Every iteration is checkpointed:
+    its ranks are read twice, once for the change and the two sums that go back to the seeds.
     """
     ways = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     back = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
@@ -88,26 +92,33 @@ def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
                         "coalesce(f, 0D) = 0 AS stuck", "coalesce(b, 0D) = 0 AS start"))
     parts = -(-steps.count() // PARTITION_EDGES) or 1
     steps = settle(steps.coalesce(parts))
-    ranks = settle(base.selectExpr("host", "s", "r", "stuck", "start", "s AS trust", "r AS distrust").coalesce(parts))
-    base = ranks.drop("trust", "distrust")
-    for _ in range(iterations):
+    ranks = settle(base.selectExpr(
+        "host", "s", "r", "stuck", "start", "s AS trust", "r AS distrust", "1D AS change").coalesce(parts))
+    done = 0
+    while iterations is None or done < iterations:
+        told = ranks.agg(F.sum("change").alias("change"), F.sum(F.expr("CASE WHEN stuck THEN trust END")).alias("t"),
+                         F.sum(F.expr("CASE WHEN start THEN distrust END")).alias("d")).first()
+        if told["change"] is None or (iterations is None and done and told["change"] < tolerance):
+            break
         moved = (ranks.join(steps, "host").selectExpr("to AS host", "trust * f AS t", "distrust * b AS d")
                  .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-        lost = ranks.agg(F.sum(F.expr("CASE WHEN stuck THEN trust END")).alias("t"),
-                         F.sum(F.expr("CASE WHEN start THEN distrust END")).alias("d")).first()
-        ranks = settle(base.join(moved, "host", "left").selectExpr(
-            "host", "s", "r", "stuck", "start",
-            f"{1 - damping}D * s + {damping}D * (coalesce(t, 0D) + {lost['t'] or 0.0!r}D * s) AS trust",
-            f"{1 - damping}D * r + {damping}D * (coalesce(d, 0D) + {lost['d'] or 0.0!r}D * r) AS distrust").coalesce(parts))
+        ranks = settle(ranks.join(moved, "host", "left").selectExpr(
+            "host", "s", "r", "stuck", "start", "trust AS old_trust", "distrust AS old_distrust",
+            f"{1 - damping}D * s + {damping}D * (coalesce(t, 0D) + {told['t'] or 0.0!r}D * s) AS trust",
+            f"{1 - damping}D * r + {damping}D * (coalesce(d, 0D) + {told['d'] or 0.0!r}D * r) AS distrust",
+        ).selectExpr("host", "s", "r", "stuck", "start", "trust", "distrust",
+                     "abs(trust - old_trust) + abs(distrust - old_distrust) AS change").coalesce(parts))
+        done += 1
     return ranks.select("host", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               threshold: float = THRESHOLD, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+               threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``id, host, path, rule, verdict, trust, distrust`` for every row of ``pages``.
 
     Seeds are the hosts of pages that a rule decides, weighted by such pages. Pages without a rule are judged
-    by their host: blocked if distrust / (trust + distrust), rounded to nine places, exceeds ``threshold``.
+    by their host: blocked if distrust / (trust + distrust), rounded to nine places, exceeds ``threshold``, with the
+    ranks that both walks settle on (``TOLERANCE``).
     Hosts that neither walk reaches, and urls without a host, are allowed. Null and malformed urls have an
     empty host and path; null html has no links; null ids and repeated rows come back as they are (each adds
     to its host's seed weight); further columns are left out; an empty table gives no rows. ``rules`` is a
@@ -122,7 +133,7 @@ def judge_urls(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url_co
         F.sum(F.expr("double(coalesce(verdict = 'allow', false))")).alias("good"),
         F.sum(F.expr("double(coalesce(verdict = 'block', false))")).alias("bad")))
     edges = settle(host_edges(placed.select("host", "html")))
-    scores = settle(host_scores(edges, seeds, damping=damping, iterations=iterations))
+    scores = settle(host_scores(edges, seeds, damping=damping, tolerance=tolerance))
     joined = ruled.drop("html").join(sized(scores), "host", "left")
     return joined.selectExpr(
         f"__id AS `{id_col}`", "host", "path", "rule",
