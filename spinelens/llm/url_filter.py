@@ -96,13 +96,15 @@ def host_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
         "host", "s", "r", "stuck", "start", "s AS trust", "r AS distrust", "1D AS change").coalesce(parts))
     done = 0
     while iterations is None or done < iterations:
+        # a small graph is one partition, and then nothing in a round is shuffled
+        ranks = ranks.coalesce(parts)
         told = ranks.agg(F.sum("change").alias("change"), F.sum(F.expr("CASE WHEN stuck THEN trust END")).alias("t"),
                          F.sum(F.expr("CASE WHEN start THEN distrust END")).alias("d")).first()
         if told["change"] is None or (iterations is None and done and told["change"] < tolerance):
             break
         moved = (ranks.join(steps, "host").selectExpr("to AS host", "trust * f AS t", "distrust * b AS d")
-                 .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-        ranks = settle(ranks.join(moved, "host", "left").selectExpr(
+                 .coalesce(parts).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
+        ranks = settle(ranks.join(moved.coalesce(parts), "host", "left").selectExpr(
             "host", "s", "r", "stuck", "start", "trust AS old_trust", "distrust AS old_distrust",
             f"{1 - damping}D * s + {damping}D * (coalesce(t, 0D) + {told['t'] or 0.0!r}D * s) AS trust",
             f"{1 - damping}D * r + {damping}D * (coalesce(d, 0D) + {told['d'] or 0.0!r}D * r) AS distrust",
