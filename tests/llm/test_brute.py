@@ -161,6 +161,20 @@ def test_short_lines(spark, docs, tmp_path):
     assert kept == lines_by_hand(rows, 5, 8)
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark, docs):
+    line = "the quick brown fox jumps over a lazy dog today"
+    rows = [(None, f"{line}\nfirst text"), (None, f"{line}\nsecond text"), (7, f"{line}\nthird"), (7, f"{line}\nfourth"),
+            (-2**63, line), (2**63 - 1, line.replace("fox", "cat"))]
+    got = line_dedup.duplicate_lines(docs(rows)).collect()
+    keepers = {r["row_key"] for r in got}
+    # of the two rows without an id one keeps the line; every other row loses it
+    assert len(got) == len(keepers) == 5 and [r["doc_id"] for r in got].count(None) == 1
+    assert {(r["doc_id"], r["keeper_id"], r["line_no"], r["keeper_line_no"]) for r in got} == {
+        (None, None, 0, 0), (7, None, 0, 0), (-2**63, None, 0, 0), (2**63 - 1, None, 0, 0)}
+    again = line_dedup.duplicate_lines(docs([r for r in rows if r[0] == 7])).collect()
+    assert [(r["doc_id"], r["keeper_id"], r["edits"]) for r in again] == [(7, 7, 0)]
+
+
 def components_by_hand(texts, k, percent):
     sets = {}
     for d, t in texts.items():
