@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,12 @@ from spinelens.llm._store import importable, settle, sized
 WIDTH, LEAST = 8, 4
 #: Added to the width of a window of plain words.
 PLAIN = 100
-#: Share of an item's windows that must be found in line.
-SHARE = 0.3
+#: Share of an item's windows that must be found in line, or of its plain words that must be covered anywhere.
+SHARE, COVERED = 0.3, 0.5
+#: Words of an item in a row that are enough whatever its length.
+RUN = 13
+#: Characters of the texts that are searched together.
+CHUNK_CHARS = 1 << 21
 #: A window needs this share of literal words.
 LITERAL = 0.5
 #: Bits of the broadcast filter, as a power of two: 2 MB whatever the benchmark's size.
@@ -33,9 +38,10 @@ UNITS = frozenset("""
 """.split())
 
 _U = np.uint64
-_END, _CAP, _NUMBER, _UNIT, _DROP = 1, 2, 4, 8, 12
+_END, _CAP, _NUMBER, _UNIT, _DROP, _SIGN = 1, 2, 4, 8, 12, 14
 _NAME_T, _NUMBER_T, _UNIT_T = _U(0x1F3A5C7E9B2D4F61), _U(0x2E4C6A8B0D1F3E5D), _U(0x3D5B79A7C5E3F102)
 _NUMERAL = re.compile(r"[+\-$€£]?\d[\d.,:/]*[^\W\d_]{0,3}%?")
+_SIGNS = frozenset("* - – × ÷ −".split())
 _EDGES = "\"'`“”‘’«»()[]{}<>*_.,;:!?…-–—"
 
 
@@ -54,7 +60,9 @@ class _Tokens(dict):
         body = word.strip(_EDGES)
         kind = (_END if word.rstrip("\"'”’»)]}").endswith((".", "!", "?", ":", "…")) else 0)
         low = body.lower()
-        if not body:
+        if word in _SIGNS:
+            low, kind = word, _SIGN
+        elif not body:
             kind |= _DROP
         elif _NUMERAL.fullmatch(body):
             kind |= _NUMBER
@@ -71,76 +79,126 @@ class _Tokens(dict):
 _tokens = _Tokens()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a text, the slot value of each (0: a literal word), and the plain words.
+class Words:
+    """Words of many texts end to end: template tokens, plain words, their slot values (0: a literal word) and texts.
 
-    Words are lower-cased and stripped of punctuation; numerals become one placeholder, unit words after a
-    numeral another, runs of capitalised words that do not start a sentence a third.
+    Words are lower-cased and stripped of punctuation. In the template numerals become one placeholder, unit words
+    after a numeral another, runs of capitalised words that do not start a sentence a third. The plain words stay
+    single, with slot values for numerals and units only. Signs of arithmetic count as words after a numeral.
     """
-    words = text.split()
-    packed = np.fromiter(map(_tokens.__getitem__, words), _U, len(words))
-    kind = packed & _U(15)
-    middle = (kind & _U(12))
-    # a dropped mark still ends a sentence for what follows
-    ends = (kind & _U(1)).astype(bool)
-    kept = middle != _U(_DROP)
-    after_end = np.ones(len(words), bool)
-    after_end[1:] = ends[:-1]
-    packed, kind, middle, after_end = packed[kept], kind[kept], middle[kept], after_end[kept]
-    number = middle == _U(_NUMBER)
-    unit = (middle == _U(_UNIT)) & np.concatenate([[False], number[:-1]])[: len(number)]
-    name = ((kind & _U(_CAP)) > 0) & ~after_end & ~number & ~unit
-    value = plain = packed >> _U(4)
-    tokens = np.where(number, _NUMBER_T, np.where(unit, _UNIT_T, np.where(name, _NAME_T, value)))
-    slots = np.where(number | unit | name, value | _U(1), _U(0))
-    if len(tokens):
-        start = ~(name & np.concatenate([[False], name[:-1]]))
-        slots = np.add.reduceat(slots, np.flatnonzero(start))
-        tokens = tokens[start]
-    return tokens, slots, plain
-
-
-def windows(tokens: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows with enough literal words."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        packed = np.fromiter(map(_tokens.__getitem__, chain.from_iterable(split)), _U, int(counts.sum()))
+        text = np.repeat(np.arange(len(texts)), counts)
+        first = np.ones(len(packed), bool)
+        first[1:] = text[1:] != text[:-1]
+        # a dropped mark still ends a sentence for what follows
+        after_end = first | _before((packed & _U(_END)) > 0)
+        middle = packed & _U(_DROP)
+        sign = ((packed & _U(_SIGN)) == _U(_SIGN)) & _before(middle == _U(_NUMBER)) & ~first
+        kept = (middle != _U(_DROP)) | sign
+        packed, middle, text, after_end, sign = packed[kept], middle[kept], text[kept], after_end[kept], sign[kept]
+        first = np.ones(len(packed), bool)
+        first[1:] = text[1:] != text[:-1]
+        number = middle == _U(_NUMBER)
+        unit = (middle == _U(_UNIT)) & _before(number) & ~first
+        name = ((packed & _U(_CAP)) > 0) & ~after_end & ~number & ~unit & ~sign
+        value = packed >> _U(4)
+        measured = np.where(number, _NUMBER_T, np.where(unit, _UNIT_T, value))
+        slots = np.where(number | unit, value | _U(1), _U(0))
+        start = first | ~(name & _before(name))
+        self.plain, self.measured, self.plain_slots, self.plain_text = value, measured, slots, text
+        self.tokens = np.where(name, _NAME_T, measured)[start]
+        named = np.where(name, value | _U(1), slots)
+        self.slots = np.add.reduceat(named, np.flatnonzero(start)) if len(named) else named
+        self.text = text[start]
+
+    def windows(self, plain: bool, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of ``width`` words inside one text.
+
+        Template windows need enough literal words. A plain window stands with placeholders for numerals and
+        units if it has enough literal words, else as it is, so every place has one.
+        """
+        text, slots = (self.plain_text, self.plain_slots) if plain else (self.text, self.slots)
+        n = len(text) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        inside = text[:n] == text[width - 1:]
+        literal = np.concatenate([[0], np.cumsum(slots == 0)])
+        enough = literal[width:] - literal[:n] >= LITERAL * width
+        if not plain:
+            at = np.flatnonzero(inside & enough)
+            return at, _hashes(self.tokens, width)[at]
+        at = np.flatnonzero(inside)
+        return at, np.where(enough, _hashes(self.measured, width), _hashes(self.plain, width))[at]
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """Each word's flag at the word before it."""
+    out = np.zeros(len(flags), bool)
+    out[1:] = flags[:-1]
+    return out
+
+
+def _hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     n = len(tokens) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
     out = np.full(n, _U(width))
-    literal = np.concatenate([[0], np.cumsum(slots == 0)])
     for j in range(width):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + tokens[j: n + j])
-    at = np.flatnonzero(literal[width:] - literal[:n] >= LITERAL * width)
-    return at, out[at]
+        out *= _U(0x9E3779B97F4A7C15)
+        out += tokens[j: n + j]
+    return _mix(out)
 
 
 _COLUMNS = "row_key long, id long, width int, pos int, n_windows int, h long, slots array<long>"
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch with a bounded number of characters; a longer text stands alone."""
+    texts = [t or "" for t in batch["text"].to_pylist()]
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size + len(t) > CHUNK_CHARS and i > begin:
+            yield batch.slice(begin, i - begin), texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield batch.slice(begin), texts[begin:]
+
+
 def _window_table(texts: DataFrame, widths: tuple[int, ...] | None, bits: np.ndarray | None) -> DataFrame:
     """Windows of ``row_key, id, text`` rows. Without ``widths``, a short text is one window of its own width;
     with ``bits``, only windows that the filter may hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[] for _ in range(7)]
-            for key, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens, slots, plain = template(text or "")
-                literal = np.zeros(len(plain), _U)
-                own = widths if widths is not None else [
-                    mark + min(WIDTH, len(t)) for mark, t in ((0, tokens), (PLAIN, plain)) if len(t) >= LEAST]
-                for width in own:
-                    size, values = width % PLAIN, (slots if width < PLAIN else literal).view(np.int64)
-                    at, hashes = windows(*((tokens, slots) if width < PLAIN else (plain, literal)), size)
-                    total = len(at)
-                    if bits is not None:
-                        place = hashes >> _U(64 - FILTER_POWER)
-                        hit = (bits[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
-                        at, hashes = at[hit], hashes[hit]
-                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
-                        for column, value in zip(rows, (key, ident, width, p, total, h, values[p: p + size])):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)],
-                                             names=[c.split()[0] for c in _COLUMNS.split(", ")])
+            for rows, chunk in _chunks(batch):
+                words = Words(chunk)
+                for plain, mark in ((False, 0), (True, PLAIN)):
+                    text, slots = (words.plain_text, words.plain_slots) if plain else (words.text, words.slots)
+                    size = np.bincount(text, minlength=len(chunk))
+                    start = np.cumsum(size) - size
+                    for width in ([w - mark for w in widths if (w >= PLAIN) == plain] if widths is not None
+                                  else range(LEAST, WIDTH + 1)):
+                        at, hashes = words.windows(plain, width)
+                        if widths is None:
+                            own = np.minimum(size, WIDTH)[text[at]] == width
+                            at, hashes = at[own], hashes[own]
+                        total = np.bincount(text[at], minlength=len(chunk))
+                        if bits is not None:
+                            place = hashes >> _U(64 - FILTER_POWER)
+                            hit = (bits[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+                            at, hashes = at[hit], hashes[hit]
+                        if not len(at):
+                            continue
+                        row = text[at]
+                        values = slots[at[:, None] + np.arange(width)].view(np.int64).ravel()
+                        yield pa.RecordBatch.from_arrays([
+                            rows["row_key"].take(pa.array(row)), rows["id"].take(pa.array(row)),
+                            pa.array(np.full(len(at), mark + width, np.int32)), pa.array((at - start[row]).astype(np.int32)),
+                            pa.array(total[row].astype(np.int32)), pa.array(hashes.view(np.int64)),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(values)),
+                        ], names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
     return texts.mapInArrow(run, _COLUMNS)
 
@@ -154,13 +212,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
           item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
     """``row_key, id_col, item_col, n_windows, n_matched, exact``: items found in documents.
 
-    Both sides become template tokens. An item's windows of ``WIDTH`` tokens (a shorter item is one window) are
-    joined by hash with the windows of all whole texts that pass a broadcast filter of fixed size. An item is
-    found where, at one offset, at least ``share`` of its windows match and every slot value of the item stands
-    for one value of the document throughout; inconsistent slots leave only the windows without slots. ``exact``
-    says that no matched slot differs. Windows of the plain words, lower-cased and stripped, are joined and counted in
-    the same way beside them: they find whole verbatim copies whatever share of an item is numbers and names and
-    wherever a sentence starts; there ``exact`` says that the whole item was found. The reported counts are the larger ones of both.
+    Both sides become template tokens, and beside them plain words in which numerals and units alone are
+    placeholders. An item's windows of ``WIDTH`` tokens (a shorter item is one window) are joined by hash with the
+    windows of all whole texts that pass a broadcast filter of fixed size. Windows whose slot values differ count
+    only if, at their offset, every slot value of the item stands for one value of the document. An item is found
+
+    * where, at one offset, at least ``share`` of its windows match (copies, re-parameterised questions), or
+    * where, at any offsets, plain windows cover ``RUN`` words of it in a row (quoted parts), or
+    * where they cover at least ``COVERED`` of its words, and no fewer than ``RUN`` (edited copies).
+
+    So an edited copy is missed if fewer than half of its words stand in runs of ``WIDTH`` unchanged ones.
+    ``exact`` says that the template matched with no other slot value, or that all plain windows did. The
+    reported counts are the larger ones of both.
 
     Items with fewer than ``LEAST`` words, null texts and empty texts are never found. Null ids come back
     null; equal rows are one; repeated items are found each; a document that holds an item twice is reported
@@ -181,21 +244,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     seen = _window_table(texts, widths, bits)
     d, b = seen.alias("d"), sized(known.withColumnRenamed("id", "item")).alias("b")
     lines = settle(d.join(b, F.expr("d.h = b.h AND d.width = b.width")).selectExpr(
-        "d.row_key", "d.id", "b.item", f"b.width >= {PLAIN} AS plain_words", "d.pos - b.pos AS line", "b.pos AS pos", "b.n_windows AS n_windows",
-        "b.slots AS theirs", "d.slots AS ours").dropDuplicates(["row_key", "item", "plain_words", "line", "pos"]))
+        "d.row_key", "d.id", "b.item", f"b.width >= {PLAIN} AS plain_words", f"b.width % {PLAIN} AS width", "d.pos - b.pos AS line",
+        "b.pos AS pos", "b.n_windows AS n_windows", "b.slots AS theirs", "d.slots AS ours")
+        .dropDuplicates(["row_key", "item", "plain_words", "line", "pos"]))
     key = ["row_key", "item", "plain_words", "line"]
     slots = (lines.select(*key, F.explode(F.arrays_zip("theirs", "ours")).alias("s")).where("s.theirs <> 0")
              .select(*key, "s.theirs", "s.ours").distinct()
              .groupBy(*key).agg((F.count("*") == F.count_distinct("theirs")).alias("consistent"),
                                 F.bool_and(F.expr("theirs = ours")).alias("same")))
-    found = (lines.groupBy(*key).agg(F.max("id").alias("id"), F.max("n_windows").alias("n_windows"), F.count("*").alias("n"),
-                                     F.sum(F.expr("int(NOT exists(theirs, x -> x <> 0))")).alias("plain"))
-             .join(slots, key, "left")
-             .selectExpr("row_key", "id", "item", "n_windows",
-                         "CASE WHEN coalesce(consistent, true) THEN n ELSE plain END AS n_matched",
-                         "CASE WHEN plain_words THEN n = n_windows ELSE coalesce(same, true) OR NOT consistent END AS exact")
-             .where(f"n_matched >= greatest(least(2, n_windows), ceil({share}D * n_windows))"))
-    return (found.groupBy("row_key", "item")
+    # per offset at most the item's own windows
+    runs = (lines.groupBy(*key).agg(F.max("id").alias("id"), F.max("n_windows").alias("n_windows"), F.max("width").alias("width"),
+                                    F.collect_set("pos").alias("all"),
+                                    F.collect_set(F.expr("CASE WHEN theirs = ours THEN pos END")).alias("unchanged"))
+            .join(slots, key, "left")
+            .selectExpr("row_key", "id", "item", "plain_words", "n_windows", "width",
+                        "CASE WHEN coalesce(consistent, true) THEN all ELSE unchanged END AS at",
+                        "CASE WHEN plain_words THEN size(unchanged) = n_windows ELSE coalesce(same, true) OR NOT consistent END AS exact"))
+    in_line = runs.selectExpr("row_key", "id", "item", "n_windows", "CAST(size(at) AS BIGINT) AS n_matched", "exact").where(
+        f"n_matched >= greatest(least(2, n_windows), ceil({share}D * n_windows))")
+    spread = (runs.where("plain_words").select("row_key", "id", "item", "n_windows", "width", F.explode("at").alias("pos"))
+              .groupBy("row_key", "item").agg(F.max("id").alias("id"), F.max("n_windows").alias("n_windows"),
+                                              F.max("width").alias("width"), F.sort_array(F.collect_set("pos")).alias("at")))
+    row = RUN - WIDTH  # from the first to the last window of a run
+    spread = spread.selectExpr(
+        "row_key", "id", "item", "n_windows", "CAST(size(at) AS BIGINT) AS n_matched", "false AS exact",
+        "width + aggregate(sequence(1, size(at)), 0, (n, i) -> n + coalesce(least(width, get(at, i) - get(at, i - 1)), 0)) AS covered",
+        f"width = {WIDTH} AND exists(sequence(0, size(at) - 1), i -> get(at, i + {row}) - get(at, i) = {row}) AS quoted",
+    ).where(f"quoted OR covered >= greatest({RUN}, ceil({COVERED}D * (n_windows + {WIDTH} - 1)))").drop("covered", "quoted")
+    return (in_line.unionByName(spread).groupBy("row_key", "item")
             .agg(F.max("id").alias("id"), F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"),
                  F.bool_or("exact").alias("exact"))
             .selectExpr("row_key", f"id AS `{id_col}`", f"item AS `{item_col}`", "CAST(n_windows AS BIGINT) AS n_windows",

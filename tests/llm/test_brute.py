@@ -335,6 +335,35 @@ def test_verbatim_items_of_any_kind(spark, docs):
     assert got == {(10, 1, True), (20, 2, True), (30, 3, True)}
 
 
+def test_parts_edits_and_arithmetic(spark, docs):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 7))
+    long, short = [word() for _ in range(400)], [word() for _ in range(39)]
+    german = "Der Zug nach Berlin braucht 3 Stunden für 240 Kilometer und hält an 4 Orten ohne Pause"
+    items = [(1, " ".join(long)), (2, " ".join(short)), (3, "12 + 30 * 7 - 45 = 177 ?"), (4, german)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    inserted = [*long[:80], word(), *long[80:160], word(), *long[160:240], word(), *long[240:320], word(), *long[320:]]
+    replaced = [word() if i in (9, 19, 29) else w for i, w in enumerate(short)]
+    rows = [(10, f"{word()} " + " ".join(long[150:250])), (11, " ".join(inserted)), (20, "So: " + " ".join(replaced)),
+            (30, "What is 5 + 9 * 2 - 1 = 22 ?"), (40, german.replace("3", "5").replace("240", "410").replace("4 Orten", "6 Orten")),
+            (90, " ".join(long[20:30]) + f" {word()} " + " ".join(short[5:15])),  # ten words of each
+            (91, "5 + 9 - 2 * 1 = 12 and 3 - 4 - 5 = 2 * 7 + 1"), (92, "a list * of - marks * 9 8 7 6 5 4 3 2 1")]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.leaks(docs(rows), bench).collect()}
+    assert got == {(10, 1): False, (11, 1): False, (20, 2): False, (30, 3): False, (40, 4): False}
+
+
+def test_windows_do_not_depend_on_the_texts_beside(spark):
+    rng = np.random.default_rng(3)
+    texts = ["", " * ", *(" ".join(rng.choice(["Anna", "Bob", "red", "12", "km", "*", "-", "end.", "it"], rng.integers(1, 40))) for _ in range(60))]
+    together = decontaminate.Words(texts)
+    for plain in (False, True):
+        for width in (4, 8):
+            at, hashes = together.windows(plain, width)
+            text = (together.plain_text if plain else together.text)[at]
+            for i, t in enumerate(texts):
+                assert list(hashes[text == i]) == list(decontaminate.Words([t]).windows(plain, width)[1])
+
+
 def test_quality_scores(spark, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.01")
     rows = {r["doc_id"]: r for r in queries.op10_quality_classifier(spark, path).collect()}
