@@ -61,8 +61,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Near-duplicate components, cutoffs under binomial bounds and token ids are beyond SQL; tests/llm holds run()
-#: against a brute-force version.
+#: Near-duplicate components, cutoffs under binomial bounds and token ids are beyond SQL. tests/llm holds the near
+#: copies against brute force, the quality stage against op3, and checks that no verbatim item and no document is lost or left.
 ORACLE_SQL = None
 
 
