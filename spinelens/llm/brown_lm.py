@@ -108,20 +108,33 @@ def _pairs(texts: DataFrame, vocabulary: list[bytes]) -> DataFrame:
             .groupBy("l", "r").agg(F.sum("n").alias("n")))
 
 
-def _contexts(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per unit, how often each class stands before and after it: units x classes, summed in Spark."""
-    spark = pairs.sparkSession
-    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "unit int, class int")
-    named = F.broadcast(rows)  # one row per unit of the model
-    before = (pairs.join(named, F.col("l") == F.col("unit")).groupBy(F.col("r").alias("u"), "class")
-              .agg(F.sum("n").alias("n")).withColumn("side", F.lit(0)))
-    after = (pairs.join(named, F.col("r") == F.col("unit")).groupBy(F.col("l").alias("u"), "class")
-             .agg(F.sum("n").alias("n")).withColumn("side", F.lit(1)))
-    out = np.zeros((2, len(classes), n_classes))
-    table = before.unionByName(after).toArrow()
-    side, u, c, n = (table.column(x).to_numpy() for x in ("side", "u", "class", "n"))
-    out[side, u, c] = n
-    return out[0], out[1]
+def _unit_rows(pairs: DataFrame) -> DataFrame:
+    """``word, nbrs, counts``: a row per unit with the units after it, stored; at most one row and one entry per unit."""
+    return _stored(pairs.groupBy(F.col("l").cast("long").alias("word")).agg(F.collect_list(F.struct("r", "n")).alias("x"))
+                   .selectExpr("word", "transform(x, e -> CAST(e.r AS LONG)) AS nbrs", "x.n AS counts"))
+
+
+def _contexts(units: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per unit, how often each class stands before and after it: units x classes, summed per worker, then in Spark.
+    Units without a class (-1) are left out on both sides."""
+    size = len(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size * n_classes)
+        for batch in batches:
+            row, nbr, n = _flat(batch, "nbrs")
+            left = batch.column("word").to_numpy()[row]
+            some = (classes[left] >= 0) & (classes[nbr] >= 0)
+            left, nbr, n = left[some], nbr[some], n[some]
+            np.add.at(total, nbr * n_classes + classes[left], n)
+            np.add.at(total, (size + left) * n_classes + classes[nbr], n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+
+    table = units.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * size * n_classes)
+    out[table.column("at").to_numpy()] = table.column("n").to_numpy()
+    return tuple(out.reshape(2, size, n_classes))
 
 
 def _gain(before: np.ndarray, after: np.ndarray, classes: np.ndarray, n_classes: int):
@@ -143,7 +156,12 @@ def information(bigrams: np.ndarray) -> float:
 
 
 def cluster(pairs: DataFrame, n_words: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
-    """Class of every unit, by exchange, and the mutual information before each round.
+    """Class of every unit of ``l, r, n``, by exchange, and the mutual information before each round."""
+    return cluster_units(_unit_rows(pairs), n_words, n_classes, rounds)
+
+
+def cluster_units(units: DataFrame, n_words: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """``cluster`` over a stored row per unit.
 
     Units past ``n_words`` (endings, the end) keep classes of their own. In each round the contexts of all
     units by class are summed in Spark; then half of the words, in turn, move to the class under which their
@@ -153,7 +171,7 @@ def cluster(pairs: DataFrame, n_words: int, n_classes: int = CLASSES, rounds: in
     classes = np.concatenate([np.arange(n_words) % n_classes, n_classes + np.arange(ENDINGS + 1)]).astype(np.int64)
     best, history = (-np.inf, classes), []
     for turn in range(rounds):
-        before, after = _contexts(pairs, classes, total)
+        before, after = _contexts(units, classes, total)
         bigrams, score = _gain(before, after, classes, total)
         history.append(information(bigrams))
         if history[-1] > best[0]:
@@ -223,59 +241,218 @@ def _word_pairs(texts: DataFrame, held: list[bytes]) -> DataFrame:
     return texts.mapInArrow(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
-def _word_rows(u: np.ndarray, slot: np.ndarray, v: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (slot[1:] != slot[:-1])])
-    v = np.add.reduceat(v, first)
-    u, slot, own = u[first], slot[first], own[first]
-    mark = slot < 0
-    start, kept = np.flatnonzero(mark), ~mark
-    offsets = pa.array(np.r_[np.cumsum(kept)[start], kept.sum()].astype(np.int32))
+class _Ids(dict):
+    """Number of a word: its rank if it is held, else ``rest_id``, whose ending is kept until the next flush."""
+
+    def __init__(self, held: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(held))
+        self.kinds: dict[int, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        number = rest_id(word)
+        self.kinds[number] = ending(word)
+        return number
+
+
+_ROWS = "word long, unit boolean, nbrs array<long>, counts array<long>"
+
+
+def _list_rows(word: np.ndarray, unit: np.ndarray, lengths: np.ndarray, nbr: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [pa.array(u[start]), pa.array(v[start]), pa.array((own[start] >> 8).astype(np.int32)), pa.array((own[start] & 255).astype(np.int32)),
-         pa.ListArray.from_arrays(offsets, pa.array(slot[kept])), pa.ListArray.from_arrays(offsets, pa.array(v[kept]))],
-        names=["word", "n", "ending", "class", "slots", "counts"])
+        [pa.array(word), pa.array(unit), pa.ListArray.from_arrays(offsets, pa.array(nbr)), pa.ListArray.from_arrays(offsets, pa.array(n))],
+        names=["word", "unit", "nbrs", "counts"])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(texts: DataFrame, held: list[bytes], n_hot: int) -> DataFrame:
+    """Rows of ``_table`` in parts: one pass over the texts gives, per worker and two million tokens, a row per word that is not
+    among the ``n_hot`` first, and per worker a row per unit (``_Units``) with the units after it."""
+    model = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(model.value)
+        end, size = len(model.value), n_hot + ENDINGS + 1
+        unit_of = np.array([i if i < n_hot else n_hot + ending(w) for i, w in enumerate(model.value)] + [size - 1], np.int64)
+        units = np.zeros(size * size, np.int64)
+        lines: list[np.ndarray] = []
+        tokens = 0
+
+        def rows() -> pa.RecordBatch:
+            line = np.concatenate(lines)
+            names, code = np.unique(line, return_inverse=True)
+            inner = np.ones(len(line) - 1, bool)  # two ends in a row lie between texts
+            inner[np.cumsum([len(x) for x in lines[:-1]], dtype=np.int64) - 1] = False
+            at, n = np.unique((code[:-1] * len(names) + code[1:])[inner], return_counts=True)
+            left, right = at // len(names), at % len(names)
+            unit = unit_of[np.maximum(names, 0)]
+            unit[names < 0] = [n_hot + ids.kinds[x] for x in names[names < 0].tolist()]
+            np.add.at(units, unit[left] * size + unit[right], n)
+            own = (names < 0) | ((names >= n_hot) & (names != end))
+            # neighbours that are not held stand in the rows of words that are not held only
+            first = own[left] & ((names[left] < 0) | (names[right] >= 0))
+            second = own[right] & ((names[right] < 0) | (names[left] >= 0))
+            u, nbr = np.r_[left[first], right[second]], np.r_[right[first], left[second]]
+            order = np.argsort(u, kind="stable")
+            lengths = np.bincount(u, minlength=len(names))[own]
+            return _list_rows(names[own], np.zeros(own.sum(), bool), lengths, names[nbr[order]],
+                              np.r_[n[first], -n[second]][order])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = words(text.as_py() or "")
+                line = np.full(len(found) + 2, end, np.int64)
+                line[1:-1] = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+                lines.append(line)
+                tokens += len(line)
+                if tokens > 1 << 21:
+                    yield rows()
+                    lines, tokens = [], 0
+                    ids.kinds.clear()
+        if lines:
+            yield rows()
+        at = np.flatnonzero(units)
+        left = np.unique(at // size)
+        yield _list_rows(left, np.ones(len(left), bool), np.bincount(at // size, minlength=size)[left], at % size, units[at])
+
+    return texts.mapInArrow(run, _ROWS)
+
+
+def _pair_rows(pairs: DataFrame, n_hot: int, end: int) -> DataFrame:
+    """Rows of ``_table`` in parts, from ``l, r, n``; its units are the first ``n_hot`` words and the end."""
+    own = f"({{0}} < 0 OR ({{0}} >= {n_hot} AND {{0}} <> {end}))"
+    sides = pairs.selectExpr("l AS word", "r AS nbr", "n").unionByName(pairs.selectExpr("r AS word", "l AS nbr", "-n AS n"))
+    kept = "word < 0 OR nbr >= 0"
+    rows = sides.where(own.format("word")).selectExpr("word", "false AS unit", f"IF({kept}, array(nbr), array()) AS nbrs",
+                                                      f"IF({kept}, array(n), array()) AS counts")
+    hot = pairs.where(f"NOT {own.format('l')} AND NOT {own.format('r')}").selectExpr(
+        f"least(l, {n_hot}) AS word", "true AS unit", f"array(least(r, {n_hot})) AS nbrs", "array(n) AS counts")
+    return rows.unionByName(hot)
+
+
+def _merge_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of the same word, which stand together, as one; counts of the same neighbour on the same side are added."""
+    word, unit = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("word", "unit"))
+    new = np.r_[True, (word[1:] != word[:-1]) | (unit[1:] != unit[:-1])]
+    row, nbr, n = _flat(batch, "nbrs")
+    row = (np.cumsum(new) - 1)[row]
+    order = np.lexsort((nbr, n < 0, row))
+    row, nbr, n = row[order], nbr[order], n[order]
+    if len(row):
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (nbr[1:] != nbr[:-1]) | ((n[1:] < 0) != (n[:-1] < 0))])
+        row, nbr, n = row[first], nbr[first], np.add.reduceat(n, first)
+    return _list_rows(word[new], unit[new], np.bincount(row, minlength=int(new.sum())), nbr, n)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per word from rows sorted by word; a word may go on in the next batch."""
     left = None
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if left is not None:
-            columns = [np.concatenate(c) for c in zip(left, columns)]
-        if not len(columns[0]):
+        batch = batch if left is None else pa.concat_batches([left, batch.cast(left.schema)])
+        if not batch.num_rows:
             continue
-        cut = np.searchsorted(columns[0], columns[0][-1])
-        left = [c[cut:] for c in columns]
-        if cut:
-            yield _word_rows(*[c[:cut] for c in columns])
+        merged = _merge_rows(batch)
+        if merged.num_rows > 1:
+            yield merged.slice(0, merged.num_rows - 1)
+        left = merged.slice(merged.num_rows - 1)
     if left is not None:
-        yield _word_rows(*left)
-
-
-def _word_contexts(pairs: DataFrame, assigned: DataFrame, hot: str) -> tuple[DataFrame, pa.Table]:
-    """How often each class stands before and after every word: a row per word, and apart from it ``u, slot, n`` of the
-    words that meet the condition ``hot``, a fixed number, which are summed before they are gathered."""
-    sides = pairs.selectExpr("l AS u", "r AS nbr", f"{AFTER} AS side", "n").unionByName(
-        pairs.selectExpr("r AS u", "l AS nbr", "0 AS side", "n"))
-    classes = assigned.selectExpr("word AS nbr", "class")
-    slots = ["u", "CAST(side + class AS SMALLINT) AS slot", "n AS v", "0 AS own"]
-    near = sides.where("nbr >= 0").join(F.broadcast(classes.where("nbr >= 0")), "nbr").selectExpr(*slots)
-    far = sides.where("nbr < 0").join(sized(classes.where("nbr < 0")), "nbr").selectExpr(*slots)
-    every = near.unionByName(far)
-    marks = assigned.where(f"NOT ({hot.format('word')})").selectExpr(
-        "word AS u", "CAST(-1 AS SMALLINT) AS slot", "n AS v", "ending * 256 + class AS own")
-    rows = (every.where(f"NOT ({hot.format('u')})").unionByName(marks).repartition("u").sortWithinPartitions("u", "slot")
-            .mapInArrow(_grouped, "word long, n long, ending int, class int, slots array<smallint>, counts array<long>"))
-    few = every.where(hot.format("u")).groupBy("u", "slot").agg(F.sum("v").alias("v")).toArrow()
-    return _stored(rows), few
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, slot and count of each context in a batch of word rows."""
-    slots, counts = batch.column("slots"), batch.column("counts")
-    lengths = np.diff(slots.offsets.to_numpy())
-    return (np.repeat(np.arange(batch.num_rows), lengths), slots.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
+        yield left
+
+
+def _table(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, nbrs, counts`` of all words that are not among the most frequent, and of all units.
+
+    Counts are negative where the neighbour stands before the word. The words' table is bucketed by word, so that what a round
+    finds out about words meets it without moving it. A held word's row has held neighbours only, two entries each at most; the
+    words that are not held hand it the rest in every round.
+    """
+    spark = parts.sparkSession
+    ensure_checkpoint_dir(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lm_{uuid.uuid4().hex}"
+    (parts.repartition(buckets, "word").sortWithinPartitions("word", "unit").mapInArrow(_merged, _ROWS)
+     .write.bucketBy(buckets, "word").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name))
+    table = spark.table(name)
+    return (table.where("NOT unit").select("word", "nbrs", "counts"),
+            _stored(table.where("unit").select("word", "nbrs", "counts").coalesce(8)))
+
+
+def _far(rows: DataFrame, rest: DataFrame, n_hot: int, end: int) -> DataFrame:
+    """``word, far_slots, far_counts``: how often words that are not held stand beside a word, by their class; at most one entry
+    per class and side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, nbr, n = _flat(batch, "nbrs")
+            some = (nbr < 0) | ((nbr >= n_hot) & (nbr != end))
+            row, nbr, n = row[some], nbr[some], n[some]
+            names, code = np.unique(nbr, return_inverse=True)
+            slot = batch.column("class").to_numpy()[row] + np.where(n < 0, AFTER, 0)
+            at, code = np.unique(code * 2 * AFTER + slot, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[at // (2 * AFTER)]), pa.array((at % (2 * AFTER)).astype(np.int16)),
+                 pa.array(np.bincount(code, np.abs(n), len(at)).astype(np.int64))], names=["word", "slot", "v"])
+
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.where("word < 0").join(rest.select("word", "class"), "word").mapInArrow(run, "word long, slot smallint, v long")
+            .repartition(buckets, "word").groupBy("word", "slot").agg(F.sum("v").alias("v"))
+            .groupBy("word").agg(F.collect_list(F.struct("slot", "v")).alias("x"))
+            .selectExpr("word", "x.slot AS far_slots", "x.v AS far_counts"))
+
+
+def _word_contexts(rows: DataFrame, rest: DataFrame, held: tuple[np.ndarray, ...], n_hot: int, end: int) -> DataFrame:
+    """``word, n, ending, class, slots, counts``: how often each class stands before and after every word, stored.
+
+    ``held`` are counts, endings and classes of the held words and the end, ``rest`` has those of all others. The most frequent
+    words and the end come in parts, marked by n = 0 and without what stands between two of them.
+    """
+    model = rows.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, endings, classes = model.value
+        width = 2 * AFTER
+        hot = np.zeros((n_hot + 1) * width)
+
+        def out(word, n, kind, own, dense: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(dense)
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(at // width, minlength=len(word)))].astype(np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word), pa.array(n), pa.array(kind.astype(np.int32)), pa.array(own.astype(np.int32)),
+                 pa.ListArray.from_arrays(offsets, pa.array((at % width).astype(np.int16))),
+                 pa.ListArray.from_arrays(offsets, pa.array(dense[at].astype(np.int64)))],
+                names=["word", "n", "ending", "class", "slots", "counts"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):  # bounds the dense table
+                batch = whole.slice(start, 2048)
+                word = batch.column("word").to_numpy()
+                is_held, at = word >= 0, np.maximum(word, 0)
+                n, kind, own = (np.where(is_held, of[at], batch.column(c).fill_null(0).to_numpy())
+                                for of, c in ((counts, "n"), (endings, "ending"), (classes, "class")))
+                row, nbr, k = _flat(batch, "nbrs")
+                near = nbr >= 0
+                row, nbr, k = row[near], nbr[near], k[near]
+                dense = np.bincount(row * width + classes[nbr] + np.where(k > 0, AFTER, 0), np.abs(k), len(word) * width)
+                far = batch.column("far_slots").is_valid().to_numpy(zero_copy_only=False)
+                if far.any():
+                    far_row, slot, v = _flat(batch.filter(pa.array(far)), "far_slots", "far_counts")
+                    dense += np.bincount(np.flatnonzero(far)[far_row] * width + slot, v, len(word) * width)
+                # a frequent neighbour sees this word on the other side
+                some = (nbr < n_hot) | (nbr == end)
+                hot += np.bincount(np.minimum(nbr[some], n_hot) * width + own[row[some]] + np.where(k[some] < 0, AFTER, 0),
+                                   np.abs(k[some]), len(hot))
+                yield out(word, n, kind, own, dense)
+        seen = np.flatnonzero(hot.reshape(-1, width).any(1))
+        none = np.zeros(len(seen), np.int64)
+        yield out(np.where(seen == n_hot, end, seen), none, none, none, hot.reshape(-1, width)[seen].ravel())
+
+    return _stored(rows.join(rest, "word", "left").join(_far(rows, rest, n_hot, end), "word", "left")
+                   .mapInArrow(run, "word long, n long, ending int, class int, slots array<smallint>, counts array<long>"))
+
+
+def _flat(batch: pa.RecordBatch, lists: str = "slots", values: str = "counts") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, entry and count of all entries in a batch of rows with lists."""
+    entries, counts = batch.column(lists), batch.column(values)
+    lengths = np.diff(entries.offsets.to_numpy())
+    return (np.repeat(np.arange(batch.num_rows), lengths), entries.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
 
 
 def _word_bigrams(rows: DataFrame, n_classes: int) -> np.ndarray:
@@ -308,40 +485,56 @@ def _pmi(bigrams: np.ndarray) -> np.ndarray:
 
 def exchange_words_all(pairs: DataFrame, assigned: DataFrame, n_hot: int, end: int,
                        rounds: int = WORD_ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """``exchange_rows`` of the pairs ``l, r, n``."""
+    rows, units = _table(_pair_rows(pairs, n_hot, end))
+    return exchange_rows(rows, units, np.arange(n_hot + 1), assigned, n_hot, end, rounds)
+
+
+def exchange_rows(rows: DataFrame, units: DataFrame, hot_unit: np.ndarray, assigned: DataFrame, n_hot: int, end: int,
+                  rounds: int = WORD_ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
     """``word, n, ending, class`` of every training word after exchanges over all of them, the class bigrams, and the
     information before each round. In the bigrams a word seen once counts half as itself and half as a word never
     seen, under its ending.
 
-    ``assigned`` has the first classes. The contexts of all words by class are summed in Spark from all pairs; each
-    word of a round moves to the class under which its own contexts are likeliest. Only tables of classes and the
-    contexts of the ``n_hot`` most frequent words and the end come to the driver.
+    ``assigned`` has the first classes; ``hot_unit`` says which of the ``n_hot`` most frequent words (``n_hot``: the end) a unit
+    is, or -1. In a round every word moves to the class under which its own contexts are likeliest. The words' rows stay where
+    they are: classes of held neighbours come as one array, those of other neighbours are handed on by these. Only tables of
+    classes, the held words' classes and the contexts of the most frequent words and the end come to the driver.
     """
-    n_classes = CLASSES + ENDINGS + 1
-    hot = f"{{0}} >= 0 AND ({{0}} < {n_hot} OR {{0}} = {end})"
+    n_classes, width, spark = CLASSES + ENDINGS + 1, 2 * AFTER, rows.sparkSession
+    table = assigned.where("word >= 0").toArrow()
+    counts, endings, classes = (np.zeros(end + 1, np.int64) for _ in range(3))
+    for of, c in ((counts, "n"), (endings, "ending"), (classes, "class")):
+        of[table.column("word").to_numpy()] = table.column(c).to_numpy()
+    rest = assigned.where("word < 0")
+    hot = np.r_[np.arange(n_hot), end]
     best, history = None, []
     for turn in range(rounds + 1):
-        rows, few = _word_contexts(pairs, assigned, hot)
-        main, *once = _word_bigrams(rows, n_classes)
-        firsts = assigned.where(hot.format("word")).toArrow()
-        own = np.zeros(end + 1, np.int64)
-        own[firsts.column("word").to_numpy()] = firsts.column("class").to_numpy()
-        u, slot, n = (few.column(c).to_numpy().astype(np.int64) for c in ("u", "slot", "v"))
-        after = slot >= AFTER
-        np.add.at(main, (own[u[after]], slot[after] - AFTER), n[after])
-        # frequent words seen once, in small corpora
-        single = dict(zip(firsts.column("word").to_pylist(), zip(firsts.column("n").to_pylist(), firsts.column("ending").to_pylist())))
-        for w, s, k in zip(u.tolist(), slot.tolist(), n.tolist()):
-            if w != end and single[w][0] == 1:
-                for part, name in zip(once, (CLASSES + single[w][1], own[w])):
-                    part[(name, s - AFTER) if s >= AFTER else (s, name)] += k
+        contexts = _word_contexts(rows, rest, (counts, endings, classes), n_hot, end)
+        own = contexts.where("n > 0")
+        main, *once = _word_bigrams(own, n_classes)
+        few = (contexts.where("n = 0").selectExpr("word", "explode(arrays_zip(slots, counts)) AS x")
+               .groupBy("word", "x.slots").agg(F.sum("x.counts").alias("v")).toArrow())
+        word, slot, v = (few.column(c).to_numpy().astype(np.int64) for c in ("word", "slots", "v"))
+        seen = np.zeros((n_hot + 1, width))
+        np.add.at(seen, (np.minimum(word, n_hot), slot), v)
+        among = _contexts(units, np.where(hot_unit >= 0, classes[hot[hot_unit]], -1), n_classes)
+        for part, start in zip(among, (0, AFTER)):
+            np.add.at(seen, (hot_unit[hot_unit >= 0], slice(start, start + n_classes)), part[hot_unit >= 0])
+        before, after = seen[:, :n_classes], seen[:, AFTER: AFTER + n_classes]
+        np.add.at(main, classes[hot], after)
+        for i in np.flatnonzero((counts[hot] == 1) & (hot != end)):  # frequent words seen once, in small corpora
+            for part, name in zip(once, (CLASSES + endings[i], classes[i])):
+                part[name] += after[i]
+                part[:, name] += before[i]
         history.append(information(main))
         # in the first round endings are classes too, so that its information does not compare
         if best is None or len(history) == 2 or history[-1] > best[0]:
-            best = (history[-1], assigned, main + (once[0] - once[1]) / 2)
+            best = (history[-1], classes, rest, main + (once[0] - once[1]) / 2)
         if turn == rounds:
             break
         pmi = _pmi(main)
-        weights = np.zeros((2 * AFTER, CLASSES))
+        weights = np.zeros((width, CLASSES))
         weights[:n_classes], weights[AFTER: AFTER + n_classes] = pmi[:, :CLASSES], pmi[:CLASSES].T
 
         def move(batches: Iterator[pa.RecordBatch], turn=turn, weights=weights) -> Iterator[pa.RecordBatch]:
@@ -351,25 +544,27 @@ def exchange_words_all(pairs: DataFrame, assigned: DataFrame, n_hot: int, end: i
                 row, slot, n = _flat(batch)
                 word, old = batch.column("word").to_numpy(), batch.column("class").to_numpy()
                 new = old.copy()
-                for start in range(0, batch.num_rows, 1024):  # bounds the table of weighed contexts
-                    a, b = np.searchsorted(row, [start, start + 1024])
-                    score = np.add.reduceat(weights[slot[a:b]] * n[a:b, None], np.searchsorted(row[a:b], np.unique(row[a:b])))
-                    new[np.unique(row[a:b])] = score.argmax(1)
+                for start in range(0, batch.num_rows, 1024):
+                    part = min(1024, batch.num_rows - start)
+                    a, b = np.searchsorted(row, [start, start + part])
+                    dense = np.bincount((row[a:b] - start) * width + slot[a:b], n[a:b], part * width)
+                    new[start: start + part] = (dense.reshape(part, width) @ weights).argmax(1)
                 moving = (word % 2 == turn % 2) if turn else np.ones(len(word), bool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("word"), batch.column("n"), batch.column("ending"), pa.array(np.where(moving, new, old).astype(np.int32))],
                     names=["word", "n", "ending", "class"])
 
-        score = np.zeros((end + 1, CLASSES))
-        np.add.at(score, u, weights[slot] * n[:, None])
-        word = firsts.column("word").to_numpy()
-        moving = (word != end) & (word % 2 == turn % 2) & (turn > 0)
-        changed = firsts.set_column(firsts.schema.get_field_index("class"), "class", pa.array(
-            np.where(moving, score[word].argmax(1), own[word]).astype(np.int32)))
-        spark = pairs.sparkSession
-        assigned = settle(rows.mapInArrow(move, "word long, n long, ending int, class int").unionByName(
-            spark.createDataFrame(changed, schema="word long, n long, ending int, class int")))
-    return best[1], best[2], history
+        moved = _stored(own.mapInArrow(move, "word long, n long, ending int, class int"))
+        rest, table = moved.where("word < 0"), moved.where("word >= 0").toArrow()
+        moving = (hot != end) & (hot % 2 == turn % 2) & (turn > 0)
+        found = np.where(moving, (seen @ weights).argmax(1), classes[hot])
+        classes = classes.copy()
+        classes[table.column("word").to_numpy()] = table.column("class").to_numpy()
+        classes[hot] = found
+    _, classes, rest, bigrams = best
+    known = spark.createDataFrame(pa.table({"word": pa.array(np.arange(end + 1)), "n": pa.array(counts), "ending": pa.array(endings.astype(np.int32)),
+                                            "class": pa.array(classes.astype(np.int32))}))
+    return known.unionByName(rest), bigrams, history
 
 
 def _logs(bigrams: np.ndarray) -> np.ndarray:
@@ -421,8 +616,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_ends = ends["n"] if ends else 0
     vocabulary = held[:exchange_words]
     n_classes, end = CLASSES + ENDINGS + 1, len(held)
-    units = settle(_pairs(training, vocabulary))
-    classes, _ = cluster(units, len(vocabulary))
+    rows, units = _table(_neighbours(training, held, len(vocabulary)))
+    classes, _ = cluster_units(units, len(vocabulary))
     _, after = _contexts(units, classes, n_classes)
     coarse = np.zeros((n_classes, n_classes))
     np.add.at(coarse, classes, after)
@@ -436,9 +631,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = spark.createDataFrame(pa.table({"word": pa.array([*held, END], pa.binary())}))
     others = (counts.join(F.broadcast(names), "word", "left_anti").selectExpr(f"{_REST_ID} AS word", "n", f"{_ENDING} AS ending")
               .withColumn("class", F.expr(f"{CLASSES} + ending")))
-    pairs = _stored(_word_pairs(training, held))
-    first_assigned = settle(known_rows.unionByName(others))
-    assigned, bigrams, _ = exchange_words_all(pairs, first_assigned, len(vocabulary), end)
+    first_assigned = _stored(known_rows.unionByName(others))
+    hot_unit = np.r_[np.arange(len(vocabulary)), np.full(ENDINGS, -1), len(vocabulary)]
+    assigned, bigrams, _ = exchange_rows(rows, units, hot_unit, first_assigned, len(vocabulary), end)
     moves = _logs(bigrams)
 
     # emissions: by counts within the class; of a word never seen, as one more word beside those seen once with its ending
