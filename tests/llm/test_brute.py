@@ -291,6 +291,29 @@ def test_every_training_word_is_exchanged(spark, docs):
     assert bigrams.sum() == sum(counts.values()) and bigrams.min() >= 0
 
 
+def test_rows_of_words_hold_their_neighbours(spark, docs):
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 300)) for i in range(60)] + [(90, None), (91, "")]
+    lines = [[*brown_lm.words(t or ""), b"\n"] for _, t in texts]
+    held = [w for w, _ in Counter(w for line in lines for w in line).most_common() if w != b"\n"][:40]
+    hot, end = 10, len(held)
+    names = {**{w: i for i, w in enumerate(held)}, b"\n": end}
+    number = lambda w: names.get(w, brown_lm.rest_id(w))
+    unit = lambda w: hot + 16 if w == b"\n" else names[w] if names.get(w, hot) < hot else hot + brown_lm.ending(w)
+    want, want_units = Counter(), Counter()
+    for line in lines:
+        for l, r in zip([b"\n", *line], line):
+            want_units[unit(l), unit(r)] += 1
+            for u, nbr, side in ((number(l), number(r), 1), (number(r), number(l), -1)):
+                if (u < 0 or hot <= u < end) and (u < 0 or nbr >= 0):
+                    want[u, nbr, side] += side
+    rows, units = brown_lm._table(brown_lm._neighbours(docs(texts).repartition(5).select("text"), held, hot))
+    got = rows.collect()
+    assert {(r["word"], b, 1 if n > 0 else -1): n for r in got for b, n in zip(r["nbrs"], r["counts"])} == want
+    assert sorted(r["word"] for r in got) == sorted({number(w) for line in lines for w in line if not (0 <= number(w) < hot or w == b"\n")})
+    assert {(r["word"], b): n for r in units.collect() for b, n in zip(r["nbrs"], r["counts"])} == want_units
+
+
 def test_links_and_ranks(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("b", "d", 2.0)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 3.0)], "host string, good double, bad double")
