@@ -422,7 +422,7 @@ def point_box_clamped(spark, d):
 
 def _pixel_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Vertebra outlines in whole pixels, femoral-head candidates left out."""
-    return T.vertebrae(spark, d).filter("det_idx div 100000 % 10000000 % 13 <> 0").selectExpr(
+    return T.vertebrae(spark, d, "l_partkey % 13 <> 0").selectExpr(
         "image_id", "array(" + ", ".join(
             f"named_struct('x', floor(keypoints[{i}].x * image_width),"
             f" 'y', floor(keypoints[{i}].y * image_height))" for i in range(4)) + ") AS points")

@@ -36,10 +36,10 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vertebrae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertebra detections with four normalised corners."""
+def vertebrae(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Vertebra detections with four normalised corners, of the line items that ``where`` holds for."""
     names = ", ".join(f"'{n}'" for n in LABELS)
-    return _boxes(spark, sf_dir).selectExpr(
+    return _boxes(spark, sf_dir).filter(where).selectExpr(
         "image_id", "det_idx",
         f"get(array({names}), CAST(l_partkey % 10 AS INT)) AS label", "confidence",
         "array(named_struct('x', cx - hw, 'y', cy - hh + t), named_struct('x', cx + hw, 'y', cy - hh - t),"
