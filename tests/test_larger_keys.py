@@ -17,6 +17,6 @@ def wide_dir(sf_dir, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["adaptive_box"])
+@pytest.mark.parametrize("name", ["adaptive_box", "reference_heights"])
 def test_wide_supplier_keys(spark, wide_dir, name):
     assert differences(QUERIES[name](spark, wide_dir), connect(wide_dir), ORACLES[name]) is None
