@@ -7,6 +7,8 @@ prediction that points to it. Ties go to the smaller index.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 _KEYS = ["image_id", "class_id"]
 _BOX = ["x1", "y1", "x2", "y2"]
 _CELL = ["level_x", "cell_x", "level_y", "cell_y"]
+# Width of a class of extents when boxes are matched: wider classes give fewer probes to move and more candidates a cell.
+BASE = 16
 
 _IOU = (
     "greatest(0e0, least(p_x2, t_x2) - greatest(p_x1, t_x1))"
@@ -39,26 +43,28 @@ def _proper(distinct: DataFrame, *columns: str) -> DataFrame:
         "x2 > x1 AND y2 > y1")
 
 
-def _level(size: str) -> str:
-    return f"CAST(floor(log2({size}) / 2) AS INT)"
+def _level(size: str, base: int) -> str:
+    return f"CAST(floor(log2({size}) / {log2(base)!r}D) AS INT)"
 
 
-def _prediction_cells(predictions: DataFrame) -> DataFrame:
+def _prediction_cells(predictions: DataFrame, base: int = 4) -> DataFrame:
     """Each box in the one cell of its classes of width and height."""
     return _proper(predictions, "det_idx", "confidence").selectExpr(
         *_KEYS, "det_idx", "confidence", *[f"{c} AS p_{c}" for c in _BOX],
-        *[f"{_level(f'{a}2 - {a}1')} AS level_{a}" for a in "xy"],
+        *[f"{_level(f'{a}2 - {a}1', base)} AS level_{a}" for a in "xy"],
     ).selectExpr(
-        "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow(4e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
+        "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow({base}e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
 
 
-def truth_probes(truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Each true box once per cell that may hold a prediction with IoU >= ``threshold``, about nine times at 0.5.
+def truth_probes(truth: DataFrame, threshold: float = 0.5, base: int = 4) -> DataFrame:
+    """Each true box once per cell that may hold a prediction with IoU >= ``threshold``: at 0.5 about nine times for
+    base 4, four times for base 16.
 
     ``truth``: image_id, class_id, x1..y2, truth_idx, n. On either axis IoU >= t asks that the extents p and s keep a ratio
     of at least t and the centres a distance of at most (p + s) / 2 - t * max(p, s); the areas keep the ratio, too.
-    A class of extents reaches from a power of four to the next one, which is the side of its cells: an axis has two
-    classes to probe, and pairs of classes whose areas do not fit are left out. Bounds are slightly widened, which
+    A class of extents reaches from a power of ``base`` to the next one, which is the side of its cells: an axis has one
+    or two classes to probe, and pairs of classes whose areas do not fit are left out. Boxes without overlap number at
+    most ``base`` squared a cell, so candidates grow with the boxes, not with their square. Bounds are slightly widened, which
     keeps pairs at the very edge of the threshold.
     """
     t, wide = f"{threshold!r}D", "1.000001e0"
@@ -66,9 +72,9 @@ def truth_probes(truth: DataFrame, threshold: float = 0.5) -> DataFrame:
         *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], *[f"{a}2 - {a}1 AS size_{a}" for a in "xy"])
     for a in "xy":
         probes = probes.selectExpr(
-            "*", f"explode(sequence({_level(f'size_{a} * {t} / {wide}')}, {_level(f'size_{a} / {t} * {wide}')})) AS level_{a}")
+            "*", f"explode(sequence({_level(f'size_{a} * {t} / {wide}', base)}, {_level(f'size_{a} / {t} * {wide}', base)})) AS level_{a}")
     probes = probes.selectExpr("*", *[
-        e for a in "xy" for e in (f"pow(4e0, level_{a}) AS low_{a}", f"pow(4e0, level_{a} + 1) AS side_{a}")])
+        e for a in "xy" for e in (f"pow({base}e0, level_{a}) AS low_{a}", f"pow({base}e0, level_{a} + 1) AS side_{a}")])
     least = " * ".join(f"greatest(low_{a}, size_{a} * {t})" for a in "xy")
     most = " * ".join(f"least(side_{a}, size_{a} / {t})" for a in "xy")
     probes = probes.filter(
@@ -88,7 +94,7 @@ def truth_probes(truth: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def _best_truth(pred: DataFrame, true: DataFrame, threshold: float) -> DataFrame:
     """``best_truth`` of distinct boxes. A prediction lies in one cell, so its pairs are in one partition of the join."""
-    pairs = _prediction_cells(pred).join(truth_probes(true, threshold), [*_KEYS, *_CELL]).selectExpr(
+    pairs = _prediction_cells(pred, BASE).join(truth_probes(true, threshold, BASE), [*_KEYS, *_CELL]).selectExpr(
         *_KEYS, *_CELL, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
         "truth_idx", f"{_IOU} AS overlap",
     ).selectExpr(

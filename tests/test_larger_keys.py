@@ -1,11 +1,15 @@
-"""Queries on tables whose keys are wider than those of the given ones."""
+"""Larger tables: keys wider than those of the given ones, and what is moved per row."""
+
+import random
 
 import duckdb
 import pytest
 
 from compare import connect, differences
+from spinelens.operators import evaluation as E
 from spinelens.plans.oracles import ORACLES
 from spinelens.plans.queries import QUERIES
+from spinelens.sources import star_tables as T
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +24,40 @@ def wide_dir(sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["adaptive_box", "reference_heights"])
 def test_wide_supplier_keys(spark, wide_dir, name):
     assert differences(QUERIES[name](spark, wide_dir), connect(wide_dir), ORACLES[name]) is None
+
+
+def test_matching_moves_few_probes(spark, sf_dir, monkeypatch):
+    """What is shuffled of the true boxes is less than two rows each."""
+    plain, moved = E.truth_probes, []
+    monkeypatch.setattr(E, "truth_probes", lambda *given: moved.append(plain(*given)) or moved[-1])
+    truth = T.truth_boxes(spark, sf_dir)
+    E.match_detections(T.raw_boxes(spark, sf_dir), truth)
+    assert len(moved) == 1 and moved[0].count() < 2 * truth.count()
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75])
+def test_best_truth_of_boxes_of_all_sizes(spark, threshold):
+    rng = random.Random(5)
+    boxes = []
+    for i in range(600):
+        w, h = 10 ** rng.uniform(-2, 4), 10 ** rng.uniform(-2, 4)
+        x, y = rng.uniform(-500, 500), rng.uniform(-500, 500)
+        boxes.append((i, x, y, x + w, y + h))
+        for _ in range(3):
+            a, b = w * rng.uniform(0.6, 1.6), h * rng.uniform(0.7, 1.4)
+            dx, dy = w * rng.uniform(-0.3, 0.3), h * rng.uniform(-0.3, 0.3)
+            boxes.append((i, x + dx, y + dy, x + dx + a, y + dy + b))
+    kinds = "image_id int, class_id int, x1 double, y1 double, x2 double, y2 double"
+    p = spark.createDataFrame([(i, 0, *b, k, 0.5) for k, (i, *b) in enumerate(boxes)], f"{kinds}, det_idx long, confidence double")
+    t = spark.createDataFrame([(i, 0, *b, k) for k, (i, *b) in enumerate(boxes) if k % 4], f"{kinds}, truth_idx long")
+
+    def iou(a, b):
+        o = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return o / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - o)
+
+    want = {}
+    for k, (i, *b) in enumerate(boxes):
+        best = min((-iou(b, boxes[j][1:]), j) for j in range(4 * i, 4 * i + 4) if j % 4)
+        if -best[0] >= threshold:
+            want[k] = best[1]
+    assert {r.det_idx: r.truth_idx for r in E.best_truth(p, t, threshold).collect()} == want and len(want) > 1800
