@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from compare import connect, differences
+from spinelens.functions import label_text
 from spinelens.operators import evaluation as E
 from spinelens.plans.oracles import ORACLES
 from spinelens.plans.queries import QUERIES
@@ -61,3 +62,19 @@ def test_best_truth_of_boxes_of_all_sizes(spark, threshold):
         if -best[0] >= threshold:
             want[k] = best[1]
     assert {r.det_idx: r.truth_idx for r in E.best_truth(p, t, threshold).collect()} == want and len(want) > 1800
+
+
+def test_label_text_equals_the_formatter(spark):
+    """Ordinary numbers are written by a cast; the text is the formatter's for all numbers."""
+    assert label_text.format_line(keypoints=None).count("AS DECIMAL(16, 6)") == 4
+    assert label_text.format_line().count("AS DECIMAL(16, 6)") == 6
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 97 > 0 THEN CAST(id AS INT) END AS class_id",
+        "(id * 7919 % 1000000 + 0.5e0) / 1e6 AS cx", "(id - 1500) / 1e9 AS cy", "rand(3) * pow(10e0, id % 30 - 12) AS w",
+        "CASE id % 6 WHEN 0 THEN -0e0 WHEN 1 THEN 0e0 WHEN 2 THEN double('NaN') WHEN 3 THEN double('Infinity') WHEN 4 THEN 1e9 END AS h",
+        "CASE id % 4 WHEN 0 THEN array() WHEN 1 THEN array(named_struct('x', rand(7), 'y', -rand(8), 'v', 2), NULL)"
+        " WHEN 2 THEN array(named_struct('x', 0.0000005e0, 'y', 1e0, 'v', CAST(NULL AS INT))) END AS keypoints").localCheckpoint()
+    head = "format_string('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)"
+    tail = "array_join(transform(keypoints, k -> format_string(' %.6f %.6f %d', k.x, k.y, k.v)), '')"
+    assert rows.where(f"NOT ({label_text.format_line()} <=> concat({head}, {tail}))").count() == 0
+    assert rows.where(f"NOT ({label_text.format_line(keypoints=None)} <=> {head})").count() == 0
