@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from spinelens.llm._store import settle
 
-#: Links per partition at least; fewer would make a round's shuffles mostly empty files.
-PARTITION_LINKS = 100_000
+#: Links per partition (two numbers each) at least; rounds of fewer links run in one, without a shuffle.
+PARTITION_LINKS = 1_000_000
 
 
 def _size(edges: DataFrame) -> tuple[int, int]:
@@ -21,8 +21,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours to the smallest of them, first the larger neighbours, then the
     smaller; the rounds grow with the logarithm of the nodes. Minima are map-side aggregates, so a node with
-    very many neighbours is no bottleneck. A round runs in as many partitions as its links need. Loops and
-    repeated links are ignored; no links give no rows.
+    very many neighbours is no bottleneck. A round runs in as many partitions as its links need; its joins are
+    merges, so its minima never pass through the driver. Loops and repeated links are ignored; no links give no rows.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = _size(edges)
@@ -30,12 +30,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = edges.coalesce(-(-size[0] // PARTITION_LINKS))
         both = edges.selectExpr("inline(array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u)))")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u").selectExpr("inline(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m)))")
+        hung = edges.join(least.hint("merge"), "u").selectExpr("inline(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m)))")
         edges = settle(hung.where("u <> v").distinct())
         before, size = size, _size(edges)
         if size == before:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return settle(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``links`` and of those that gave ``found``, which stands for its links as one star per root."""
+    stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.union(links.select("a", "b")))

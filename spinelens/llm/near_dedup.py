@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinelens.llm._store import importable, settle, sized
-from spinelens.llm.components import components
+from spinelens.llm.components import components, joined
 
 #: MinHash samples: bands x rows. A pair of similarity 0.8 shares no band with a chance below 1e-6.
 BANDS, ROWS = 36, 5
@@ -316,10 +316,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
                 .where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb"))
 
     nearest = pairs.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = settle(confirmed(nearest))
-    roots = components(links)
-    links = settle(links.union(confirmed(apart(pairs.join(nearest, ["a", "b"], "left_anti"), roots))))
-    roots = components(links)
+    roots = components(confirmed(nearest))
+    roots = joined(roots, confirmed(apart(pairs.join(nearest, ["a", "b"], "left_anti"), roots)))
 
     placed = (members.select("key", "node").distinct().join(roots, "node", "left")
               .select("key", "node", F.coalesce("root", "node").alias("root")))
@@ -327,8 +325,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("node").alias("first"))
                   .where("r <> q").select("key", "first"))
     rest = settle(placed.join(sized(torn), "key").select(F.col("first").alias("key"), "node", "root").distinct())
-    links = settle(links.union(_across(rest, narrow, source, k, percent)))
-    roots = components(links)
+    roots = joined(roots, _across(rest, narrow, source, k, percent))
 
     named = (classes.join(roots, "node", "left")
              .select("d1", "d2", F.coalesce("root", "node").alias("component_id")))
