@@ -27,12 +27,13 @@ def test_wide_supplier_keys(spark, wide_dir, name):
     assert differences(QUERIES[name](spark, wide_dir), connect(wide_dir), ORACLES[name]) is None
 
 
-def test_matching_moves_few_probes(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("operator", ["match_detections", "evaluate_detections"])
+def test_matching_moves_few_probes(spark, sf_dir, monkeypatch, operator):
     """What is shuffled of the true boxes is less than two rows each."""
     plain, moved = E.truth_probes, []
     monkeypatch.setattr(E, "truth_probes", lambda *given: moved.append(plain(*given)) or moved[-1])
     truth = T.truth_boxes(spark, sf_dir)
-    E.match_detections(T.raw_boxes(spark, sf_dir), truth)
+    getattr(E, operator)(T.raw_boxes(spark, sf_dir), truth)
     assert len(moved) == 1 and moved[0].count() < 2 * truth.count()
 
 
