@@ -27,7 +27,7 @@ def test_wide_supplier_keys(spark, wide_dir, name):
     assert differences(QUERIES[name](spark, wide_dir), connect(wide_dir), ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("operator", ["match_detections", "evaluate_detections"])
+@pytest.mark.parametrize("operator", ["match_detections", "evaluate_detections", "evaluate_by_class"])
 def test_matching_moves_few_probes(spark, sf_dir, monkeypatch, operator):
     """What is shuffled of the true boxes is less than two rows each."""
     plain, moved = E.truth_probes, []
