@@ -28,6 +28,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table per partition at least; with fewer, the tables made from it are many nearly empty files.
+PARTITION_ROWS = 250_000
+
+
+def settle_few(df: DataFrame) -> DataFrame:
+    """``settle`` for tables of a few numbers a row: read again in no more partitions than the rows need."""
+    out = settle(df)
+    return out.coalesce(max(1, -(-out.count() // PARTITION_ROWS)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A wide table, written once to the shared checkpoint folder as compressed columns."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinelens.llm._store import settle
@@ -16,23 +16,28 @@ def _size(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def _with_least(rows: DataFrame, alone: bool) -> DataFrame:
+    """``rows`` with the least ``v`` of their ``u``; a join would shuffle rows of a single partition, too."""
+    if alone:
+        return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return rows.join(rows.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (long columns ``a``, ``b``); a root is its smallest node.
 
     Each round joins every node's neighbours to the smallest of them, first the larger neighbours, then the
     smaller; the rounds grow with the logarithm of the nodes. Minima are map-side aggregates, so a node with
-    very many neighbours is no bottleneck. A round runs in as many partitions as its links need; its joins are
+    very many neighbours is no bottleneck; what fits one partition is left there. A round runs in as many partitions as its links need; its joins are
     merges, so its minima never pass through the driver. Loops and repeated links are ignored; no links give no rows.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = _size(edges)
     while size[0]:
-        edges = edges.coalesce(-(-size[0] // PARTITION_LINKS))
-        both = edges.selectExpr("inline(array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u)))")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least.hint("merge"), "u").selectExpr("inline(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m)))")
+        parts = -(-size[0] // PARTITION_LINKS)
+        both = edges.coalesce(parts).selectExpr("inline(array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u)))")
+        edges = _with_least(both, parts == 1).where("v > u").selectExpr("v AS u", "least(m, u) AS v").distinct()
+        hung = _with_least(edges, parts == 1).selectExpr("inline(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m)))")
         edges = settle(hung.where("u <> v").distinct())
         before, size = size, _size(edges)
         if size == before:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spinelens.llm._store import importable, settle, sized
+from spinelens.llm._store import importable, settle, settle_few, sized
 from spinelens.llm.components import components, joined
 
 #: MinHash samples: bands x rows. A pair of similarity 0.8 shares no band with a chance below 1e-6.
@@ -239,8 +239,8 @@ def _across(rows: DataFrame, sketches: DataFrame, source: DataFrame, k: int, per
             sides.append(full.toDF(*full.columns).groupBy(*by))
         return sides[0].cogroup(sides[1]).applyInArrow(compare, schema).distinct()
 
-    likely = settle(met(rows, sketches, plausible, "key long, node long"))
-    wanted = settle(likely.select(F.col("node").alias("id")).distinct())
+    likely = settle_few(met(rows, sketches, plausible, "key long, node long"))
+    wanted = settle_few(likely.select(F.col("node").alias("id")).distinct())
     sets = settle(_sets(source.join(sized(wanted), "id", "left_semi"), k)).withColumnRenamed("id", "node")
 
     def linked(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -293,19 +293,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     narrow = nodes.select("node", "n", "m", "odd", "taken")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     # the member drawn for a bucket: the smallest id after an exclusive or with the bucket's random key
-    shared = settle(banded.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("low"), F.max(F.expr("node ^ key")).alias("high"))
+    shared = settle_few(banded.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("low"), F.max(F.expr("node ^ key")).alias("high"))
                     .where("low <> high").select("key", F.expr("low ^ key").alias("drawn")))
-    members = settle(banded.join(sized(shared), "key").select("key", "node", "drawn"))
+    members = settle_few(banded.join(sized(shared), "key").select("key", "node", "drawn"))
     x, y = narrow.alias("x"), narrow.alias("y")
     pairs = (members.where("node <> drawn")
              .select(F.greatest("node", "drawn").alias("a"), F.least("node", "drawn").alias("b")).distinct())
     flips = _bits("x.odd", "^", "y.odd")
-    pairs = settle(pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(_plausible(percent))
+    pairs = settle_few(pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(_plausible(percent))
                    .select("a", "b", F.expr(flips).alias("flips")).distinct())
 
     def confirmed(candidates: DataFrame) -> DataFrame:
-        candidates = settle(candidates.select("a", "b").distinct())
-        wanted = settle(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
+        candidates = settle_few(candidates.select("a", "b").distinct())
+        wanted = settle_few(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
         sets = settle(_sets(source.join(sized(wanted), "id", "left_semi"), k))
         return (candidates.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
                 .selectExpr("a", "b", "size(s) AS m", "size(t) AS n", "size(array_intersect(s, t)) AS i")
@@ -322,9 +322,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     placed = (members.select("key", "node").distinct().join(roots, "node", "left")
               .select("key", "node", F.coalesce("root", "node").alias("root")))
     # torn buckets with the same smallest node are one: whoever is in it shares a band with that node
-    torn = settle(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("node").alias("first"))
+    torn = settle_few(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("node").alias("first"))
                   .where("r <> q").select("key", "first"))
-    rest = settle(placed.join(sized(torn), "key").select(F.col("first").alias("key"), "node", "root").distinct())
+    rest = settle_few(placed.join(sized(torn), "key").select(F.col("first").alias("key"), "node", "root").distinct())
     roots = joined(roots, _across(rest, narrow, source, k, percent))
 
     named = (classes.join(roots, "node", "left")
