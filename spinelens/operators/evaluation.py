@@ -21,10 +21,11 @@ _CELL = ["level_x", "cell_x", "level_y", "cell_y"]
 # Width of a class of extents when boxes are matched: wider classes give fewer probes to move and more candidates a cell.
 BASE = 16
 
-_IOU = (
-    "greatest(0e0, least(p_x2, t_x2) - greatest(p_x1, t_x1))"
-    " * greatest(0e0, least(p_y2, t_y2) - greatest(p_y1, t_y1))"
-)
+_INSIDE = "x2 > x1 AND y2 > y1"
+# Tiles are the unit of dealing; two tiles of one image and class that share a number are dealt together.
+_TILE = ["level_x", "tile_x", "level_y", "tile_y"]
+# Cells along the side of a tile, as a power of two.
+TILE = 4
 
 
 def _distinct(boxes: DataFrame, keys: list[str], index: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _proper(distinct: DataFrame, *columns: str) -> DataFrame:
     above the aggregate that counts. So all uses of the distinct boxes share its exchange and the input is read once.
     """
     return distinct.selectExpr(*_KEYS, *columns, *[f"CASE WHEN n > 0 THEN {c} END AS {c}" for c in _BOX]).where(
-        "x2 > x1 AND y2 > y1")
+        _INSIDE)
 
 
 def _level(size: str, base: int) -> str:
@@ -56,66 +57,120 @@ def _prediction_cells(predictions: DataFrame, base: int = 4) -> DataFrame:
         "*", *[f"CAST(floor((p_{a}1 + p_{a}2) / 2 / pow({base}e0, level_{a} + 1)) AS BIGINT) AS cell_{a}" for a in "xy"])
 
 
-def truth_probes(truth: DataFrame, threshold: float = 0.5, base: int = 4) -> DataFrame:
-    """Each true box once per cell that may hold a prediction with IoU >= ``threshold``: at 0.5 about nine times for
-    base 4, four times for base 16.
+def _ranges(boxes: DataFrame, threshold: float, base: int, true: str = "true") -> DataFrame:
+    """A row per box and pair of classes of extents that may hold a partner, with the cells from ``first_`` to ``last_`` of both axes,
+    the box's own cell among them (``home_``) and whether an axis has one class (``single_``).
 
-    ``truth``: image_id, class_id, x1..y2, truth_idx, n. On either axis IoU >= t asks that the extents p and s keep a ratio
-    of at least t and the centres a distance of at most (p + s) / 2 - t * max(p, s); the areas keep the ratio, too.
-    A class of extents reaches from a power of ``base`` to the next one, which is the side of its cells: an axis has one
-    or two classes to probe, and pairs of classes whose areas do not fit are left out. Boxes without overlap number at
-    most ``base`` squared a cell, so candidates grow with the boxes, not with their square. Bounds are slightly widened, which
-    keeps pairs at the very edge of the threshold.
+    Rows that ``true`` does not hold for are predictions, which only have their own cell; boxes without an inside have no cell.
     """
     t, wide = f"{threshold!r}D", "1.000001e0"
-    probes = _proper(truth, "truth_idx").selectExpr(
-        *_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], *[f"{a}2 - {a}1 AS size_{a}" for a in "xy"])
+    rows = boxes.selectExpr("*", *[f"CASE WHEN {_INSIDE} THEN {a}2 - {a}1 END AS size_{a}" for a in "xy"])
     for a in "xy":
-        probes = probes.selectExpr(
-            "*", f"explode(sequence({_level(f'size_{a} * {t} / {wide}', base)}, {_level(f'size_{a} / {t} * {wide}', base)})) AS level_{a}")
-    probes = probes.selectExpr("*", *[
+        least, most = (_level(f"size_{a}{f}", base) for f in (f" * {t} / {wide}", f" / {t} * {wide}"))
+        rows = rows.selectExpr("*", f"{_level(f'size_{a}', base)} AS own_{a}").selectExpr(
+            "*", f"CASE WHEN {true} THEN sequence({least}, {most}) ELSE sequence(own_{a}, own_{a}) END AS levels_{a}",
+        ).selectExpr("*", f"explode_outer(levels_{a}) AS level_{a}")
+    rows = rows.selectExpr("*", *[
         e for a in "xy" for e in (f"pow({base}e0, level_{a}) AS low_{a}", f"pow({base}e0, level_{a} + 1) AS side_{a}")])
     least = " * ".join(f"greatest(low_{a}, size_{a} * {t})" for a in "xy")
     most = " * ".join(f"least(side_{a}, size_{a} / {t})" for a in "xy")
-    probes = probes.filter(
-        f"{least} * {t} <= size_x * size_y * {wide} AND {most} * {wide} >= size_x * size_y * {t}")
+    rows = rows.filter(
+        f"size_x IS NULL OR NOT {true} OR"
+        f" {least} * {t} <= size_x * size_y * {wide} AND {most} * {wide} >= size_x * size_y * {t}")
     for a in "xy":
         # the extent of the class at which the distance may be largest
         at = (f"least(greatest(size_{a}, low_{a}), side_{a})" if threshold >= 0.5
               else f"least(side_{a}, size_{a} / {t})")
-        probes = probes.selectExpr(
-            "*", f"(({at} + size_{a}) / 2 - {t} * greatest({at}, size_{a})) * {wide} + 1e-6 * size_{a} AS reach_{a}",
-            f"(t_{a}1 + t_{a}2) / 2 AS centre_{a}",
+        rows = rows.selectExpr(
+            "*", f"CASE WHEN {true} THEN (({at} + size_{a}) / 2 - {t} * greatest({at}, size_{a})) * {wide} + 1e-6 * size_{a} ELSE 0e0 END AS reach_{a}",
+            f"({a}1 + {a}2) / 2 AS centre_{a}",
         ).selectExpr(
-            "*", f"explode(sequence(CAST(floor((centre_{a} - reach_{a}) / side_{a}) AS BIGINT),"
-                 f" CAST(floor((centre_{a} + reach_{a}) / side_{a}) AS BIGINT))) AS cell_{a}")
-    return probes.select(*_KEYS, "truth_idx", *[f"t_{c}" for c in _BOX], *_CELL)
+            "*", *[f"CAST(floor((centre_{a} {sign} reach_{a}) / side_{a}) AS BIGINT) AS {end}_{a}" for sign, end in (("-", "first"), ("+", "last"))],
+            f"CASE WHEN level_{a} = own_{a} THEN CAST(floor(centre_{a} / side_{a}) AS BIGINT) END AS home_{a}", f"size(levels_{a}) = 1 AS single_{a}")
+    return rows
 
 
-def _best_truth(pred: DataFrame, true: DataFrame, threshold: float) -> DataFrame:
-    """``best_truth`` of distinct boxes. A prediction lies in one cell, so its pairs are in one partition of the join."""
-    pairs = _prediction_cells(pred, BASE).join(truth_probes(true, threshold, BASE), [*_KEYS, *_CELL]).selectExpr(
-        *_KEYS, *_CELL, "det_idx", "confidence", *[f"p_{c}" for c in _BOX], *[f"t_{c}" for c in _BOX],
-        "truth_idx", f"{_IOU} AS overlap",
-    ).selectExpr(
-        *_KEYS, *_CELL, "det_idx", "confidence", "truth_idx",
-        "overlap / ((p_x2 - p_x1) * (p_y2 - p_y1) + (t_x2 - t_x1) * (t_y2 - t_y1) - overlap) AS iou",
-    ).filter(f"iou >= {threshold!r}D")
-    first = Window.partitionBy(*_KEYS, *_CELL, "det_idx").orderBy(F.desc("iou"), "truth_idx")
-    return pairs.withColumn("place", F.row_number().over(first)).where("place = 1").select(
-        *_KEYS, "det_idx", "confidence", "truth_idx", "iou")
+def _tiled(*columns: str) -> str:
+    return f"hash({', '.join(columns)})"
+
+
+def truth_probes(truth: DataFrame, threshold: float = 0.5, base: int = 4, tiles: bool = False) -> DataFrame:
+    """Each true box once per cell that may hold a prediction with IoU >= ``threshold``: at 0.5 about nine times for
+    base 4, four times for base 16.
+
+    ``truth``: image_id, class_id, x1..y2, truth_idx, n. On either axis IoU >= t asks that the extents p and s keep a ratio
+    of at least t and the centres a distance of at most (p + s) / 2 - t * max(p, s); the areas keep the ratio, too.
+    A class of extents reaches from a power of ``base`` to the next one, which is the side of its cells: an axis has one
+    or two classes to probe, and pairs of classes whose areas do not fit are left out. Boxes without overlap number at
+    most ``base`` squared a cell, so candidates grow with the boxes, not with their square. Bounds are slightly widened, which
+    keeps pairs at the very edge of the threshold.
+
+    With ``tiles``, each box, also one without an inside, comes once per tile of ``1 << TILE`` cells a side, with the number
+    ``place`` of the tile and ``mark``: 2 in the tile that the box itself lies in, else 1; ``n`` is not asked for.
+    """
+    if tiles:
+        rows = _ranges(truth, threshold, base)
+        for a in "xy":
+            rows = rows.selectExpr("*", f"explode_outer(sequence(shiftright(first_{a}, {TILE}), shiftright(last_{a}, {TILE}))) AS tile_{a}")
+        home = " AND ".join(f"tile_{a} = shiftright(home_{a}, {TILE})" for a in "xy")
+        return rows.selectExpr(
+            *_KEYS, "truth_idx", *_BOX, f"{_tiled(*_TILE)} AS place",
+            f"CAST(CASE WHEN size_x IS NULL OR coalesce({home}, false) THEN 2 ELSE 1 END AS TINYINT) AS mark")
+    rows = _ranges(_proper(truth, "truth_idx"), threshold, base)
+    for a in "xy":
+        rows = rows.selectExpr("*", f"explode(sequence(first_{a}, last_{a})) AS cell_{a}")
+    return rows.selectExpr(*_KEYS, "truth_idx", *[f"{c} AS t_{c}" for c in _BOX], *_CELL)
+
+
+def _tiles(predictions: DataFrame, truth: DataFrame, threshold: float, base: int) -> DataFrame:
+    """Predictions and true boxes dealt once, by image, class and tile; there equal boxes become one, with their first index ``idx``
+    and their number ``n`` (true boxes: in the tile they lie in, else 0)."""
+    some = "image_id IS NOT NULL AND class_id IS NOT NULL"
+    own = _ranges(predictions.where(some), threshold, base, "false").selectExpr(
+        *_KEYS, "det_idx AS idx", "confidence", *_BOX,
+        f"{_tiled('level_x', f'shiftright(first_x, {TILE})', 'level_y', f'shiftright(first_y, {TILE})')} AS place", "CAST(0 AS TINYINT) AS mark")
+    probes = truth_probes(truth.where(some), threshold, base, True).selectExpr(
+        *_KEYS, "truth_idx AS idx", "CAST(NULL AS DOUBLE) AS confidence", *_BOX, "place", "mark")
+    return own.unionByName(probes).repartition(*_KEYS, "place").selectExpr("*", "mark > 0 AS is_true").groupBy(
+        *_KEYS, "place", "is_true", *_BOX, "confidence").agg(
+        F.expr("min(idx) AS idx"), F.expr("sum(CASE WHEN mark = 1 THEN 0L ELSE 1L END) AS n"))
+
+
+def _pointing(predictions: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
+    """Per tile its distinct boxes: predictions with the true box ``best`` (worse: minus IoU, truth_idx, alone) they point to, true
+    boxes in the cells where predictions look for them, ``home`` in one of them. ``alone``: no other tile has such predictions.
+
+    A prediction lies in one cell, so what it may point to is gathered there; no row leaves its tile.
+    """
+    rows = _ranges(_tiles(predictions, truth, threshold, BASE), threshold, BASE, "is_true")
+    for a in "xy":
+        rows = rows.selectExpr("*", f"explode_outer(sequence(first_{a}, last_{a})) AS cell_{a}")
+    here = _tiled("level_x", f"shiftright(cell_x, {TILE})", "level_y", f"shiftright(cell_y, {TILE})")
+    home = " AND ".join(f"cell_{a} = home_{a}" for a in "xy")
+    alone = " AND ".join(f"single_{a} AND shiftright(first_{a}, {TILE}) = shiftright(last_{a}, {TILE})" for a in "xy")
+    rows = rows.where(f"place = {here}").selectExpr(
+        *_KEYS, "place", "is_true", "idx", "confidence", "n", *_BOX, f"{_tiled(*_CELL)} AS cell", "size_x IS NOT NULL AS inside",
+        f"size_x IS NULL OR coalesce({home}, false) AS home", f"coalesce({alone}, true) AS alone")
+    cell = Window.partitionBy(*_KEYS, "place", "cell")
+    near = F.collect_list(F.expr(f"CASE WHEN is_true AND inside THEN struct(idx, {', '.join(_BOX)}, alone) END")).over(cell)
+    overlap = ("greatest(0e0, least(x2, t.x2) - greatest(x1, t.x1)) * greatest(0e0, least(y2, t.y2) - greatest(y1, t.y1))")
+    met = f"transform(near, t -> struct(t.idx, t.alone, {overlap} AS o, (x2 - x1) * (y2 - y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas))"
+    scored = f"transform({met}, m -> struct(-(m.o / (m.areas - m.o)) AS worse, m.idx AS truth_idx, m.alone))"
+    return rows.withColumn("near", near).selectExpr(
+        *_KEYS, "place", "is_true", "idx", "confidence", "n", "home", "alone",
+        f"CASE WHEN NOT is_true AND inside AND size(near) > 0 THEN array_min(filter({scored}, m -> m.worse <= -{threshold!r}D)) END AS best")
 
 
 def best_truth(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """For every distinct prediction box the true box it points to, where IoU >= ``threshold``.
 
     ``predictions``: image_id, class_id, x1..y2, det_idx, confidence; ``truth``: image_id, class_id,
-    x1..y2, truth_idx. Copies are reduced first: copies of a true box have the same IoU, so all
-    predictions point to the first of them, and of equal predictions only the first can be accepted.
+    x1..y2, truth_idx. Copies of a true box have the same IoU, so all predictions point to the first of them, and of equal
+    predictions only the first can be accepted: copies meet in a tile and are reduced there.
     Candidates come from a grid (``truth_probes``), so boxes side by side in one image do not meet.
     """
-    pred = _distinct(predictions, [*_KEYS, *_BOX, "confidence"], "det_idx")
-    return _best_truth(pred, _distinct(truth, [*_KEYS, *_BOX], "truth_idx"), threshold)
+    return _pointing(predictions, truth, threshold).where("best IS NOT NULL").selectExpr(
+        *_KEYS, "idx AS det_idx", "confidence", "best.truth_idx AS truth_idx", "-best.worse AS iou")
 
 
 def match_detections(
@@ -132,27 +187,45 @@ def _levels(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Per class and confidence: predictions ``n`` and, per IoU threshold, accepted ones ``tp0``..; true boxes of a class
     at confidence -1.
 
-    Each input is read once: its distinct boxes with their numbers are matched and counted. A true box keeps, per
-    threshold, the highest confidence that points to it.
+    Each input is read and moved once: its boxes are matched and counted where they were dealt to. A true box keeps, per
+    threshold, the highest confidence that points to it. What one tile knows is summed by confidence at once; only true boxes
+    with predictions in several tiles are moved again.
     """
     steps = range(len(THRESHOLDS))
-    pred = _distinct(predictions, [*_KEYS, *_BOX, "confidence"], "det_idx")
-    true = _distinct(truth, [*_KEYS, *_BOX], "truth_idx")
-    accepted = _best_truth(pred, true, THRESHOLDS[0]).groupBy(*_KEYS, "truth_idx").agg(*[
-        F.expr(f"max(CASE WHEN iou >= {t!r}D THEN confidence END) AS c{i}") for i, t in enumerate(THRESHOLDS)])
-    every = ", ".join(f"c{i}" for i in steps)
-    none = [f"0L AS tp{i}" for i in steps]
-    # the indices are asked for only so that both uses of the distinct boxes have the same columns
-    counted = pred.selectExpr(
-        "class_id", "confidence", "CASE WHEN det_idx IS NULL THEN 0L ELSE n END AS n", *none, "0L AS n_truth")
-    boxes = true.selectExpr(
-        "class_id", "-1e0 AS confidence", "0L AS n", *none, "CASE WHEN truth_idx IS NULL THEN 0L ELSE n END AS n_truth")
-    hits = accepted.selectExpr(
-        "class_id", f"explode(array_distinct(filter(array({every}), c -> c IS NOT NULL))) AS confidence",
-        *[f"c{i}" for i in steps],
-    ).selectExpr("class_id", "confidence", "0L AS n", *[
-        f"CASE WHEN c{i} = confidence THEN 1L ELSE 0L END AS tp{i}" for i in steps], "0L AS n_truth")
-    return counted.unionByName(hits).unionByName(boxes).groupBy("class_id", "confidence").agg(*[
+    # a prediction that points to a box is told to the box and counted at its confidence
+    told = _pointing(predictions, truth, THRESHOLDS[0]).selectExpr(
+        "*", "explode(CASE WHEN is_true THEN IF(home, array(0), array()) WHEN best IS NULL THEN array(1) ELSE array(1, 2) END) AS kind",
+    ).selectExpr(
+        *_KEYS, "place", "CASE kind WHEN 0 THEN idx WHEN 2 THEN best.truth_idx END AS truth_idx",
+        "CASE kind WHEN 0 THEN alone WHEN 1 THEN false ELSE best.alone END AS alone", "CASE WHEN kind = 1 THEN confidence END AS level",
+        "CASE WHEN kind = 1 THEN n ELSE 0L END AS n", "CASE WHEN kind = 0 THEN n ELSE 0L END AS n_truth",
+        "CASE WHEN kind = 2 THEN confidence END AS confidence", "CASE WHEN kind = 2 THEN -best.worse END AS iou")
+    local = told.groupBy(*_KEYS, "place", "truth_idx", "alone", "level").agg(
+        F.expr("sum(n) AS n"), F.expr("sum(n_truth) AS n_truth"),
+        *[F.expr(f"max(CASE WHEN iou >= {t!r}D THEN confidence END) AS c{i}") for i, t in enumerate(THRESHOLDS)])
+    given = f"array_distinct(filter(array({', '.join(f'c{i}' for i in steps)}), c -> c IS NOT NULL))"
+    # kind 0: predictions at a confidence, 1: boxes of a class, 2: accepted at a confidence, 3: to be completed from other tiles
+    parts = local.selectExpr(
+        *_KEYS, "truth_idx", "n", "n_truth", *[f"c{i}" for i in steps],
+        "explode(concat(CASE WHEN n > 0 THEN array(named_struct('kind', 0, 'level', level)) ELSE array() END,"
+        " CASE WHEN n_truth > 0 THEN array(named_struct('kind', 1, 'level', -1e0)) ELSE array() END,"
+        f" CASE WHEN c0 IS NULL THEN array() WHEN alone THEN transform({given}, c -> named_struct('kind', 2, 'level', c))"
+        " ELSE array(named_struct('kind', 3, 'level', CAST(NULL AS DOUBLE))) END)) AS x",
+    ).selectExpr(
+        "CASE WHEN x.kind = 3 THEN image_id END AS image_id", "class_id", "CASE WHEN x.kind = 3 THEN truth_idx END AS truth_idx",
+        "x.kind = 3 AS open", "x.level AS level", "CASE WHEN x.kind = 0 THEN n ELSE 0L END AS n",
+        "CASE WHEN x.kind = 1 THEN n_truth ELSE 0L END AS n_truth",
+        *[f"CASE WHEN x.kind = 2 AND c{i} = x.level THEN 1L ELSE 0L END AS tp{i}" for i in steps],
+        *[f"CASE WHEN x.kind = 3 THEN c{i} END AS c{i}" for i in steps])
+    known = parts.groupBy(*_KEYS, "truth_idx", "open", "level").agg(
+        F.expr("sum(n) AS n"), F.expr("sum(n_truth) AS n_truth"), *[F.expr(f"sum(tp{i}) AS tp{i}") for i in steps],
+        *[F.expr(f"max(c{i}) AS c{i}") for i in steps])
+    return known.selectExpr(
+        "class_id", "open", "n", "n_truth", *[f"{c}{i}" for i in steps for c in ("tp", "c")],
+        f"explode(CASE WHEN open THEN {given} ELSE array(level) END) AS confidence",
+    ).selectExpr("class_id", "confidence", "n", "n_truth", *[
+        f"CASE WHEN NOT open THEN tp{i} WHEN c{i} = confidence THEN 1L ELSE 0L END AS tp{i}" for i in steps],
+    ).groupBy("class_id", "confidence").agg(*[
         F.expr(f"sum({c}) AS {c}") for c in ("n", *[f"tp{i}" for i in steps], "n_truth")])
 
 

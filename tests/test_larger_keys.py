@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connect, differences
 from spinelens.functions import label_text
@@ -79,3 +80,64 @@ def test_label_text_equals_the_formatter(spark):
     tail = "array_join(transform(keypoints, k -> format_string(' %.6f %.6f %d', k.x, k.y, k.v)), '')"
     assert rows.where(f"NOT ({label_text.format_line()} <=> concat({head}, {tail}))").count() == 0
     assert rows.where(f"NOT ({label_text.format_line(keypoints=None)} <=> {head})").count() == 0
+
+
+@pytest.mark.parametrize("operator", ["evaluate_detections"])
+def test_scores_move_each_box_about_once(spark, sf_dir, operator):
+    """All exchanges by image together carry less than 1.5 rows per box."""
+    pred, true = T.raw_boxes(spark, sf_dir), T.truth_boxes(spark, sf_dir)
+    df = getattr(E, operator)(pred, true)
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        elif node.nodeName() != "ReusedExchange":
+            if node.nodeName() == "Exchange" and "image_id" in node.simpleString(100):
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    assert 0 < total < 1.5 * (pred.count() + true.count())
+
+
+def test_matching_over_tiles_equals_plain_matching(spark):
+    """Boxes over many tiles of all signs, copies, boxes without an inside and without an image."""
+    rng = random.Random(11)
+    boxes = []
+    for i in range(1200):
+        w, h = 10 ** rng.uniform(-1, 3), 10 ** rng.uniform(-1, 3)
+        x, y = rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)
+        boxes += [(x + a * w, y + b * h, x + a * w + w, y + b * h + h) for a, b in ((0, 0), (rng.uniform(-.3, .3), rng.uniform(-.3, .3)))]
+    boxes += boxes[:50] + [(5.0, 5.0, 5.0, 9.0), (9.0, 1.0, 3.0, 2.0)]
+    kinds = "image_id int, class_id int, x1 double, y1 double, x2 double, y2 double"
+    found = [(1, k % 2, *b, k, k * 37 % 101 / 101) for k, b in enumerate(boxes)] + [(None, 0, 0.0, 0.0, 1.0, 1.0, 9999, 0.5)]
+    true = [(1, k % 2, b[0] + 0.1, *b[1:], k) for k, b in enumerate(boxes) if k % 5] + [(1, None, 0.0, 0.0, 1.0, 1.0, 9999)]
+    p = spark.createDataFrame(found, f"{kinds}, det_idx long, confidence double")
+    t = spark.createDataFrame(true, f"{kinds}, truth_idx long")
+
+    def iou(a, b):
+        o = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return o / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - o)
+
+    def proper(row):
+        return row[4] > row[2] and row[5] > row[3]
+
+    want = {c: dict.fromkeys(range(len(E.THRESHOLDS)), 0) for c in (0, 1)}
+    best: dict = {}
+    for row in filter(proper, found[:-1]):
+        near = [(-iou(row[2:6], o[2:6]), o[6]) for o in true[:-1] if o[1] == row[1] and proper(o)]
+        if near and -min(near)[0] >= 0.5:
+            score, index = min(near)
+            for i, lim in enumerate(E.THRESHOLDS):
+                if -score >= lim:
+                    best[row[1], index, i] = max(best.get((row[1], index, i), 0), row[7])
+    for c, _, i in best:
+        want[c][i] += 1
+    got = {r.class_id: r for r in E._levels(p, t).groupBy("class_id").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_truth", *[f"tp{i}" for i in range(len(E.THRESHOLDS))])]).collect()}
+    for c in (0, 1):
+        assert [got[c][f"tp{i}"] for i in want[c]] == list(want[c].values()) and want[c][0] > 500
+        assert got[c].n == sum(r[1] == c for r in found[:-1]) and got[c].n_truth == sum(r[1] == c for r in true[:-1])
