@@ -82,7 +82,7 @@ def test_label_text_equals_the_formatter(spark):
     assert rows.where(f"NOT ({label_text.format_line(keypoints=None)} <=> {head})").count() == 0
 
 
-@pytest.mark.parametrize("operator", ["evaluate_detections"])
+@pytest.mark.parametrize("operator", ["evaluate_detections", "evaluate_by_class"])
 def test_scores_move_each_box_about_once(spark, sf_dir, operator):
     """All exchanges by image together carry less than 1.5 rows per box."""
     pred, true = T.raw_boxes(spark, sf_dir), T.truth_boxes(spark, sf_dir)
