@@ -6,6 +6,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +185,16 @@ def cluster_units(units: DataFrame, n_words: int, n_classes: int = CLASSES, roun
     return best[1], history
 
 
-def rest_id(word: bytes) -> int:
-    """Negative 63-bit hash of a word that is not held; the same as ``_REST_ID`` in SQL."""
-    import xxhash
+def rest_ids(found: list[bytes]) -> np.ndarray:
+    """Negative 63-bit hashes of words that are not held; the same as ``_REST_ID`` in SQL."""
+    from xxhash import xxh64_intdigest
+
+    return (np.array([xxh64_intdigest(w, 42) for w in found], np.uint64) | np.uint64(1 << 63)).view(np.int64)
 
-    return (xxhash.xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+
+def rest_id(word: bytes) -> int:
+    """``rest_ids`` of one word."""
+    return int(rest_ids([word])[0])
 
 
 _REST_ID = "xxhash64(word) | shiftleft(1L, 63)"
@@ -245,12 +251,15 @@ class _Ids(dict):
     """Number of a word: its rank if it is held, else ``rest_id``, whose ending is kept until the next flush."""
 
     def __init__(self, held: list[bytes]):
+        from xxhash import xxh64_intdigest
+
         super().__init__((w, i) for i, w in enumerate(held))
+        self.digest = xxh64_intdigest
         self.kinds: dict[int, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        number = rest_id(word)
-        self.kinds[number] = ending(word)
+        number = (self.digest(word, 42) | 1 << 63) - (1 << 64)
+        self.kinds[number] = zlib.crc32(word[-2:]) % ENDINGS
         return number
 
 
@@ -278,24 +287,30 @@ def _neighbours(texts: DataFrame, held: list[bytes], n_hot: int) -> DataFrame:
         tokens = 0
 
         def rows() -> pa.RecordBatch:
-            line = np.concatenate(lines)
-            names, code = np.unique(line, return_inverse=True)
-            inner = np.ones(len(line) - 1, bool)  # two ends in a row lie between texts
+            coded = pa.array(np.concatenate(lines)).dictionary_encode()
+            names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+            inner = np.ones(len(code) - 1, bool)  # two ends in a row lie between texts
             inner[np.cumsum([len(x) for x in lines[:-1]], dtype=np.int64) - 1] = False
-            at, n = np.unique((code[:-1] * len(names) + code[1:])[inner], return_counts=True)
-            left, right = at // len(names), at % len(names)
+            size_here, before, after = len(names), code[:-1][inner], code[1:][inner]
             unit = unit_of[np.maximum(names, 0)]
             unit[names < 0] = [n_hot + ids.kinds[x] for x in names[names < 0].tolist()]
-            np.add.at(units, unit[left] * size + unit[right], n)
             own = (names < 0) | ((names >= n_hot) & (names != end))
-            # neighbours that are not held stand in the rows of words that are not held only
-            first = own[left] & ((names[left] < 0) | (names[right] >= 0))
-            second = own[right] & ((names[right] < 0) | (names[left] >= 0))
-            u, nbr = np.r_[left[first], right[second]], np.r_[right[first], left[second]]
-            order = np.argsort(u, kind="stable")
-            lengths = np.bincount(u, minlength=len(names))[own]
-            return _list_rows(names[own], np.zeros(own.sum(), bool), lengths, names[nbr[order]],
-                              np.r_[n[first], -n[second]][order])
+            sides = []
+            for a, b in ((before, after), (after, before)):
+                at, n = np.unique(a * size_here + b, return_counts=True)
+                word, nbr = at // size_here, at % size_here
+                if not sides:
+                    np.add.at(units, unit[word] * size + unit[nbr], n)
+                # neighbours that are not held stand in the rows of words that are not held only
+                some = own[word] & ((names[word] < 0) | (names[nbr] >= 0))
+                sides.append((np.bincount(word[some], minlength=size_here), names[nbr[some]], n[some]))
+            (many, nbr, n), (more, other, k) = sides
+            # each word's neighbours after it, then those before it
+            out, count = np.empty(len(nbr) + len(other), np.int64), np.empty(len(nbr) + len(other), np.int64)
+            first = np.arange(len(nbr)) + np.repeat(np.cumsum(more) - more, many)
+            second = np.arange(len(other)) + np.repeat(np.cumsum(many), more)
+            out[first], out[second], count[first], count[second] = nbr, other, n, -k
+            return _list_rows(names[own], np.zeros(own.sum(), bool), (many + more)[own], out, count)
 
         for batch in batches:
             for text in batch.column(0):
@@ -411,38 +426,49 @@ def _word_contexts(rows: DataFrame, rest: DataFrame, held: tuple[np.ndarray, ...
         width = 2 * AFTER
         hot = np.zeros((n_hot + 1) * width)
 
-        def out(word, n, kind, own, dense: np.ndarray) -> pa.RecordBatch:
-            at = np.flatnonzero(dense)
+        def out(word, n, kind, own, at: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
             offsets = pa.array(np.r_[0, np.cumsum(np.bincount(at // width, minlength=len(word)))].astype(np.int32))
             return pa.RecordBatch.from_arrays(
                 [pa.array(word), pa.array(n), pa.array(kind.astype(np.int32)), pa.array(own.astype(np.int32)),
                  pa.ListArray.from_arrays(offsets, pa.array((at % width).astype(np.int16))),
-                 pa.ListArray.from_arrays(offsets, pa.array(dense[at].astype(np.int64)))],
+                 pa.ListArray.from_arrays(offsets, pa.array(total.astype(np.int64)))],
                 names=["word", "n", "ending", "class", "slots", "counts"])
 
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):  # bounds the dense table
-                batch = whole.slice(start, 2048)
-                word = batch.column("word").to_numpy()
-                is_held, at = word >= 0, np.maximum(word, 0)
-                n, kind, own = (np.where(is_held, of[at], batch.column(c).fill_null(0).to_numpy())
-                                for of, c in ((counts, "n"), (endings, "ending"), (classes, "class")))
-                row, nbr, k = _flat(batch, "nbrs")
-                near = nbr >= 0
-                row, nbr, k = row[near], nbr[near], k[near]
-                dense = np.bincount(row * width + classes[nbr] + np.where(k > 0, AFTER, 0), np.abs(k), len(word) * width)
-                far = batch.column("far_slots").is_valid().to_numpy(zero_copy_only=False)
-                if far.any():
-                    far_row, slot, v = _flat(batch.filter(pa.array(far)), "far_slots", "far_counts")
-                    dense += np.bincount(np.flatnonzero(far)[far_row] * width + slot, v, len(word) * width)
-                # a frequent neighbour sees this word on the other side
-                some = (nbr < n_hot) | (nbr == end)
-                hot += np.bincount(np.minimum(nbr[some], n_hot) * width + own[row[some]] + np.where(k[some] < 0, AFTER, 0),
-                                   np.abs(k[some]), len(hot))
-                yield out(word, n, kind, own, dense)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column("word").to_numpy()
+            is_held, at = word >= 0, np.maximum(word, 0)
+            n, kind, own = (np.where(is_held, of[at], batch.column(c).fill_null(0).to_numpy())
+                            for of, c in ((counts, "n"), (endings, "ending"), (classes, "class")))
+            row, nbr, k = _flat(batch, "nbrs")
+            near = nbr >= 0
+            row, nbr, k = row[near], nbr[near], k[near]
+            slots, sums = row * width + classes[nbr] + np.where(k > 0, AFTER, 0), np.abs(k)
+            # a frequent neighbour sees this word on the other side
+            some = (nbr < n_hot) | (nbr == end)
+            np.add.at(hot, np.minimum(nbr[some], n_hot) * width + own[row[some]] + np.where(k[some] < 0, AFTER, 0), sums[some])
+            far = batch.column("far_slots").is_valid().to_numpy(zero_copy_only=False)
+            far_row, slot, v = _flat(batch.filter(pa.array(far)), "far_slots", "far_counts")
+            far_rows = np.flatnonzero(far)[far_row]
+            far_slots = far_rows * width + slot
+            found, total = [], []
+            for start in range(0, len(word), 256):  # a dense table that stays in the processor's cache
+                low, high = start * width, min(start + 256, len(word)) * width
+                a, b = np.searchsorted(row, [start, start + 256])
+                dense = np.bincount(slots[a:b] - low, sums[a:b], high - low)
+                if len(far_slots):
+                    c, d = np.searchsorted(far_rows, [start, start + 256])
+                    dense += np.bincount(far_slots[c:d] - low, v[c:d], high - low)
+                at = np.flatnonzero(dense)
+                found.append(at + low)
+                total.append(dense[at])
+            yield out(word, n, kind, own, np.concatenate(found), np.concatenate(total))
         seen = np.flatnonzero(hot.reshape(-1, width).any(1))
         none = np.zeros(len(seen), np.int64)
-        yield out(np.where(seen == n_hot, end, seen), none, none, none, hot.reshape(-1, width)[seen].ravel())
+        left = hot.reshape(-1, width)[seen].ravel()
+        at = np.flatnonzero(left)
+        yield out(np.where(seen == n_hot, end, seen), none, none, none, at, left[at])
 
     return _stored(rows.join(rest, "word", "left").join(_far(rows, rest, n_hot, end), "word", "left")
                    .mapInArrow(run, "word long, n long, ending int, class int, slots array<smallint>, counts array<long>"))
@@ -663,53 +689,58 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, emits, pluses, classes_of, coarse_emits, coarse_of = model.value
-        size, end_class = len(names), n_classes - 1
+        end_class = n_classes - 1
         get = {w: i for i, w in enumerate(names)}.get
         row = TaskContext.get().partitionId() << 40
+
+        def scored(part: pa.RecordBatch, found: list[list[bytes]], row: int) -> pa.RecordBatch:
+            """Rows of the texts, then one per word that is not held. The texts stand in one line, an end before and after each."""
+            lengths = np.array([len(x) for x in found])
+            flat = list(chain.from_iterable(found))
+            codes = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+            text = np.repeat(np.arange(len(found)), lengths)
+            place = np.arange(len(flat)) + text  # of a word among the tokens, ends included
+            known = codes >= 0
+            rest = np.flatnonzero(~known)
+            ids, at, at_rest = codes[known], place[known], place[rest]
+            others = [flat[i] for i in rest.tolist()]
+            kinds = np.array([zlib.crc32(w[-2:]) % ENDINGS for w in others], np.int64)
+            # per token: log10 probabilities of both models, for a word not held without its own share
+            size = len(flat) + len(found)
+            line, plain = np.full(size + 1, end_class, np.int64), np.full(size + 1, end_class, np.int64)
+            line[at + 1], line[at_rest + 1] = classes_of[ids], -1
+            plain[at + 1], plain[at_rest + 1] = coarse_of[ids], CLASSES + kinds
+            shares, own = np.zeros(size), np.zeros(size)
+            shares[at], shares[at_rest], own[at] = coarse_emits[ids], -tail_log[kinds], emits[ids]
+            rough = coarse[plain[:-1], plain[1:]] + shares
+            both = (line[:-1] >= 0) & (line[1:] >= 0)
+            each = mixed(moves[line[:-1][both], line[1:][both]] + own[both], rough[both])
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            score = [x.sum() for x in np.split(each, np.cumsum(np.add.reduceat(both.astype(np.int64), starts))[:-1])]
+            own_known = np.bincount(text[known], minlength=len(found))
+            plus = np.array([x.sum() for x in np.split(pluses[ids], np.cumsum(own_known)[:-1])])
+            rows = row + np.arange(len(found))
+            none = pa.nulls(len(rest))
+            # a text's own row carries a key that no word has, so that it passes the join without gathering anywhere
+            texts = [pa.array(rows), part.column(0), part.column(1), pa.array(lengths + 1), pa.array(own_known + int(n_ends > 0)),
+                     pa.array(plus + end_plus - (lengths + 1) * base_log), pa.array(np.array(score)), pa.array(rows)]
+            words_of = [pa.array(rows[text[rest]]), *[none.cast(x.type) for x in texts[1:7]], pa.array(rest_ids(others)),
+                        pa.array((at_rest - starts[text[rest]]).astype(np.int32)), pa.array(kinds.astype(np.int32)),
+                        pa.array(line[at_rest].astype(np.int32)), pa.array(line[at_rest + 2].astype(np.int32)),
+                        pa.array(rough[at_rest]), pa.array(rough[at_rest + 1]), pa.array(own[at_rest + 1])]
+            texts += [pa.nulls(len(found), x.type) for x in words_of[8:]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(texts, words_of)],
+                                              names=[c.split()[0] for c in _SCORED.split(", ")])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                columns: list[list] = [[] for _ in range(15)]
-
-                def put(*values) -> None:
-                    for column, value in zip(columns, values):
-                        column.append(value)
-
-                for ident, out, text in zip(*(c.to_pylist() for c in part.columns)):
-                    found = words(text or "")
-                    codes = list(map(get, found))
-                    rest = [i for i, c in enumerate(codes) if c is None]
-                    ids = np.array([0 if c is None else c for c in codes], np.int64)
-                    line = np.full(len(found) + 2, end_class, np.int64)
-                    line[1:-1] = classes_of[ids] if size else 0
-                    here = np.ones(len(found), bool)
-                    here[rest] = False
-                    line[np.array(rest, np.int64) + 1] = -1
-                    ids = ids[here]
-                    # per token and the end: log10 probabilities of both models, for a word not held without its own share
-                    plain = np.full(len(found) + 2, end_class, np.int64)
-                    shares, own = np.zeros(len(found) + 1), np.zeros(len(found) + 1)
-                    where = np.flatnonzero(here)
-                    plain[where + 1] = coarse_of[ids] if size else 0
-                    shares[where], own[where] = coarse_emits[ids], emits[ids]
-                    if rest:
-                        kinds = np.array([ending(found[i]) for i in rest])
-                        plain[np.array(rest) + 1] = CLASSES + kinds
-                        shares[rest] = -tail_log[kinds]
-                    rough = coarse[plain[:-1], plain[1:]] + shares
-                    both = (line[:-1] >= 0) & (line[1:] >= 0)
-                    score = mixed(moves[line[:-1][both], line[1:][both]] + own[both], rough[both]).sum()
-                    base = pluses[ids].sum() + end_plus - (len(found) + 1) * base_log
-                    # a text's own row carries a key that no word has, so that it passes the join without gathering anywhere
-                    put(row, ident, out, len(found) + 1, len(ids) + int(n_ends > 0), base, score, row, *[None] * 7)
-                    for i in rest:
-                        put(row, None, None, None, None, None, None, rest_id(found[i]), i, ending(found[i]), int(line[i]), int(line[i + 2]),
-                            float(rough[i]), float(rough[i + 1]), float(own[i + 1]))
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
-                         pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 names=[c.split()[0] for c in _SCORED.split(", ")])
+            start, found, tokens = 0, [], 0
+            for i, text in enumerate(batch.column(2).to_pylist(), 1):
+                found.append(words(text or ""))
+                tokens += len(found[-1])
+                if tokens > 1 << 18 or i - start == 512 or i == batch.num_rows:
+                    yield scored(batch.slice(start, i - start), found, row)
+                    row += i - start
+                    start, found, tokens = i, [], 0
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -730,8 +761,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             names = [f.name for f in batch.schema][:-2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
-    scored = source.mapInArrow(run, _SCORED)
-    joined = scored.join(assigned.where("word < 0").selectExpr("word AS key", "n", "class").hint("merge"), "key", "left")
+    joined = source.mapInArrow(run, _SCORED).join(assigned.where("word < 0").selectExpr("word AS key", "n", "class").hint("merge"), "key", "left")
     texts = joined.groupBy("row").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("k").alias("n_tokens"),
         F.sum(F.expr("coalesce(known, CASE WHEN n > 0 THEN 1 ELSE 0 END)")).alias("n_known"),

@@ -314,6 +314,30 @@ def test_rows_of_words_hold_their_neighbours(spark, docs):
     assert {(r["word"], b): n for r in units.collect() for b, n in zip(r["nbrs"], r["counts"])} == want_units
 
 
+def test_numbers_of_words_equal_those_of_sql(spark):
+    found = [b"x", "\u00e9t\u00e9".encode(), b"a" * 99]
+    rows = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(found)], "i int, word binary").selectExpr("i", f"{brown_lm._REST_ID} AS id")
+    assert [r["id"] for r in rows.orderBy("i").collect()] == brown_lm.rest_ids(found).tolist() == [brown_lm.rest_id(w) for w in found]
+    assert len(brown_lm.rest_ids([])) == 0
+
+
+def test_texts_scored_together_score_like_copies_elsewhere(spark, docs):
+    """Texts are scored hundreds at a time: copies in other places, beside empty texts and others' words, score the same."""
+    rng = np.random.default_rng(4)
+    some = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 30)))) for _ in range(90)] + ["", None, "zz"]
+    order = rng.permutation(7 * len(some))
+    rows = docs([(int(i), some[int(i) % len(some)]) for i in order]).coalesce(1)
+    scored = brown_lm.score_texts(rows, held_out="doc_id >= 93", held_words=20, exchange_words=10).collect()
+    assert len(scored) == len(order)
+    by = {}
+    for r in scored:
+        by.setdefault(r["doc_id"] % len(some), []).append(r)
+    for i, found in by.items():
+        assert len(found) == 7 and {r["n_tokens"] for r in found} == {len((some[i] or "").split()) + 1}
+        assert np.ptp([r["score"] for r in found]) < 1e-9 and np.ptp([r["base_score"] for r in found]) < 1e-9
+        assert {r["n_known"] for r in found} == {len((some[i] or "").split()) + 1}
+
+
 def test_links_and_ranks(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("b", "d", 2.0)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 3.0)], "host string, good double, bad double")
