@@ -10,6 +10,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 
@@ -45,10 +46,10 @@ def special_strings(path: str) -> list[str]:
 
 
 class Memo:
-    """Results by piece, bounded; ``encode`` maps a list of pieces to their results."""
+    """Results by piece, at most ``entries`` of them; ``encode`` maps a list of pieces to their results."""
 
-    def __init__(self, encode: Callable[[list], Iterable], batch_bytes: int):
-        self.encode, self.batch_bytes = encode, batch_bytes
+    def __init__(self, encode: Callable[[list], Iterable], batch_bytes: int, entries: int = CACHE_ENTRIES):
+        self.encode, self.batch_bytes, self.entries = encode, batch_bytes, entries
         self.known: dict = {}
 
     def _batches(self, pieces: list):
@@ -68,10 +69,10 @@ class Memo:
         for batch in self._batches(pieces):
             out.update(zip(batch, self.encode(batch), strict=True))
         short = {p: v for p, v in out.items() if len(p) <= CACHE_PIECE}
-        if len(self.known) + len(short) > CACHE_ENTRIES:
-            self.known = dict(list(self.known.items())[: CACHE_ENTRIES // 2])
+        if len(self.known) + len(short) > self.entries:
+            self.known = dict(islice(self.known.items(), self.entries // 2))
         for piece, value in short.items():
-            if len(self.known) >= CACHE_ENTRIES:
+            if len(self.known) >= self.entries:
                 break
             self.known[piece] = value
         return out

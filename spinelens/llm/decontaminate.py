@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,15 +157,18 @@ _COLUMNS = "row_key long, id long, width int, pos int, n_windows int, h long, sl
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows of a batch with a bounded number of characters; a longer text stands alone."""
-    texts = [t or "" for t in batch["text"].to_pylist()]
+    def part(begin: int, end: int) -> tuple[pa.RecordBatch, list[str]]:
+        rows = batch.slice(begin, end - begin)
+        return rows, [t or "" for t in rows["text"].to_pylist()]
+
     begin = size = 0
-    for i, t in enumerate(texts):
-        if size + len(t) > CHUNK_CHARS and i > begin:
-            yield batch.slice(begin, i - begin), texts[begin:i]
+    for i, n in enumerate(pc.utf8_length(batch["text"]).fill_null(0).to_pylist()):
+        if size + n > CHUNK_CHARS and i > begin:
+            yield part(begin, i)
             begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+        size += n
+    if begin < batch.num_rows:
+        yield part(begin, batch.num_rows)
 
 
 def _window_table(texts: DataFrame, widths: tuple[int, ...] | None, bits: np.ndarray | None) -> DataFrame:

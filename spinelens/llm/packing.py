@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,12 @@ from spinelens.llm._store import importable
 TIERS = (256, 512, 1024, 2048)
 #: A worker packs whenever it holds about this many ids (4 bytes each), so memory is bounded.
 POOL_TOKENS = 4 << 20
+#: Words whose ids a worker keeps (about 200 bytes each); the rank table is quick enough for the others.
+KEPT_WORDS = 1 << 17
+#: Characters of the texts that are encoded together; no more of a batch are Python strings at a time.
+GROUP_CHARS = 4 << 20
+#: Bytes of ids after which a worker hands on a batch of rows.
+OUT_BYTES = 2 << 20
 #: Tokens of a step group: so many of them make one training step, whatever their tier.
 STEP_TOKENS = 64 * 2048
 
@@ -25,7 +32,7 @@ _memos: dict[tuple[str, int], _encode.Memo] = {}
 
 def _memo(path: str, batch_bytes: int) -> _encode.Memo:
     if (path, batch_bytes) not in _memos:
-        _memos[path, batch_bytes] = _encode.Memo(_encode.RankedWords(path), batch_bytes)
+        _memos[path, batch_bytes] = _encode.Memo(_encode.RankedWords(path), batch_bytes, KEPT_WORDS)
     return _memos[path, batch_bytes]
 
 
@@ -196,13 +203,15 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str =
         base = TaskContext.get().partitionId() << 40
         pool, full, held, sequences, steps = Pool(), [], 0, 0, 0
 
-        def rows(last: bool) -> pa.RecordBatch:
+        def rows(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal sequences, steps
             windows = full + pack_pool(pool, tiers, last=last)
             full.clear()
             groups = step_groups(windows, step_tokens)
             columns: dict[str, list] = {f.name: [] for f in fields}
-            for window, group in zip(windows, groups):
+            size = 0
+            for at, group in enumerate(groups):
+                window, windows[at] = windows[at], None
                 offset, tier = 0, sum(p.length for p in window)
                 for p in window:
                     row = (p.doc, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, base + sequences, offset,
@@ -213,18 +222,23 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str =
                         columns["ids"].append(p.ids)
                     offset += p.length
                 sequences += 1
+                size += 4 * offset
+                if size >= OUT_BYTES:
+                    yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                    columns, size = {f.name: [] for f in fields}, 0
             steps += max(groups, default=-1) + 1
-            return pa.RecordBatch.from_pydict(columns, schema=schema)
+            yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
         for batch in batches:
-            doc_ids, texts, first = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            while first < len(texts):
+            lengths, first = pc.utf8_length(batch.column(1)).fill_null(0).to_pylist(), 0
+            while first < len(lengths):
                 stop, size = first, 0
-                while stop < len(texts) and (stop == first or size < 4 << 20):
-                    size += len(texts[stop] or "")
+                while stop < len(lengths) and (stop == first or size < GROUP_CHARS):
+                    size += lengths[stop]
                     stop += 1
-                group = ["" if t is None else t for t in texts[first:stop]]
-                for doc, ids in zip(doc_ids[first:stop], encode(group, tokenizer_path, end_id)):
+                some = batch.slice(first, stop - first)
+                group = ["" if t is None else t for t in some.column(1).to_pylist()]
+                for doc, ids in zip(some.column(0).to_pylist(), encode(group, tokenizer_path, end_id)):
                     n = len(ids) // 4
                     for at in range(0, n, largest):
                         piece = Piece(doc, at, ids[4 * at: 4 * (at + largest)], n)
@@ -234,10 +248,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str =
                         else:
                             pool.put(piece)
                 if held + pool.tokens >= pool_tokens:
-                    yield rows(last=False)
+                    yield from rows(last=False)
                     held = 0
                 first = stop
-        yield rows(last=True)
+        yield from rows(last=True)
 
     names = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary' if f.type == pa.binary() else 'bigint'}"
                       for f in fields)
