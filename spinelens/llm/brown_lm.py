@@ -459,7 +459,7 @@ def _word_contexts(rows: DataFrame, rest: DataFrame, held: tuple[np.ndarray, ...
                 dense = np.bincount(slots[a:b] - low, sums[a:b], high - low)
                 if len(far_slots):
                     c, d = np.searchsorted(far_rows, [start, start + 256])
-                    dense += np.bincount(far_slots[c:d] - low, v[c:d], high - low)
+                    dense = dense + np.bincount(far_slots[c:d] - low, v[c:d], high - low)  # without entries bincount gives integers
                 at = np.flatnonzero(dense)
                 found.append(at + low)
                 total.append(dense[at])
@@ -527,12 +527,23 @@ def exchange_rows(rows: DataFrame, units: DataFrame, hot_unit: np.ndarray, assig
     they are: classes of held neighbours come as one array, those of other neighbours are handed on by these. Only tables of
     classes, the held words' classes and the contexts of the most frequent words and the end come to the driver.
     """
-    n_classes, width, spark = CLASSES + ENDINGS + 1, 2 * AFTER, rows.sparkSession
     table = assigned.where("word >= 0").toArrow()
     counts, endings, classes = (np.zeros(end + 1, np.int64) for _ in range(3))
     for of, c in ((counts, "n"), (endings, "ending"), (classes, "class")):
         of[table.column("word").to_numpy()] = table.column(c).to_numpy()
-    rest = assigned.where("word < 0")
+    classes, rest, bigrams, history = _exchange(rows, units, hot_unit, (counts, endings, classes), assigned.where("word < 0"), n_hot, end, rounds)
+    known = rows.sparkSession.createDataFrame(pa.table({
+        "word": pa.array(np.arange(end + 1)), "n": pa.array(counts), "ending": pa.array(endings.astype(np.int32)),
+        "class": pa.array(classes.astype(np.int32))}))
+    return known.unionByName(rest), bigrams, history
+
+
+def _exchange(rows: DataFrame, units: DataFrame, hot_unit: np.ndarray, held: tuple[np.ndarray, ...], rest: DataFrame, n_hot: int, end: int,
+              rounds: int = WORD_ROUNDS) -> tuple[np.ndarray, DataFrame, np.ndarray, list[float]]:
+    """``exchange_rows`` with the held words and the end as arrays (``held``: counts, endings, classes) and all others as the table
+    ``rest``: rows of held words in a plan would stay in the driver, once more with every plan made from it."""
+    n_classes, width = CLASSES + ENDINGS + 1, 2 * AFTER
+    counts, endings, classes = held
     hot = np.r_[np.arange(n_hot), end]
     best, history = None, []
     for turn in range(rounds + 1):
@@ -581,16 +592,14 @@ def exchange_rows(rows: DataFrame, units: DataFrame, hot_unit: np.ndarray, assig
                     names=["word", "n", "ending", "class"])
 
         moved = _stored(own.mapInArrow(move, "word long, n long, ending int, class int"))
-        rest, table = moved.where("word < 0"), moved.where("word >= 0").toArrow()
+        rest, table = moved.where("word < 0"), moved.where("word >= 0").select("word", "class").toArrow()
         moving = (hot != end) & (hot % 2 == turn % 2) & (turn > 0)
         found = np.where(moving, (seen @ weights).argmax(1), classes[hot])
         classes = classes.copy()
         classes[table.column("word").to_numpy()] = table.column("class").to_numpy()
         classes[hot] = found
     _, classes, rest, bigrams = best
-    known = spark.createDataFrame(pa.table({"word": pa.array(np.arange(end + 1)), "n": pa.array(counts), "ending": pa.array(endings.astype(np.int32)),
-                                            "class": pa.array(classes.astype(np.int32))}))
-    return known.unionByName(rest), bigrams, history
+    return classes, rest, bigrams, history
 
 
 def _logs(bigrams: np.ndarray) -> np.ndarray:
@@ -651,36 +660,29 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = np.array([ending(w) for w in held], np.int32) if held else np.zeros(0, np.int32)
     first_class = CLASSES + first
     first_class[: len(vocabulary)] = classes[: len(vocabulary)]
-    known_rows = spark.createDataFrame(pa.table({
-        "word": pa.array(np.arange(end + 1)), "n": pa.array(np.r_[held_counts, n_ends].astype(np.int64)),
-        "ending": pa.array(np.r_[first, 0].astype(np.int32)), "class": pa.array(np.r_[first_class, n_classes - 1].astype(np.int32))}))
-    names = spark.createDataFrame(pa.table({"word": pa.array([*held, END], pa.binary())}))
-    others = (counts.join(F.broadcast(names), "word", "left_anti").selectExpr(f"{_REST_ID} AS word", "n", f"{_ENDING} AS ending")
-              .withColumn("class", F.expr(f"{CLASSES} + ending")))
-    first_assigned = _stored(known_rows.unionByName(others))
+    # held words are the first by count and word: the others are those behind the last of them
+    behind = f"n < {int(held_counts[-1])} OR n = {int(held_counts[-1])} AND word > X'{held[-1].hex()}'" if held and end == held_words else "false"
+    others = _stored(counts.where(F.col("word") != F.lit(bytearray(END))).where(behind)
+                     .selectExpr(f"{_REST_ID} AS word", "n", f"{_ENDING} AS ending").withColumn("class", F.expr(f"{CLASSES} + ending")))
     hot_unit = np.r_[np.arange(len(vocabulary)), np.full(ENDINGS, -1), len(vocabulary)]
-    assigned, bigrams, _ = exchange_rows(rows, units, hot_unit, first_assigned, len(vocabulary), end)
-    moves = _logs(bigrams)
+    held_n = held_counts.astype(np.int64)
+    known = (np.r_[held_n, n_ends], np.r_[first, 0].astype(np.int64), np.r_[first_class, n_classes - 1].astype(np.int64))
+    final, rest, bigrams, _ = _exchange(rows, units, hot_unit, known, others, len(vocabulary), end)
+    moves, held_class = _logs(bigrams), final[:end]
 
     # emissions: by counts within the class; of a word never seen, as one more word beside those seen once with its ending
-    mass, once = np.zeros(n_classes), np.zeros(ENDINGS)
-    for r in assigned.where(f"word <> {end}").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        mass[r["class"]] = r["n"]
-    for r in assigned.where(f"word <> {end} AND n = 1").groupBy("ending").count().collect():
-        once[r["ending"]] = r["count"]
     # in the coarse model, by counts within an exchange class; within a class of endings one is added, also for a word never seen
     core = len(vocabulary)
-    coarse_mass, tail = np.zeros(n_classes), np.ones(ENDINGS)
-    np.add.at(coarse_mass, first_class[:core], held_counts[:core])
-    for r in first_assigned.where(f"word < 0 OR word >= {core} AND word <> {end}").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    mass, once = np.bincount(held_class, held_n, n_classes), np.bincount(first[held_n == 1], minlength=ENDINGS).astype(float)
+    coarse_mass, tail = np.bincount(first_class[:core], held_n[:core], n_classes), 1 + np.bincount(first[core:], held_n[core:] + 1, ENDINGS)
+    for r in rest.groupBy("class", "ending").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.expr("count_if(n = 1)").alias("once")).collect():
+        mass[r["class"]] += r["n"]
+        once[r["ending"]] += r["once"]
         tail[r["ending"]] += r["n"] + r["v"]
     tail_log = np.log10(tail)
     coarse_emit = np.r_[np.log10(held_counts[:core]) - np.log10(coarse_mass[first_class[:core]]),
                         np.log10(held_counts[core:] + 1) - tail_log[first[core:]]]
     mass_log, unseen_log = np.log10(np.maximum(mass, 1)), np.log10(once + 1)
-    table = assigned.where(f"word >= 0 AND word < {end}").select("word", "class").toArrow()
-    held_class = np.zeros(end, np.int64)
-    held_class[table.column("word").to_numpy()] = table.column("class").to_numpy()
     base_log = np.log10(n_all + v_all + 1) if v_all else 0.0
     emit = np.log10(held_counts) - mass_log[held_class]
     plus = np.log10(held_counts + 1)
@@ -761,7 +763,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             names = [f.name for f in batch.schema][:-2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
-    joined = source.mapInArrow(run, _SCORED).join(assigned.where("word < 0").selectExpr("word AS key", "n", "class").hint("merge"), "key", "left")
+    joined = source.mapInArrow(run, _SCORED).join(rest.selectExpr("word AS key", "n", "class").hint("merge"), "key", "left")
     texts = joined.groupBy("row").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("k").alias("n_tokens"),
         F.sum(F.expr("coalesce(known, CASE WHEN n > 0 THEN 1 ELSE 0 END)")).alias("n_known"),
