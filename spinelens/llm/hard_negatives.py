@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,18 @@ from pyspark.sql import functions as F
 
 from spinelens.llm import cover_tree
 from spinelens.llm._store import importable, stored
+from spinelens.llm.spill_runs import packed, unpacked
 
 #: Vector components of a tree at most.
 TREE_VALUES = 1 << 20
 #: Trees are dealt to so many searchers per batch of anchors, whatever their number.
 SEARCHERS = 16
-#: Anchors that search together.
-BATCH = 1024
+#: Anchors of a batch at most, and their vector components. Each batch is handed all trees.
+BATCH, BATCH_VALUES = 1 << 16, 1 << 22
+#: Anchors of a batch that search a tree together, and their vector components.
+GROUP, GROUP_VALUES = 2048, 1 << 17
+#: Anchors whose lists are put together at a time.
+PART = 1024
 #: Stands for a null id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -26,8 +33,8 @@ _ROWS = "tree bigint, place int, id bigint, label bigint, vector array<bigint>,
 _HITS = "array<struct<minus: bigint, id: bigint>>"
 
 
-def _planted(vectors: DataFrame, partitions: int) -> DataFrame:
-    """A row per tree (``data``), and a row per anchor with its place (tree and number) among the points."""
+def _planted(vectors: DataFrame, scale: int, partitions: int) -> DataFrame:
+    """A row per tree (``data``), and a row per anchor with its place (tree and number) among the points, whose components are scaled to integers."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
 
@@ -39,7 +46,7 @@ def _planted(vectors: DataFrame, partitions: int) -> DataFrame:
                 row = np.repeat(np.arange(len(lens)), lens)
                 points[at + row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
                 at += len(lens)
-            tree = cover_tree.build(points)
+            tree = cover_tree.build(points, ids, labels)
             chosen = np.flatnonzero(anchors)
             n = len(chosen)
             return pa.RecordBatch.from_arrays([
@@ -61,7 +68,7 @@ def _planted(vectors: DataFrame, partitions: int) -> DataFrame:
                 if take:
                     piece = vector.slice(0, take)
                     parts.append((batch.column("id").slice(at, take).to_numpy(), batch.column("label").slice(at, take).to_numpy(),
-                                  np.asarray(batch.column("anchor").slice(at, take)), lens[:take], piece.flatten().to_numpy()))
+                                  np.asarray(batch.column("anchor").slice(at, take)), lens[:take], np.floor(float(scale) * piece.flatten().to_numpy()).astype(np.int64)))
                     rows, width, at = rows + take, int(grown[take - 1]), at + take
                 if at < batch.num_rows:
                     yield planted(parts)
@@ -69,76 +76,132 @@ def _planted(vectors: DataFrame, partitions: int) -> DataFrame:
         if parts:
             yield planted(parts)
 
-    dealt = vectors.repartitionByRange(partitions, "label", F.xxhash64("id", "vector"))
+    dealt = vectors.repartitionByRange(partitions, "label", F.xxhash64("id", "vector")).withColumn("vector", F.col("vector").cast("array<double>"))
     return stored(dealt.mapInArrow(work, _ROWS), "trees")
 
 
-def _searched(anchors: DataFrame, trees: DataFrame, batches: int, positives: int, negatives: int, low: int, high: int) -> DataFrame:
-    """Per anchor, list (of its positives, or a single one) and searcher: the first rows found.
-
-    Anchors without ``windows`` look for their positives, the others for negatives in the windows of their positives.
+class _Anchors:
+    """Anchors of a batch, by label, tree and place, with their lists: of positives, or of negatives per window."""
+
+    def __init__(self, rows: list[tuple], positives: int, negatives: int, low: int, high: int, first: bool):
+        tree, place, label, lens, flat, counts, windows = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((place, tree, label))
+        self.tree, self.place, self.label = tree[order], place[order], label[order]
+        n, none = len(order), (cover_tree.MOST, cover_tree.LEAST)
+        least, most = (np.full((n, 1 if first else positives), x) for x in (none[::-1] if first else none))
+        if not first:  # percents of scores without products beyond 64 bits
+            at = np.repeat(np.argsort(order), counts), np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            whole, rest = np.divmod(windows, 100)
+            least[at], most[at] = low * whole - -low * rest // 100, high * whole + high * rest // 100
+            least[least > most], most[least > most] = none
+        self.lists = cover_tree.Lists(positives if first else negatives, least, most)
+        lens, starts = lens[order], (np.cumsum(lens) - lens)[order]
+        self.groups, at = [], 0
+        while at < n:
+            width = np.maximum(np.maximum.accumulate(lens[at : at + GROUP]), 1)
+            end = at + max(1, int((np.arange(1, len(width) + 1) * width <= GROUP_VALUES).sum()))
+            some = lens[at:end]
+            vectors = np.zeros((end - at, int(max(1, some.max()))), np.int64)
+            row, part = np.repeat(np.arange(end - at), some), np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            vectors[row, part] = flat[starts[at:end][row] + part]
+            self.groups.append(cover_tree.Queries(vectors, at))
+            at = end
+
+    def positives(self, number: int, tree: cover_tree.Tree) -> None:
+        def others(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return (self.tree[who] != number) | (self.place[who] != tree.order[rows])
+
+        labels = np.unique(tree.labels)
+        starts, ends = (np.searchsorted(self.label, labels, side) for side in ("left", "right"))
+        for i in np.flatnonzero(starts < ends).tolist():
+            for group in self.groups:
+                some = np.arange(max(starts[i] - group.start, 0), min(ends[i] - group.start, len(group.vectors)))
+                if len(some):
+                    tree.find(group, self.lists, some, int(labels[i]), others, 1)
+
+    def negatives(self, _: int, tree: cover_tree.Tree) -> None:
+        only = int(tree.labels[0]) if (tree.labels == tree.labels[0]).all() else None
+
+        def others(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return self.label[who] != tree.labels[np.searchsorted(tree.first, rows, "right") - 1]
+
+        for group in self.groups:
+            some = np.arange(len(group.vectors))
+            if only is not None:
+                some = some[self.label[group.start : group.start + len(some)] != only]
+            if len(some):
+                tree.find(group, self.lists, some, None, others if only is None else None)
+
+    def found(self) -> Iterator[tuple[int, bytes]]:
+        """The lists so far, of some anchors at a time."""
+        self.lists.settle()
+        held = np.arange(self.lists.k) < self.lists.count[:, :, None]
+        for part, at in enumerate(range(0, len(self.tree), PART)):
+            some = slice(at, at + PART)
+            yield part, packed(self.tree[some], self.place[some], self.lists.count[some].reshape(-1),
+                               self.lists.scores[some][held[some]], self.lists.ids[some][held[some]])
+
+
+def _searched(anchors: DataFrame, trees: DataFrame, batches: int, positives: int, negatives: int, low: int, high: int, first: bool) -> DataFrame:
+    """Per batch, some of its anchors at a time, and searcher: the first rows found for each of their lists, as bytes.
+
+    Anchors look for their positives ``first`` (one list), then for negatives in the windows of their positives' scores.
     A searcher takes its trees one after the other and keeps the lists of one batch of anchors.
     """
     batch = F.pmod(F.xxhash64("tree", "place"), F.lit(batches)).cast("int")
     searcher = F.explode(F.sequence(F.lit(0), F.lit(SEARCHERS - 1)))
-    left = anchors.select("tree", "place", "id", "label", "vector", "windows", F.lit(None).cast("binary").alias("data"),
+    left = anchors.select("tree", "place", "label", "vector", "windows", F.lit(None).cast("binary").alias("data"),
                           batch.alias("batch"), searcher.alias("searcher"))
     one = F.pmod(F.shiftright("tree", 20) + F.col("tree").bitwiseAND((1 << 20) - 1), F.lit(SEARCHERS)).cast("int")
-    right = trees.select("tree", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("id"),
-                         F.lit(None).cast("bigint").alias("label"), F.lit(None).cast("array<bigint>").alias("vector"),
-                         F.lit(None).cast("array<bigint>").alias("windows"), "data",
+    right = trees.select("tree", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("label"),
+                         F.lit(None).cast("array<bigint>").alias("vector"), F.lit(None).cast("array<bigint>").alias("windows"), "data",
                          F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), one.alias("searcher"))
-    dealt = left.unionByName(right).repartition("batch", "searcher").sortWithinPartitions("batch", "searcher", F.col("data").isNotNull())
+    cell = F.col("batch") * SEARCHERS + F.col("searcher")
+    dealt = left.unionByName(right).repartitionById(batches * SEARCHERS, cell).sortWithinPartitions(F.col("data").isNotNull())
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, waiting = None, []
-
-        def results() -> pa.RecordBatch:
-            rows = [(tree, place, i, w) for tree, place, _, _, lists, _ in waiting for i, w in enumerate(lists) if len(w.ids)]
-            hits = [[{"minus": -s, "id": x} for s, x in zip(w.scores.tolist(), w.ids.tolist())] for *_, w in rows]
-            return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([r[2] for r in rows], pa.int32()),
-                pa.array(hits, pa.list_(pa.struct([("minus", pa.int64()), ("id", pa.int64())])))],
-                names=["tree", "place", "list", "hits"])
-
+        waiting, anchors, batch = [], None, 0
         for part in parts:
-            for row in part.to_pylist():
-                if (row["batch"], row["searcher"]) != group:
-                    if waiting:
-                        yield results()
-                    group, waiting = (row["batch"], row["searcher"]), []
-                if row["data"] is None:
-                    windows = row["windows"]
-                    lists = [cover_tree.Best(positives)] if windows is None else [
-                        cover_tree.Best(negatives, -(-low * s // 100), high * s // 100) for s in windows]
-                    waiting.append((row["tree"], row["place"], row["label"], np.array(row["vector"], np.int64), lists, windows))
-                    continue
-                tree = cover_tree.Tree(row["data"])
-                only = int(tree.labels[0]) if (tree.labels == tree.labels[0]).all() else None
-                for number, place, label, vector, lists, windows in waiting:
-                    if windows is None:
-                        if only is not None and only != label:
-                            continue
-                        allowed = tree.labels == label
-                        if number == row["tree"]:
-                            allowed &= tree.order != place
-                    elif only == label:
-                        continue
-                    else:
-                        allowed = tree.labels != label
-                    if allowed.any():
-                        tree.search(vector, lists, allowed)
-        if waiting:
-            yield results()
-
-    return dealt.mapInArrow(work, f"tree bigint, place int, list int, hits {_HITS}")
+            are = part.filter(part.column("data").is_null())
+            if are.num_rows:
+                batch, vector, windows = are.column("batch")[0].as_py(), are.column("vector"), are.column("windows")
+                waiting.append((are.column("tree").to_numpy(), are.column("place").to_numpy(), are.column("label").to_numpy(),
+                                np.diff(vector.offsets.to_numpy()), vector.flatten().to_numpy(),
+                                np.diff(windows.offsets.to_numpy()), windows.flatten().to_numpy()))
+            trees = part.filter(part.column("data").is_valid())
+            if trees.num_rows and waiting:
+                anchors, waiting = _Anchors(waiting, positives, negatives, low, high, first), []
+            if anchors is not None:
+                look = anchors.positives if first else anchors.negatives
+                for number, data in zip(trees.column("tree").to_pylist(), trees.column("data")):
+                    look(number, cover_tree.Tree(data.as_buffer()))
+        if anchors is not None:
+            for at, found in anchors.found():
+                yield pa.RecordBatch.from_pydict({"batch": pa.array([batch], pa.int32()), "part": pa.array([at], pa.int32()), "found": [found]})
+
+    return dealt.mapInArrow(work, "batch int, part int, found binary")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
     """The first ``k`` hits of each list over all searchers."""
-    every = F.array_sort(F.flatten(F.collect_list("hits")))
-    return found.groupBy("tree", "place", "list").agg(F.slice(every, 1, k).alias("hits"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((key, found) for b in batches for *key, found in zip(*(b.column(c).to_pylist() for c in ("batch", "part", "found"))))
+        for _, same in groupby(rows, key=itemgetter(0)):
+            frames = [unpacked(found) for _, found in same]
+            tree, place = frames[0][:2]
+            lists = len(frames[0][2]) // len(tree)
+            who = np.concatenate([np.repeat(np.arange(len(f[2])), f[2]) for f in frames])
+            scores, ids = (np.concatenate([f[i] for f in frames]) for i in (3, 4))
+            order, rank = cover_tree.ranked(who, scores, ids)
+            order = order[rank < k]
+            some, starts = np.unique(who[order], return_index=True)
+            hits = pa.StructArray.from_arrays([pa.array(-scores[order]), pa.array(ids[order])], names=["minus", "id"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(tree[some // lists]), pa.array(place[some // lists], pa.int32()), pa.array(some % lists, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)], pa.int32()), hits)], names=["tree", "place", "list", "hits"])
+
+    dealt = found.repartition("batch", "part").sortWithinPartitions("batch", "part")
+    return dealt.mapInArrow(work, f"tree bigint, place int, list int, hits {_HITS}")
 
 
 def mine(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -152,9 +215,10 @@ def mine(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     ``anchor`` is a condition on the table's columns that says which rows are anchors (all, if None).
 
     All rows are dealt by label into cover trees of bounded size, kept in the shared checkpoint folder. Anchors search in
-    batches; ``SEARCHERS`` tasks share the trees of each batch, read one tree after the other and return short lists, whose
-    number grows with the anchors only. Equal vectors are one node, so a vector that a third of all rows have costs one
-    look at its rows.
+    batches of up to ``BATCH``; ``SEARCHERS`` tasks share the trees of each batch, read one tree after the other and return
+    short lists, whose number grows with the anchors only. The anchors of a group descend a tree together: nodes are left
+    out by their bounds per anchor, what remains is scored by products of matrices. Equal vectors of a label are one point
+    of a tree, so a vector that a third of all rows have costs one look.
 
     Rows with a null label or vector, or with null or non-finite components take no part. Null ids come last among ties
     and are returned as null; repeated rows are rows of their own (an anchor leaves out itself only); shorter vectors, also
@@ -168,16 +232,17 @@ def mine(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     rows = vectors.where(whole).select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(label_col).cast("bigint").alias("label"),
         F.coalesce(F.expr(anchor or "true"), F.lit(False)).alias("anchor"),
-        F.expr(f"transform({name}, x -> CAST(floor({scale}D * CAST(x AS DOUBLE)) AS BIGINT))").alias("vector"))
-    values = rows.agg(F.sum(F.greatest(F.size("vector"), F.lit(1))).cast("long")).first()[0] or 0
-    planted = _planted(rows, max(SEARCHERS, -(-2 * values // TREE_VALUES)))
-    trees, anchors = planted.where("data IS NOT NULL").select("tree", "data"), planted.where("data IS NULL")
-    batches = max(1, -(-anchors.count() // BATCH))
-    found = _first(_searched(anchors.withColumn("windows", F.lit(None).cast("array<bigint>")), trees, batches, positives, negatives, low, high),
-                   positives)
-    near = stored(anchors.drop("data").join(found.drop("list"), ["tree", "place"]), "positives")
+        F.col(name).alias("vector"))
+    values = vectors.agg(F.sum(F.greatest(F.size(F.col(name)), F.lit(1))).cast("long")).first()[0] or 0
+    planted = _planted(rows, scale, max(SEARCHERS, -(-2 * values // TREE_VALUES)))
+    trees, anchors = planted.where("place IS NULL").select("tree", "data"), planted.where("place IS NOT NULL").drop("data")
+    count, values = anchors.agg(F.count("*"), F.sum(F.greatest(F.size("vector"), F.lit(BATCH_VALUES // BATCH))).cast("long")).first()
+    batches = max(1, -(-count // BATCH), -(-(values or 0) // BATCH_VALUES))
+    limits = positives, negatives, low, high
+    found = _first(_searched(anchors.withColumn("windows", F.array().cast("array<bigint>")), trees, batches, *limits, True), positives)
+    near = stored(anchors.join(found.drop("list"), ["tree", "place"]), "positives")
     again = near.withColumn("windows", F.expr("transform(hits, h -> -h.minus)")).drop("hits")
-    hard = _first(_searched(again, trees, batches, positives, negatives, low, high), negatives)
+    hard = _first(_searched(again, trees, batches, *limits, False), negatives)
     told = near.select("tree", "place", F.col("id").alias("anchor"), F.posexplode("hits").alias("list", "positive"))
     out = told.join(hard, ["tree", "place", "list"]).select("anchor", "positive", F.posexplode("hits").alias("rank", "negative"))
     return out.select(
