@@ -109,6 +109,11 @@ def build(points: np.ndarray, ids: np.ndarray | None = None, labels: np.ndarray
         "child_lo": np.array(child_lo), "child_hi": np.array(child_hi), "sphere": np.array([sphere])}
 
 
+def small(values: np.ndarray) -> np.ndarray:
+    """A copy in 16 bits if they hold all values."""
+    return values.astype(np.int16 if -(1 << 15) < values.min(initial=0) and values.max(initial=0) < 1 << 15 else np.int64)
+
+
 _NAMES = ("first", "centre", "lo", "hi", "child_lo", "child_hi")
 
 
@@ -116,11 +121,8 @@ def frame(tree: dict[str, np.ndarray], points: np.ndarray, ids: np.ndarray, labe
     """The tree with its points and labels (a row per spot) and ids (in tree order), as bytes."""
     order = tree["order"]
     spots = order[tree["first"]]
-    small = points[spots]
-    if not len(small) or np.abs(small).max(initial=0) < 1 << 15:
-        small = small.astype(np.int16)
     return packed(*(tree[n].astype(np.int32) for n in _NAMES), tree["radius"].view(np.int64), tree["sphere"].view(np.int64),
-                  order.astype(np.int32), ids[order], labels[spots], small.reshape(-1), np.array([points.shape[1]]))
+                  order.astype(np.int32), ids[order], labels[spots], small(points[spots]).reshape(-1), np.array([points.shape[1]]))
 
 
 def ranked(who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -101,7 +101,7 @@ class _Anchors:
             width = np.maximum(np.maximum.accumulate(lens[at : at + GROUP]), 1)
             end = at + max(1, int((np.arange(1, len(width) + 1) * width <= GROUP_VALUES).sum()))
             some = lens[at:end]
-            vectors = np.zeros((end - at, int(max(1, some.max()))), np.int64)
+            vectors = np.zeros((end - at, int(max(1, some.max()))), flat.dtype)
             row, part = np.repeat(np.arange(end - at), some), np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
             vectors[row, part] = flat[starts[at:end][row] + part]
             self.groups.append(cover_tree.Queries(vectors, at))
@@ -162,19 +162,20 @@ def _searched(anchors: DataFrame, trees: DataFrame, batches: int, positives: int
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, anchors, batch = [], None, 0
         for part in parts:
-            are = part.filter(part.column("data").is_null())
-            if are.num_rows:
+            if part.column("data").null_count:
+                are = part.filter(part.column("data").is_null())
                 batch, vector, windows = are.column("batch")[0].as_py(), are.column("vector"), are.column("windows")
                 waiting.append((are.column("tree").to_numpy(), are.column("place").to_numpy(), are.column("label").to_numpy(),
-                                np.diff(vector.offsets.to_numpy()), vector.flatten().to_numpy(),
+                                np.diff(vector.offsets.to_numpy()), cover_tree.small(vector.flatten().to_numpy()),
                                 np.diff(windows.offsets.to_numpy()), windows.flatten().to_numpy()))
-            trees = part.filter(part.column("data").is_valid())
-            if trees.num_rows and waiting:
+                are = vector = windows = None
+            if waiting and part.column("data").null_count < part.num_rows:
                 anchors, waiting = _Anchors(waiting, positives, negatives, low, high, first), []
             if anchors is not None:
                 look = anchors.positives if first else anchors.negatives
-                for number, data in zip(trees.column("tree").to_pylist(), trees.column("data")):
-                    look(number, cover_tree.Tree(data.as_buffer()))
+                for number, data in zip(part.column("tree"), part.column("data")):
+                    if data.is_valid:
+                        look(number.as_py(), cover_tree.Tree(data.as_buffer()))
         if anchors is not None:
             for at, found in anchors.found():
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([batch], pa.int32()), "part": pa.array([at], pa.int32()), "found": [found]})
